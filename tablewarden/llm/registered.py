@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import mixing, packing, sharding
+from . import licenses, mixing, packing, quality, sharding
 
 
 def queries():
     return {
+        "op1_license_scan": licenses.op1,
         "op2_sharding": sharding.op2,
         "op3_mixing": mixing.op3,
         "op4_packing": packing.op4,
+        "op7_quality_rules": quality.op7,
         "pipeline": corpus_pipeline.run,
     }
 
