@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one window partition of two_level_rank() holds, about.
-RANK_ROWS = 100_000
+RANK_ROWS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
