@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import licenses, lines, mixing, packing, quality, sharding
+from . import licenses, lines, mixing, packing, quality, sharding, suffixes
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op2_sharding": sharding.op2,
         "op3_mixing": mixing.op3,
         "op4_packing": packing.op4,
+        "op5_suffix_dedup": suffixes.op5,
         "op6_line_dedup": lines.op6,
         "op7_quality_rules": quality.op7,
         "pipeline": corpus_pipeline.run,
