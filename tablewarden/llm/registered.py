@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import licenses, lines, mixing, packing, quality, sharding, suffixes
+from . import jaccard, licenses, lines, mixing, packing, quality, sharding, suffixes
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op5_suffix_dedup": suffixes.op5,
         "op6_line_dedup": lines.op6,
         "op7_quality_rules": quality.op7,
+        "op8_jaccard_join": jaccard.op8,
         "pipeline": corpus_pipeline.run,
     }
 
