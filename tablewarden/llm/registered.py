@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import jaccard, licenses, lines, mixing, packing, quality, sharding, suffixes, vectors
+from . import jaccard, licenses, lines, mixing, packing, quality, sharding, suffixes, toxicity, vectors
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op6_line_dedup": lines.op6,
         "op7_quality_rules": quality.op7,
         "op8_jaccard_join": jaccard.op8,
+        "op9_toxicity": toxicity.op9,
         "op10_embedding_dedup": vectors.op10,
         "pipeline": corpus_pipeline.run,
     }
