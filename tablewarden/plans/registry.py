@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from . import detection, scalars
+
+MODULES = [scalars, detection]
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return queries()["s3_latest_operation"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
