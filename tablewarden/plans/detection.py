@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urn
 from ..operators import tables, walk
 from .audit import Audit
-from .fixture import AGE, GENDER, LABEL, PII, SECRET, Fixture, oracle
+from .fixture import AGE, GENDER, LABEL, PII, SECRET, oracle
 from .oracle_parts import PARTS, PATH_TEXT, best_sql, reach_sql
 from .scalars import FIELD_RE
 
@@ -17,7 +17,7 @@ QUERIES, SQL = {}, {}
 
 def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None):
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Audit(Fixture(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: f(_audit(spark, sf_dir))
         if sql is not None:
             SQL[name] = oracle(sql, PARTS | (extra or {}))
         return f
@@ -25,6 +25,12 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
     return add
 
 
+def _audit(spark, sf_dir: str) -> Audit:
+    from .scoring import audit_of  # scoring builds on this module
+
+    return audit_of(spark, sf_dir)
+
+
 def flat(df, *paths):
     """Arrays as joined strings, for the oracle's comparison."""
     for p in paths:

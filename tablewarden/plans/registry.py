@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection, scalars
+from . import detection, scalars, scoring
 
-MODULES = [scalars, detection]
+MODULES = [scalars, detection, scoring]
 
 
 def flagship(spark, sf_dir):
