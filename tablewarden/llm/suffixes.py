@@ -17,6 +17,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not
 
 #: Bytes of a repeated window; windows that travel together in the first pass; how many parts a later pass makes.
 WINDOW, RUN, FAN = 400, 256, 16
+#: Most anchors, or spans, that are broadcast to the texts; beyond that texts are joined by a shuffle.
+BROADCAST_ROWS = 1_500_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -57,32 +59,25 @@ class Rolling:
 
 
 def heads(data: np.ndarray, one: Rolling, two: Rolling, window: int, run: int):
-    """Anchors of a text and their digests.
+    """The heads of a text's suffixes: (p, head hash, hash of all bytes of its suffixes, lo, hi).
 
-    The head of a suffix is its least hashed gram (window - run + 1 bytes) among the `run` grams that its first
-    `window` bytes hold. Suffixes that share a head lie together, so a head and the offsets 0..run-1 stand for
-    up to `run` suffixes. Returns (p, head hash, hash of all bytes of a full run or 0, lo, hi): suffixes start at
-    p - o for o in lo..hi.
+    The head of a suffix is its least hashed gram (window - run + 1 bytes, the first one if equal) among the `run`
+    grams that its first `window` bytes hold. Suffixes of one head lie together: they start at p - o for o in lo..hi.
     """
     n, gram = len(data), window - run + 1
     first = one.prefix(data)
     at = np.arange(n - gram + 1)
     value = one.of(first, at, at + gram)
-    low, step = value, 1
+    # least value, then place: both move with the bytes, so equal windows have equal heads
+    low, step = (value >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64), 1
     while step < run:
         low = np.minimum(low[:-step], low[step:])
         step *= 2
-    high, step = np.concatenate([np.zeros(run - 1, np.uint64), low, np.zeros(run - 1, np.uint64)]), 1
-    while step < run:
-        high = np.maximum(high[:-step], high[step:])
-        step *= 2
-    p = np.flatnonzero(value == high)
-    lo, hi = np.maximum(0, p + window - n), np.minimum(run - 1, p)
-    full = (lo == 0) & (hi == run - 1)
-    wide = np.zeros(len(p), np.uint64)
-    second = two.prefix(data)
-    wide[full] = two.of(second, p[full] - (run - 1), p[full] + window)
-    return p, value[p], wide, lo, hi
+    owner = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    begin = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
+    end = np.concatenate([begin[1:], [len(owner)]]) - 1
+    p = owner[begin]
+    return p, value[p], two.of(two.prefix(data), begin, end + window), p - end, p - begin
 
 
 def _bytes(text: str) -> np.ndarray:
@@ -114,9 +109,9 @@ def contexts(batches):
         out = []
         for k1, k2, text, anchors in zip(batch["k1"], batch["k2"], batch["text"], batch["anchors"]):
             data = text.encode("utf-8", "replace")
-            for p in anchors:
+            for p, lo, hi in ((a["p"], a["lo"], a["hi"]) for a in anchors):
                 cut = bytes(max(0, RUN - 1 - p)) + data[max(0, p - RUN + 1) : p + WINDOW]
-                out.append((k1, k2, p, max(0, p + WINDOW - len(data)), min(RUN - 1, p), cut + bytes(RUN - 1 + WINDOW - len(cut))))
+                out.append((k1, k2, p, lo, hi, cut + bytes(RUN - 1 + WINDOW - len(cut))))
         if out:
             yield pd.DataFrame(out, columns=["k1", "k2", "p", "lo", "hi", "cut"])
 
@@ -124,8 +119,8 @@ def contexts(batches):
 def next_pass(width: int):
     """Split groups of `width` suffixes (k1, k2, p, lo, hi, cut, at) into FAN parts, with the digests of each part.
 
-    core: the bytes that all suffixes of the part share; all: the bytes that they hold together, when the text has
-    all of them. For single suffixes both are the window itself.
+    core: the bytes that all suffixes of the part share; whole: the bytes that they hold together. A part is cut to
+    the offsets that its anchor has; `full` tells whether it has all. For single suffixes both are the window itself.
     """
     part = width // FAN
 
@@ -145,17 +140,13 @@ def next_pass(width: int):
                 if not ok.any():
                     continue
                 r, a, b = rows[ok], a[ok], b[ok]
-                core = (RUN - 1 - a, RUN - 1 - b + WINDOW)
-                whole = (RUN - 1 - b, RUN - 1 - a + WINDOW)
-                digest = lambda h, f, span: Rolling.mixed((f[r, span[1]] - f[r, span[0]]) * h.inverses[span[0]]).view(np.int64)  # noqa: B023, E731
-                full = (a >= lo[ok]) & (b <= hi[ok])
+                low, high = np.maximum(a, lo[ok]), np.minimum(b, hi[ok])
+                digest = lambda h, f, start, end: Rolling.mixed((f[r, end] - f[r, start]) * h.inverses[start]).view(np.int64)  # noqa: B023, E731
                 picked = batch.iloc[r]
-                yield pd.DataFrame(
-                    {
-                        "k1": picked["k1"].to_numpy(), "k2": picked["k2"].to_numpy(), "p": picked["p"].to_numpy(), "lo": picked["lo"].to_numpy(), "hi": picked["hi"].to_numpy(), "at": a,
-                        "c1": digest(one, f1, core), "c2": digest(two, f2, core), "full": full, "a1": digest(one, f1, whole), "a2": digest(two, f2, whole),
-                    }
-                )
+                columns = {c: picked[c].to_numpy() for c in ("k1", "k2", "p", "lo", "hi")}
+                core = digest(one, f1, RUN - 1 - a, RUN - 1 - b + WINDOW)
+                whole = digest(two, f2, RUN - 1 - high, RUN - 1 - low + WINDOW)
+                yield pd.DataFrame(columns | {"at": a, "low": low, "high": high, "core": core, "whole": whole})
 
     return run
 
@@ -182,55 +173,76 @@ def removed(batches):
         yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
 
 
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """For a join: broadcast when it has few rows, which is counted first."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def merged(batches):
+    """Spans of texts, sorted by text and start, with those that touch made one."""
+    held = None
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False, name=None):
+            if held and held[:2] == row[:2] and row[2] <= held[3]:
+                held = (*held[:3], max(held[3], row[3]))
+            else:
+                out += [held] if held else []
+                held = row
+        if out:
+            yield pd.DataFrame(out, columns=["k1", "k2", "start", "end"])
+    if held:
+        yield pd.DataFrame([held], columns=["k1", "k2", "start", "end"])
+
+
 def repeated_spans(keyed: DataFrame) -> DataFrame:
-    """(k1, k2, start, end): bytes of texts of (k1, k2, text) that a repeated window covers; overlaps remain.
+    """(k1, k2, start, end): bytes of texts of (k1, k2, text) that repeated windows cover, merged.
 
     Suffixes are ordered through WINDOW bytes only, most significant digit first. The first digit of a suffix is its
-    head (see heads()): suffixes of one head travel as a run, and runs whose head stands nowhere else leave. A run
-    that stands elsewhere as a whole is repeated as a whole and leaves too. What is open is split in FAN parts by
-    offset and ordered by the further bytes that all of a part share, twice, until parts are single suffixes: equal
-    groups are then the repeated windows. Only counts are shuffled by digest, never pairs, so a passage that
-    thousands share costs a partial count per task. Digests have 128 bits where a match is decided.
+    head (see heads()): suffixes of one head travel as a run, and runs whose head stands nowhere else leave. Runs
+    that are equal as a whole are repeated as a whole and leave too, one of each kind staying as a witness. What is
+    open is split in FAN parts by offset and ordered by the further bytes that all of a part share, twice, until
+    parts are single suffixes: equal groups are then the repeated windows. Only counts are shuffled by digest, never
+    pairs, so a passage that thousands share costs a partial count per task. A match is decided by two 64-bit digests.
     """
-    schema = "k1 long, k2 long, p long, head long, wide long, lo long, hi long"
+    schema = "k1 long, k2 long, p int, head long, wide long, lo int, hi int"
     rows = save(keyed.where(F.octet_length("text") >= WINDOW).mapInPandas(first_pass, schema), "heads")
     again = rows.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head")
-    some = save(rows.join(again, "head").dropDuplicates(["k1", "k2", "p"]), "runs")
-    full = some.where(F.col("lo").eqNullSafe(0) & (F.col("hi") == RUN - 1))
-    whole = full.groupBy("head", "wide").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head", "wide")
-    span = lambda width: [(F.col("p") - F.col("at") - (width - 1)).alias("start"), (F.col("p") - F.col("at") + WINDOW).alias("end")]
-    closed = save(full.join(whole, ["head", "wide"]), "closed")
-    done = [closed.withColumn("at", F.lit(0)).select("k1", "k2", "p", *span(RUN))]
-    open_ = some.join(closed.select("k1", "k2", "p"), ["k1", "k2", "p"], "left_anti")
+    some = save(rows.join(again, "head"), "runs")
+    run = ["head", "wide", "lo", "hi"]
+    whole = some.groupBy(*run).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "p")).alias("w"))
+    whole = save(whole, "wholes")
+    closed = some.join(whole.where("n > 1").select(*run), run, "left_semi")
+    done = [closed.select("k1", "k2", (F.col("p") - F.col("hi")).alias("start"), (F.col("p") - F.col("lo") + WINDOW).alias("end"))]
     # suffixes that are done still show that others stand at a second place: one of each equal group goes on
-    witness = closed.groupBy("head", "wide").agg(F.min(F.struct("k1", "k2", "p")).alias("w")).join(open_.select("head"), "head", "left_semi")
-    going = open_.select("k1", "k2", "p").unionByName(witness.select("w.*"))
-    anchors = going.groupBy("k1", "k2").agg(F.collect_list("p").alias("anchors"))
-    # one row of each text is enough: texts with copies are removed whole later, and count once here
-    found = keyed.join(anchors, ["k1", "k2"]).select("k1", "k2", "text", "anchors").mapInPandas(contexts, "k1 long, k2 long, p long, lo long, hi long, cut binary")
-    cuts = save(found.dropDuplicates(["k1", "k2", "p"]), "cuts")
-    now, width = cuts.withColumn("at", F.lit(0).cast("long")), RUN
+    mixed = whole.groupBy("head").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 and kinds > 1").select("head")
+    going = save(whole.join(mixed, "head", "left_semi").select("w.*", "lo", "hi"), "open")
+    anchors = going.groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("anchors"))
+    held = keyed.join(small_side(anchors, going.count()), ["k1", "k2"]).select("k1", "k2", "text", "anchors")
+    found = held.mapInPandas(contexts, "k1 long, k2 long, p int, lo int, hi int, cut binary")
+    cuts = save(found.dropDuplicates(["k1", "k2", "p"]), "cuts")  # texts with copies give theirs once
+    now, width = cuts.withColumn("at", F.lit(0)), RUN
+    place = F.xxhash64("k1", "k2", F.col("p") - F.col("at"))
+    twice = [F.min(place).alias("a"), F.max(place).alias("b")]
     while width > 1:
-        digests = "k1 long, k2 long, p long, lo long, hi long, at long, c1 long, c2 long, full boolean, a1 long, a2 long"
-        parts = save(now.mapInPandas(next_pass(width), digests), "parts")
-        width //= FAN
-        # two anchors of one text may stand for the same suffix, so a digest must stand at two places
-        place = F.xxhash64("k1", "k2", F.col("p") - F.col("at"))
-        twice = [F.min(place).alias("lo"), F.max(place).alias("hi")]
-        cores = parts.groupBy("c1", "c2").agg(*twice).where("lo < hi").select("c1", "c2")
-        live = save(parts.join(cores, ["c1", "c2"]), "live")
-        alls = live.where("full").groupBy("a1", "a2").agg(*twice).where("lo < hi").select("a1", "a2")
-        keys = ["k1", "k2", "p", "at"]
-        same = save(live.where("full").join(alls, ["a1", "a2"]).select(*keys, "c1", "c2", "a1", "a2"), "same")
-        done.append(same.select("k1", "k2", "p", *span(width)))
+        parts = now.mapInPandas(next_pass(width), "k1 long, k2 long, p int, lo int, hi int, at int, low int, high int, core long, whole long")
+        parts, width = save(parts, "parts"), width // FAN
+        cores = parts.groupBy("core").agg(*twice).where("a < b").select("core")
+        live = save(parts.join(cores, "core", "left_semi"), "live")
+        # cut to the same offsets, so that the same suffixes stand at both places
+        kind = ["core", "whole", F.col("low") - F.col("at"), F.col("high") - F.col("at")]
+        kinds = live.select("*", kind[2].alias("u"), kind[3].alias("v")).groupBy("core", "whole", "u", "v").agg(*twice, F.min(F.struct("k1", "k2", "p", "at", "lo", "hi")).alias("w"))
+        kinds = save(kinds, "kinds")
+        same = live.select("*", kind[2].alias("u"), kind[3].alias("v")).join(kinds.where("a < b").select("core", "whole", "u", "v"), ["core", "whole", "u", "v"], "left_semi")
+        done.append(same.select("k1", "k2", (F.col("p") - F.col("high")).alias("start"), (F.col("p") - F.col("low") + WINDOW).alias("end")))
         if width > 1:
-            rest = live.select(*keys, "c1", "c2").join(same.select(*keys), keys, "left_anti")
-            witness = same.groupBy("c1", "c2", "a1", "a2").agg(F.min(F.struct(*keys)).alias("w")).join(rest.select("c1", "c2"), ["c1", "c2"], "left_semi")
-            now = rest.select(*keys).unionByName(witness.select("w.*")).join(cuts, ["k1", "k2", "p"])
+            mixed = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+            now = kinds.join(mixed, "core", "left_semi").select("w.*").select("k1", "k2", "p", "at").join(cuts, ["k1", "k2", "p"])
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.drop("p")
+    ordered = out.distinct().repartition("k1", "k2").sortWithinPartitions("k1", "k2", "start")
+    return save(ordered.select("k1", "k2", "start", "end").mapInPandas(merged, "k1 long, k2 long, start int, end int"), "spans")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,8 +254,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("k1"), F.xxhash64(body, F.lit(1)).alias("k2"), body.alias("text"))
     copies = keyed.where(F.octet_length("text") >= WINDOW).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    spans = repeated_spans(keyed.drop("doc_id")).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    marks = spans.join(copies, ["k1", "k2"], "full_outer")
+    found = repeated_spans(keyed.drop("doc_id"))
+    spans = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    marks = save(spans.join(copies, ["k1", "k2"], "full_outer"), "marks")
+    marks = small_side(marks, found.count() + marks.count())
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     ready = keyed.join(marks, ["k1", "k2"], "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
     return ready.mapInPandas(removed, schema)
