@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import detection, scalars, scoring
+from . import detection, scalars, scoring, streams, upkeep
 
-MODULES = [scalars, detection, scoring]
+MODULES = [scalars, detection, scoring, upkeep, streams]
 
 
 def flagship(spark, sf_dir):
-    return queries()["s3_latest_operation"](spark, sf_dir)
+    return queries()["j15_blast_radius"](spark, sf_dir)
 
 
 def queries():
