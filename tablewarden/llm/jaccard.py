@@ -21,6 +21,8 @@ EXTRA = 7
 #: Most keys that are broadcast to fetch texts or drop rows.
 BROADCAST_KEYS = 1_000_000
 _TOKEN_BITS = np.uint64(48)
+#: Characters of text that a block of a candidate group holds, about.
+BLOCK_CHARS = 4_000_000
 
 
 def shingles(text: str | None, rolling: Rolling, words: int = WORDS) -> np.ndarray:
@@ -109,6 +111,67 @@ def probe(batches):
         yield batch[["a", "b"]][np.array(keep, bool)]
 
 
+class Lists:
+    """Inverted lists over the sets of a block."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(tokens, kind="stable")  # owners ascend within a token
+        self.owner = owner[order]
+        self.token, self.at = np.unique(tokens[order], return_index=True)
+        self.end = np.append(self.at[1:], len(order))
+        self.size = np.array([len(s) for s in sets], np.int64)
+
+    def find(self, query: np.ndarray) -> np.ndarray:
+        """Sets that link to the query, by DivideSkip.
+
+        A linking set shares T = overlap_needed() shingles at least. The L longest lists stay apart; the others are
+        merged, and sets that occur T - L times or more in them are searched in the long ones by binary probes.
+        """
+        where = np.minimum(np.searchsorted(self.token, query), max(0, len(self.token) - 1))
+        where = where[self.token[where] == query] if len(self.token) else where[:0]
+        need = overlap_needed(len(query))
+        if len(where) < need:
+            return where[:0]
+        length = self.end[where] - self.at[where]
+        where = where[np.argsort(length, kind="stable")]
+        apart = min(need - 1, int(need / (0.01 * np.log2(2 + length.max()) * len(self.size) ** 0.5 + 1)))
+        short, long_ = where[: len(where) - apart], where[len(where) - apart :]
+        n = self.end[short] - self.at[short]
+        ids = self.owner[np.repeat(self.at[short] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        counts = np.bincount(ids, minlength=len(self.size))
+        found = np.flatnonzero(counts >= need - apart)
+        both = counts[found]
+        for w in long_:
+            row = self.owner[self.at[w] : self.end[w]]
+            both = both + (row[np.minimum(np.searchsorted(row, found), len(row) - 1)] == found)
+        return found[DEN * both >= NUM * (len(query) + self.size[found] - both)]
+
+
+def search(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between the queries and the members of a block pair, as many as connect their components."""
+    rolling = Rolling(21)
+    queries, members = pdf[pdf["query"]], pdf[~pdf["query"]]
+    lists = Lists([shingles(t, rolling) for t in members["text"]])
+    cls, component = members["cls"].to_numpy(), members["component"].to_numpy()
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for text, c, own in zip(queries["text"], queries["cls"], queries["component"]):
+        for k in lists.find(shingles(text, rolling)):
+            a, b = top(own), top(component[k])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((c, cls[k]))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
 def describe_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, tkey, cls, n) of each row, saved."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"))
@@ -116,13 +179,16 @@ def describe_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return save(kept, "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The pairs (a, b) of classes that link; saved. Texts of the classes in question alone move."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    keys = save(sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("tkey").alias("tkey")), "wanted")
+def texts_of(classes: DataFrame, sets: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(cls, text): one text of each class; saved."""
+    keys = save(sets.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("tkey").alias("tkey")), "wanted")
     few = keys.count() <= BROADCAST_KEYS
     body = docs.select(F.xxhash64(text).alias("tkey"), F.col(text).alias("text"))
-    texts = save(body.join(F.broadcast(keys) if few else keys, "tkey").dropDuplicates(["cls"]).select("cls", "text"), "texts")
+    return save(body.join(F.broadcast(keys) if few else keys, "tkey").dropDuplicates(["cls"]).select("cls", "text"), "texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that link; saved."""
     one = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
     both = one.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
     return save(both.select("a", "b", "ta", "tb").mapInPandas(probe, "a long, b long"), "verified")
@@ -134,11 +200,13 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     Two sets link when 100 * intersection >= 75 * union. Equal sets are one class. A class looks up its first
     shingles in hash order, enough that two that link share `extra` of them (see lookups()). Classes fewer of whose
     lookups stand elsewhere than that leave. Of what is left the longest lists are set apart, as many as may be
-    missed (DivideSkip): the short lists are merged by token, and every candidate's whole sets are then searched,
-    long lists included, by binary probes. In each short list the class with the most frequent lookups is
-    compared first with all others; then classes of a list that are not connected yet are paired. Nothing is capped:
-    any link between different sets is found or already implied by others.
+    missed, and the short ones are merged by token: each short list has a hub, the class with the most frequent
+    lookups, and the classes of a hub's lists are its group, so classes that may link share a group. A group's
+    members are compared with the hub first. Those that do not join it are then searched among all members by
+    DivideSkip over inverted lists of whole sets, in blocks of bounded text, so a group of any size is spread over
+    block pairs. Nothing is capped: any link between different sets is found or implied by others.
     """
+    spark = docs.sparkSession
     sets = describe_rows(docs, doc_id, text)
     classes = sets.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"))
     rows = docs.select(F.col(text).alias("text")).mapInPandas(lookups, "token long, cls long, more array<long>")
@@ -154,23 +222,23 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     own = Window.partitionBy("cls")
     ranked = lists.withColumn("hits", F.count(F.lit(1)).over(own)).withColumn("weight", F.sum("df").over(own))
     ranked = ranked.withColumn("rank", F.row_number().over(own.orderBy("df", "token"))).where("hits >= need and rank <= hits - need + 1")
-    ranked = ranked.withColumn("size", F.count(F.lit(1)).over(by)).withColumn("hub", F.max(F.struct("weight", "cls", "n")).over(by)).where("size > 1")
-    short = save(ranked.select("token", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")), "short")
-    fits = lambda x, y: F.col(x) * DEN >= F.col(y) * NUM
-    star = short.where((F.col("cls") != F.col("hub")) & fits("n", "hub_n") & fits("hub_n", "n")).select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
-    tested = save(star, "star")
-    edges = verified(tested, sets, docs, text)
-    spark = docs.sparkSession
-    found = components(edges, spark)
-    labelled = short.select("token", "cls", "n").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    labelled = save(labelled, "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = save(labelled.join(mixed, "token", "left_semi"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    near = (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") > F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & fits("x.n", "y.n") & fits("y.n", "x.n")
-    pairs = x.join(y, near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = verified(save(pairs.join(known, ["a", "b"], "left_anti"), "pairs"), sets, docs, text)
+    ranked = ranked.withColumn("size", F.count(F.lit(1)).over(by)).withColumn("hub", F.max(F.struct("weight", "cls")).over(by)).where("size > 1")
+    groups = save(ranked.select(F.col("hub.cls").alias("hub"), "cls").distinct(), "groups")
+    texts = texts_of(groups.select("cls").distinct(), sets, docs, text)
+    edges = verified(groups.where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), texts)
+    found = save(components(edges, spark), "components")
+    name = lambda df, c, as_: df.join(found.select(F.col("node").alias(c), F.col("component").alias(as_)), c, "left").withColumn(as_, F.coalesce(as_, c))
+    members = name(name(groups, "cls", "component"), "hub", "hub_component").join(texts.select("cls", F.length("text").alias("chars")), "cls")
+    sizes = members.groupBy("hub").agg(F.ceil(F.sum("chars") / BLOCK_CHARS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"), F.count_if(F.col("component") != F.col("hub_component")).alias("away"))
+    # a group of two, or with all but the hub's own, is settled
+    members = members.join(sizes.where("size > 2 and away > 0"), "hub").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    members = save(members.select("hub", "cls", "component", "blocks", "block", (F.col("component") != F.col("hub_component")).alias("away")), "members")
+    asking = members.where("away").select("hub", F.col("block").alias("i")).distinct()
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    queries = members.where("away").select("hub", F.col("block").alias("i"), every.alias("j"), "cls", "component", F.lit(True).alias("query"))
+    index = members.join(asking, "hub").select("hub", "i", F.col("block").alias("j"), "cls", "component", F.lit(False).alias("query"))
+    tasks = queries.unionByName(index).join(texts, "cls")
+    more = save(tasks.groupBy("hub", "i", "j").applyInPandas(lambda pdf: search(pdf), "a long, b long"), "more")
     found = save(components(edges.unionByName(more), spark), "components")
     return save(sets.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "linked")
 
