@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
 
 #: Labelled rows that the fit takes at most: toxic, other. Words of a window, and from one window's start to the next.
-MOST_TOXIC, MOST_OTHER, WINDOW, STRIDE = 2400, 3600, 48, 24
+MOST_TOXIC, MOST_OTHER, WINDOW, STRIDE = 2400, 3600, 48, 36
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 15, 6, 10, 8
 #: Distinct words whose gate inputs a task holds at most before it starts anew.
 HELD_WORDS = 150_000
@@ -65,7 +65,7 @@ class Rows:
 
 
 def starts(n: int) -> range:
-    """Starts of windows that cover n words, each half over the next."""
+    """Starts of windows that cover n words, each a quarter over the next."""
     return range(0, max(1, n - WINDOW + STRIDE), STRIDE) if n > WINDOW else range(1)
 
 
