@@ -100,7 +100,7 @@ def owned_issues(owners: DataFrame, incidents: DataFrame, assertions: DataFrame,
 
 def guarding_assertions(stale: DataFrame, sla_hours: float) -> DataFrame:
     """An assertion for each stale table, with a stable id, and its failing run; only limits between 0 and 24 hours can be declared."""
-    return stale.where(F.lit(0 < sla_hours < 24)).select(text.stable_id(F.lit("freshness"), "dataset_urn").alias("assertion_id"), "dataset_urn", F.lit(sla_hours).alias("sla_hours"), F.lit("FAILURE").alias("result"), F.round("lag_hours", 4).alias("lag_hours"))
+    return stale.where(F.lit(0 < sla_hours < 24)).select(text.stable_id(F.lit("freshness"), "dataset_urn").alias("assertion_id"), "dataset_urn", F.lit(sla_hours).alias("sla_hours"), F.lit("FAILURE").alias("result"), "lag_hours")
 
 
 def scan_runs(events: DataFrame) -> DataFrame:

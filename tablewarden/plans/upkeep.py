@@ -162,7 +162,7 @@ query("s9_upsert_table", "SELECT model_urn, CASE WHEN c_custkey % 3 = 0 THEN 'n'
 )
 CONTRACT = "CASE WHEN native_type LIKE '%CHAR%' THEN 'string' WHEN native_type LIKE '%BOOL%' THEN 'boolean' WHEN native_type LIKE '%TIMESTAMP%' THEN 'timestamp' ELSE 'number' END"
 query("s11_schema_contract_rows", f"SELECT i.model_urn, i.dataset_urn, s.field_path, s.native_type AS physical_type, {CONTRACT} AS logical_type, NOT s.nullable AS required FROM {{inputs}} i JOIN {{schema_fields}} s ON s.dataset_urn = i.dataset_urn")(lambda a: linking.contract_rows(a.inputs, a.t.schema_fields))
-query("s12_guarding_assertions", "SELECT 'freshness-' || left(sha256(dataset_urn), 12) AS assertion_id, dataset_urn, 6.0::DOUBLE AS sla_hours, 'FAILURE' AS result, round(lag_hours, 4) AS lag_hours FROM {stale}")(lambda a: upkeep.guarding_assertions(a.stale, 6.0))
+query("s12_guarding_assertions", "SELECT 'freshness-' || left(sha256(dataset_urn), 12) AS assertion_id, dataset_urn, 6.0::DOUBLE AS sla_hours, 'FAILURE' AS result, lag_hours FROM {stale}")(lambda a: upkeep.guarding_assertions(a.stale, 6.0))
 query("a9_confusion_matrix", "SELECT tp, fp, tn, fn, tp / nullif(tp + fp, 0)::DOUBLE AS precision, tp / nullif(tp + fn, 0)::DOUBLE AS recall FROM (SELECT count(CASE WHEN quality = 0 AND n_chars < 200 THEN 1 END) AS tp, count(CASE WHEN quality = 1 AND n_chars < 200 THEN 1 END) AS fp, count(CASE WHEN quality = 1 AND n_chars >= 200 THEN 1 END) AS tn, count(CASE WHEN quality = 0 AND n_chars >= 200 THEN 1 END) AS fn FROM {labels} JOIN {documents} USING (doc_id)) x")(
     lambda a: quality.confusion(a.t.labels.join(a.t.documents, "doc_id").select((F.col("quality") == 0).alias("expected"), (F.col("n_chars") < 200).alias("observed"))).drop("f1", "false_positive_rate")
 )
