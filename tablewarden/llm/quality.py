@@ -124,3 +124,29 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     body = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text"), F.col("lang").alias("lang"), F.col("source").alias("source"))
     measured = save(with_keys(measures(body)).drop("text", "lang", "source"), "measures")
     return judge(measured).where("kept").select("doc.*")
+
+
+_METRICS = sorted({m for m, *_ in RULES})
+#: The rows of op7 in DuckDB.
+ORACLE = rf"""
+WITH w AS (SELECT doc_id, text, coalesce('=' || lang, 'null') AS lk, coalesce('=' || source, 'null') AS sk, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS ls FROM documents),
+win AS (SELECT doc_id, i, list_slice(ws, i, i + 7) AS g FROM w, unnest(range(1, len(ws) - 6)) AS t(i)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(8) AS t(k) GROUP BY doc_id),
+m0 AS (SELECT w.doc_id, lk, sk, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
+m AS (SELECT *, CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END AS symbol_rate, CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END AS word_length, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS line_rate,
+        CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS repeat_rate, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m0),
+v AS ({" UNION ALL ".join(f"SELECT lk, sk, '{m}' AS metric, {m}::BIGINT AS x FROM m WHERE NOT base_failed" for m in _METRICS)}),
+b AS (SELECT lk, sk, metric, (x >> greatest(0, length(bin(x)) - 7)) << greatest(0, length(bin(x)) - 7) AS bucket, count(*) AS n FROM v GROUP BY ALL),
+every AS (SELECT lk, sk, metric, bucket, n FROM b UNION ALL SELECT lk, '*', metric, bucket, n FROM b UNION ALL SELECT '*', '*', metric, bucket, n FROM b),
+s AS (SELECT lk, sk, metric, bucket, sum(n) AS n FROM every GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY lk, sk, metric ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY lk, sk, metric) AS total FROM s),
+q AS (SELECT lk, sk, metric, min(CASE WHEN below * 100 >= total * 10 THEN bucket END) AS q10, min(CASE WHEN below * 100 >= total * 50 THEN bucket END) AS q50, min(CASE WHEN below * 100 >= total * 90 THEN bucket END) AS q90, max(total) AS cnt FROM r GROUP BY ALL),
+t AS (SELECT lk, sk, max(cnt) AS cnt, {", ".join(f"max(CASE WHEN metric = '{m}' THEN " + (f"greatest({limit}, q90 + {SPREAD} * (q90 - q50))" if side == "upper" else f"least({limit}, q10 - {SPREAD} * (q50 - q10))") + f" END) AS {m}_{side}" for m, side, _, limit in RULES)} FROM q GROUP BY ALL),
+c AS (SELECT o.lk, o.sk, {", ".join(f"CASE WHEN o.cnt >= {LEAST_ROWS} THEN o.{m}_{side} WHEN l.cnt >= {LEAST_ROWS} THEN l.{m}_{side} ELSE e.{m}_{side} END AS {m}_{side}" for m, side, *_ in RULES)}
+        FROM t o JOIN t l ON l.lk = o.lk AND l.sk = '*' CROSS JOIN (SELECT * FROM t WHERE lk = '*') e WHERE o.sk <> '*')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {" OR ".join(f"coalesce({m} {'>' if side == 'upper' else '<'} {m}_{side}, false)" for m, side, *_ in RULES)}) AS kept
+FROM m LEFT JOIN c ON c.lk = m.lk AND c.sk = m.sk
+"""

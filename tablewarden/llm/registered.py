@@ -24,4 +24,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op7_quality_rules": quality.ORACLE}
