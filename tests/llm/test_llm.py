@@ -136,6 +136,13 @@ def test_simhash(spark):
     assert lines.hashed_lines(df, "doc_id", "text", 1).count() == 3
 
 
+def test_line_beyond_the_counters(spark):
+    """Lines of more words than a counter holds are compared by equality."""
+    many = " ".join(f"w{i}" for i in range(lines.MOST_WORDS + 1))
+    df = spark.createDataFrame([(1, "x y " * 40_000), (2, "x y " * 40_000), (3, many), (4, many[: many.rindex(" ")])], "doc_id long, text string")
+    assert [r["n_removed"] for r in lines.dedup_lines(df).orderBy("doc_id").collect()] == [0, 1, 0, 0]
+
+
 def test_quality_measures(corpus):
     df, rows = corpus
     got = Counter((r["text"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality.measures(df).collect())
