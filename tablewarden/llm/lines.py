@@ -1,19 +1,18 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one occurrence per connected group."""
+"""Fuzzy line deduplication: shared rare word grams, parity sketches, edit similarity, one occurrence per connected group."""
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, save
 
-DISTANCE, REACH, SIMILARITY, LEAST_WORDS = 3, 8, 0.8, 5
+SIMILARITY, LEAST_WORDS = 0.8, 5
+#: What tells whether two lines can be alike: words, and their parities in 128 places.
+SKETCH = ["n_words", "s0", "s1"]
 #: Most candidate lines whose places are broadcast to fetch their words, and most rows with lines to drop.
 BROADCAST_LINES = 1_000_000
-#: Most words of a line with a SimHash; counters have 16 bits, and the top one ends at the sign.
+#: Most words of a line that is compared with unequal lines.
 MOST_WORDS = (1 << 15) - 1
 
 
@@ -23,28 +22,27 @@ def normal_lines(text: Column) -> Column:
     return F.transform(F.split(plain, "\n"), lambda line: F.array_remove(F.split(line, " "), ""))
 
 
-def simhash(sums: list[Column], words: Column) -> Column:
-    """64-bit SimHash from 16 sums, the j-th counting bits j, j + 16, j + 32, j + 48 in fields: a bit is set when over half of the hashes have it."""
-    out = F.lit(0).cast("long")
-    for j, s in enumerate(sums):
-        for k in range(4):
-            place = 16 * k + j
-            bit = F.shiftrightunsigned(s, 16 * k).bitwiseAND(0xFFFF) * 2 > words
-            out = out.bitwiseOR(F.when(bit, F.lit((1 << place) - (1 << 64 if place == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
+def grams(words: str, q: int, similarity: float) -> str:
+    """SQL: the rare q-grams of a line that a line of edit similarity `similarity` or more must share one of.
 
+    A line of n words is alike to lines of n / similarity words at most, so to at most k edits away, and an edit breaks
+    at most q grams: of two alike lines, the first q * k + 1 distinct grams of each, in an order that all lines share,
+    have one in common. Long words are rare, so the order is by letters, most first, and then by hash; it is the same
+    for every corpus and decides cost only. This holds where m words have more than q * (1 - similarity) * m grams.
+    """
+    parts = [f"{words}[i + {j}]" for j in range(q)]
+    letters = " + ".join(f"length({p})" for p in parts)
+    one = f"shiftleft(cast(greatest(0, 1023 - ({letters})) as bigint), 53) | (xxhash64({', '.join(parts)}, {q}) & {(1 << 53) - 1}L)"
+    every = f"array_distinct(transform(slice({words}, 1, greatest(0, size({words}) - {q - 1})), (w, i) -> {one}))"
+    return f"slice(sort_array({every}), 1, {q} * cast(floor({1 - similarity!r}D * floor(size({words}) / {similarity!r}D + 1e-9) + 1e-9) as int) + 1)"
 
-def block_plan(lines: int, distance: int = DISTANCE) -> list[list[tuple[int, int]]]:
-    """The blocks that each table keys on, as (shift, bits).
 
-    64 bits are cut into m blocks; two hashes that differ in `distance` bits agree in m - distance blocks, so a table
-    for each choice of these finds every such pair, for any m. m is the least with under half a chance pair per line.
-    """
-    m = distance + 2
-    while comb(m, distance) * lines / 2 ** (64 * (m - distance) // m + 1) > 0.5 and m < 10:
-        m += 1
-    cuts = [64 * i // m for i in range(m + 1)]
-    return [[(cuts[b], cuts[b + 1] - cuts[b]) for b in kept] for kept in combinations(range(m), m - distance)]
+def keyed_lines(docs: DataFrame, doc_id: str, text: str, least_words: int, similarity: float) -> DataFrame:
+    """(key, lid): the grams of each line's occurrences of up to MOST_WORDS words. Triples of words; pairs where the longer of two lines may have 5."""
+    every = occurrences(docs, doc_id, text, least_words).where(F.size("words") <= MOST_WORDS)
+    three, two = (grams("words", q, similarity) for q in (3, 2))
+    keys = F.expr(f"concat(if(size(words) >= 5, {three}, cast(array() as array<bigint>)), if(size(words) <= 5, {two}, cast(array() as array<bigint>)))")
+    return every.select(F.xxhash64("words").alias("lid"), F.explode(keys).alias("key"))
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str, least_words: int) -> DataFrame:
@@ -58,50 +56,37 @@ def identity(doc_id: str, text: str) -> list[Column]:
 
 
 def hashed_lines(docs: DataFrame, doc_id: str, text: str, least_words: int) -> DataFrame:
-    """(doc, i1, i2, pos, lid, lid2, n_words, sim): lines that take part, sim null beyond MOST_WORDS. Counters are summed in each task before they move."""
+    """(doc, i1, i2, pos, lid, lid2, n_words, s0, s1): lines that take part. s0 and s1 hold the parity of the words in each of 128 places, so an edit turns two bits at most."""
     every = occurrences(docs, doc_id, text, least_words)
-    keys = ["doc", "i1", "i2", "pos", "lid", "lid2", "n_words"]
-    # pairs of words, the last with none: single words are so unevenly common that unlike lines would agree
-    pair = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
-    pairs = F.when(F.size("words") <= MOST_WORDS, pair).alias("pairs")
-    named = every.select("doc", "i1", "i2", "pos", F.xxhash64("words").alias("lid"), F.xxhash64("words", F.lit(1)).alias("lid2"), F.size("words").alias("n_words"), pairs)
-    ones = F.lit(0x1000100010001)
-    parts = named.select(*keys, F.explode_outer("pairs").alias("h"))
-    sums = parts.groupBy(*keys).agg(*[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(ones)).alias(f"s{j}") for j in range(16)])
-    sim = F.when(F.col("n_words") <= MOST_WORDS, simhash([F.col(f"s{j}") for j in range(16)], F.col("n_words")))
-    return sums.select(*keys, sim.alias("sim"))
-
-
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
+    named = every.select("doc", "i1", "i2", "pos", F.xxhash64("words").alias("lid"), F.xxhash64("words", F.lit(1)).alias("lid2"), F.size("words").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w, F.lit(2))).alias("h"))
+    parity = [F.expr(f"aggregate(h, 0L, (s, x) -> s ^ if((x & 64) = {64 * j}, shiftleft(1L, cast(x & 63 as int)), 0L))").alias(f"s{j}") for j in range(2)]
+    return named.select("doc", "i1", "i2", "pos", "lid", "lid2", "n_words", *parity)
+
+
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
     """(i1, i2, drop): positions of the lines that go, for each row that loses any.
 
-    Lines of `least_words` words or more take part. Two lines are linked when their words are equal, or when their
-    SimHashes share a bucket of the block tables and differ in REACH bits at most (all pairs within `distance` share
-    one) and their edit similarity in words is `similarity` or more. Of each connected group the occurrence that
-    comes first by (id as text, row, position) stays. Equal lines are one node, so no copies are ever paired. In a bucket
-    the most frequent line is compared with all others first, then the first line of each group with the lines
-    outside it, and only what is still not connected is paired with everything outside its group; joins keep no pair
-    beyond REACH. Lines of over MOST_WORDS words take part by equality alone. Texts are compared whole.
+    Lines of `least_words` words or more take part. Two lines are linked when their words are equal or their edit
+    similarity in words is `similarity` (0.75 or more) or more: all such pairs share a gram, see grams(). Of each
+    connected group the occurrence that comes first by (id as text, row, position) stays. Equal lines are one node, so
+    no copies are ever paired. Among the lines of a gram one is compared with all others first, then the first line of
+    each group with the lines outside it, and only what is still not connected is paired with everything outside its
+    group; joins keep no pair whose lengths or parities need more edits than `similarity` allows. Lines of over
+    MOST_WORDS words take part by equality alone. Texts are compared whole.
     """
     occ = save(hashed_lines(docs, doc_id, text, least_words), "occurrences")
     first = F.min(F.struct("doc", "i1", "i2", "pos")).alias("keep")
-    lines = save(occ.groupBy("lid", "lid2").agg(F.min("sim").alias("sim"), F.min("n_words").alias("n_words"), F.count(F.lit(1)).alias("n"), first), "lines")
-    tables = block_plan(lines.count(), distance)
-    cut = lambda block: F.expr(f"shiftrightunsigned(sim, {block[0]}) & {(1 << block[1]) - 1}L")
-    # tables whose blocks agree but for the last share a prefix: rows move once for it and meet their last blocks there
-    prefixes = sorted({tuple(t[:-1]) for t in tables})
-    lead = F.array(*[F.struct(F.lit(i).alias("p"), F.xxhash64(F.lit(i), *map(cut, head)).alias("lead")) for i, head in enumerate(prefixes)])
-    rows = lines.where(F.col("n_words") <= MOST_WORDS).select("lid", "sim", "n", F.explode(lead).alias("x")).select("lid", "sim", "n", "x.p", "x.lead").repartition("lead")
-    last = [F.array(*[F.xxhash64("lead", F.lit(t[-1][0]), cut(t[-1])) for t in tables if tuple(t[:-1]) == head]) for head in prefixes]
-    rows = rows.select("lid", "sim", "n", "lead", F.explode(F.coalesce(*[F.when(F.col("p") == i, keys) for i, keys in enumerate(last)])).alias("key"))
-    bucket = Window.partitionBy("lead", "key")
-    shared = rows.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.max(F.struct("n", "lid", "sim")).over(bucket))
-    # two lines that share a bucket by chance are told at once; such buckets grow with the square of the lines
-    shared = shared.withColumn("apart", F.bit_count(F.min("sim").over(bucket).bitwiseXOR(F.max("sim").over(bucket)))).where((F.col("size") > 2) | ((F.col("size") == 2) & (F.col("apart") <= REACH)))
-    shared = save(shared.select("key", "lid", "sim", "n", F.col("hub.lid").alias("hub"), F.col("hub.sim").alias("hub_sim")), "buckets")
-    within = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= REACH
+    lines = save(occ.groupBy("lid", "lid2").agg(*[F.min(c).alias(c) for c in SKETCH], first, F.count(F.lit(1)).alias("n")), "lines")
+    # most grams stand in one line, so they move with nothing but its name
+    rows = keyed_lines(docs, doc_id, text, least_words, similarity).repartition("key").dropDuplicates(["key", "lid"])
+    bucket = Window.partitionBy("key")
+    shared = rows.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.max("lid").over(bucket)).where("size > 1")
+    shared = save(shared.select("key", "lid", "hub"), "buckets")
+    sketch = lines.select("lid", *SKETCH).dropDuplicates(["lid"])
     pair = lambda x, y: [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
-    star = shared.where((F.col("lid") != F.col("hub")) & within("sim", "hub_sim")).select(*pair("lid", "hub")).distinct()
+    sided = lambda side: sketch.select(F.col("lid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in SKETCH])
+    star = shared.where("lid <> hub").select("lid", "hub").distinct().join(sided("lid"), "lid").join(sided("hub"), "hub")
+    star = star.where(may_match("lid_", "hub_", similarity)).select(*pair("lid", "hub")).distinct()
     tested, edges, spark = None, None, docs.sparkSession
     where = lines.select("lid", "lid2", "keep")
     for turn in range(3):
@@ -109,14 +94,15 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distan
             pairs = star
         else:
             found = components(edges, spark)
-            labelled = shared.select("key", "lid", "sim", "n").join(found.withColumnRenamed("node", "lid"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+            named = sketch.join(found.withColumnRenamed("node", "lid"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+            labelled = shared.select("key", "lid").join(named, "lid")
             mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
             open_ = save(labelled.join(mixed, "key", "left_semi"), "open")
             other = open_
             if turn == 1:
-                other = open_.groupBy("key", "component").agg(F.max(F.struct("n", "lid", "sim")).alias("r")).select("key", "component", "r.*")
+                other = open_.groupBy("key", "component").agg(F.max(F.struct("lid", *SKETCH)).alias("r")).select("key", "component", "r.*")
             x, y = open_.alias("x"), other.alias("y")
-            near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & within("x.sim", "y.sim")
+            near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & may_match("x.", "y.", similarity)
             if turn == 2:
                 near = near & (F.col("x.lid") > F.col("y.lid"))
             pairs = x.join(y, near).select(*pair("x.lid", "y.lid")).distinct().join(tested, ["a", "b"], "left_anti")
@@ -133,6 +119,13 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distan
     return gone.groupBy("i1", "i2").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
+def may_match(x: str, y: str, similarity: float) -> Column:
+    """Lengths and parities of two lines, by column prefix, leave an edit similarity of `similarity` possible."""
+    most = f"floor({1 - similarity!r}D * greatest({x}n_words, {y}n_words) + 1e-9)"
+    apart = " + ".join(f"bit_count({x}{s} ^ {y}{s})" for s in SKETCH[1:])
+    return F.expr(f"abs({x}n_words - {y}n_words) <= {most} and {apart} <= 2 * {most}")
+
+
 def coded(line: Column) -> Column:
     """A line's words as one character each (of 50,000, by hash), so that edit distance counts words."""
     code = F.transform(line, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(50_000)) + 256), 4, "0"))

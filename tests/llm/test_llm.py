@@ -130,6 +130,39 @@ def test_line_dedup(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_finds_every_similar_line(spark):
+    """Groups by brute-force edit similarity of lines of 5 to 100 words with 10 to 25 % of the words changed."""
+    rng = random.Random(8)
+    rows = []
+    for n in [5, 6, 8, 9, 10, 12, 15, 20, 33, 40, 80, 100] * 4:
+        base = words(rng, n).split()
+        rows.append(base)
+        for share in (0.1, 0.2, 0.25):
+            w = list(base)
+            for _ in range(max(1, int(share * n))):
+                k = rng.randrange(len(w))
+                w[k : k + 1] = rng.choice([[], ["changed"], [w[k], "added"]])
+            rows.append(w)
+    rows += [["la"] * 12, ["la"] * 14, ["la"] * 18]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    low = list(range(len(rows)))
+    alike = [(a, b) for a in range(len(rows)) for b in range(a) if min(len(rows[a]), len(rows[b])) >= 5 and 5 * abs(len(rows[a]) - len(rows[b])) <= max(len(rows[a]), len(rows[b])) and 5 * edits(rows[a], rows[b]) <= max(len(rows[a]), len(rows[b]))]
+    for _ in rows:
+        for a, b in alike:
+            low[a] = low[b] = min(low[a], low[b])
+    df = spark.createDataFrame([(1000 + i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"] - 1000 for r in lines.dedup_lines(df).where("n_removed = 1").collect()}
+    assert len(alike) > 80 and got == {i for i in range(len(rows)) if low[i] != i}
+
+
 def test_simhash(spark):
     rows = [["a", "b", "c", "d", "e"], ["x"] * 6, [str(i % 97) for i in range(3000)]]
     df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
