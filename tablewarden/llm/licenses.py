@@ -29,7 +29,7 @@ TEMPLATES = [
     ("spdx", "spdx license identifier", ["spdx license identifier"]),
 ]
 
-INDEX_WORDS, TOP_WORDS, LEAST_MATCH = 12, 16, 0.6
+INDEX_WORDS, LEAST_MATCH = 12, 0.6
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -46,15 +46,15 @@ def _quoted(values) -> str:
     return ", ".join("'" + v + "'" for v in values)
 
 
-def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, index_words: int = INDEX_WORDS, top_words: int = TOP_WORDS, least_match: float = LEAST_MATCH) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, index_words: int = INDEX_WORDS, least_match: float = LEAST_MATCH) -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
     A first pass counts in how many documents each template word occurs (at most as many counts as the templates
     have words reach the driver). Each template is indexed by its rarest words and their positions. A document looks
-    up its highest-IDF indexed words, turns every occurrence into (template, place minus position), and an
-    alignment that enough of them share is a candidate; its words are then compared in place, and the key phrases
-    must stand there. The base phrases are indexed by all their words and need all of them. Null and empty texts
-    have no words and score 0.
+    up all its indexed words, so what it is found to hold in one place does not hang on other places. Every occurrence
+    becomes (template, place minus position), and an alignment that enough of them share is a candidate; its words are
+    then compared in place, and the key phrases must stand there. The base phrases are indexed by all their words and
+    need all of them. Null and empty texts have no words and score 0.
     """
     base = [(label, phrase.split()) for label, phrase in BASE]
     rest = [(label, t.split(), [p.split() for p in keys]) for label, t, keys in templates]
@@ -75,9 +75,14 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, index_words:
         postings += found
         needs.append(max(2, math.ceil(0.4 * len(found))))
     indexed = sorted({w for w, *_ in postings})
-    post = "array(" + ", ".join(f"named_struct('w', '{w}', 't', {t}, 'p', {p}, 'b', {b})" for w, t, p, b in postings) + ")"
+    lists = []  # by kind: the words, and a map from them to their postings
+    for kind in (0, 1):
+        by_word: dict[str, list[str]] = {}
+        for w, t, p, b in postings:
+            if b == kind:
+                by_word.setdefault(w, []).append(f"named_struct('t', {t}, 'p', {p})")
+        lists.append((_quoted(by_word), "map(" + ", ".join(f"'{w}', array({', '.join(ps)})" for w, ps in by_word.items()) + ")"))
     need = "array(" + ", ".join(map(str, needs)) + ")"
-    weight = "map(" + ", ".join(f"'{w}', {idf[w]!r}D" for w in indexed) + ")"
     bodies_sql = "array(" + ", ".join(f"array({_quoted(ws)})" for _, ws in [*base, *[(a, b) for a, b, _ in rest]]) + ")"
 
     def places(ws: list[str], phrase: list[str]) -> list[int]:
@@ -89,17 +94,15 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, index_words:
     # (place, word) of the indexed words; transform(array(x), v -> ...)[0] evaluates x once
     hits = f"""transform(array(ws), v -> transform(filter(transform(v, (w, i) -> if(w in ({_quoted(indexed)}), i, null)), i -> i is not null),
         i -> named_struct('i', i, 'w', v[i])))[0]"""
-    aligned = """transform(array(array_sort(flatten(transform({hits}, x -> transform(filter({post}, q -> q.w = x.w and q.b = {b}), q -> named_struct('t', q.t, 'o', x.i - q.p)))))),
+    aligned = """transform(array(array_sort(flatten(transform(filter(hits, x -> x.w in ({words})), x -> transform({post}[x.w], q -> named_struct('t', q.t, 'o', x.i - q.p)))))),
         c -> filter(c, (x, k) -> get(c, k + {need}[x.t] - 1) = x and not coalesce(get(c, k - 1) = x, false)))[0]"""
-    top = f"transform(slice(array_sort(array_distinct(transform(hits, x -> named_struct('f', -{weight}[x.w], 'w', x.w)))), 1, {top_words}), y -> y.w)"
     verify = f"""filter(transform(general, x -> transform(array({bodies_sql}[x.t]), b -> named_struct('t', x.t, 'o', x.o,
             'share', size(filter(sequence(0, size(b) - 1), p -> get(ws, x.o + p) = b[p])) / size(b),
             'keys', forall({keys}[x.t], p -> coalesce(get(ws, x.o + p) = b[p], false))))[0]), m -> m.keys and m.share >= {least_match}D)"""
     out = docs.withColumn("ws", words_of(text)).withColumn("n_words", F.size("ws").cast("long")).withColumn("hits", F.expr(hits))
     none = "cast(array() as array<struct<t:int,o:int>>)"
-    out = out.withColumn("found", F.expr(f"if(size(hits) = 0, {none}, {aligned.format(hits='hits', post=post, need=need, b=1)})"))
-    strong = f"transform(array({top}), s -> filter(hits, x -> array_contains(s, x.w)))[0]"
-    out = out.withColumn("general", F.expr(f"if(size(hits) < 2, {none}, {aligned.format(hits=strong, post=post, need=need, b=0)})"))
+    out = out.withColumn("found", F.expr(f"if(size(hits) = 0, {none}, {aligned.format(words=lists[1][0], post=lists[1][1], need=need)})"))
+    out = out.withColumn("general", F.expr(f"if(size(hits) < 2, {none}, {aligned.format(words=lists[0][0], post=lists[0][1], need=need)})"))
     empty = "cast(array() as array<struct<t:int,o:int,share:double,keys:boolean>>)"
     out = out.withColumn("matches", F.expr(f"if(size(general) = 0, {empty}, {verify})"))
     label = lambda column: f"transform({column}, x -> {names}[x.t])"

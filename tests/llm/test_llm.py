@@ -56,6 +56,16 @@ def test_license_scan(corpus):
     assert "apache,apache-2.0,mit" in labels
 
 
+def test_license_scan_finds_all_templates_of_a_document(spark):
+    """Each passage that stands word for word is found, whatever stands beside it."""
+    every = [t for _, t, _ in licenses.TEMPLATES]
+    rows = [(0, " filler ".join(every)), (1, " filler ".join(reversed(every)))] + [(2 + i, t) for i, t in enumerate(every)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: {m["label"] for m in r["matches"]} for r in licenses.scan(df).collect()}
+    for i, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[0] and label in got[1] and label in got[2 + i]
+
+
 def test_sharding(corpus, empty):
     df, rows = corpus
     got = sharding.shard_documents(df, shards=5).collect()
