@@ -15,16 +15,22 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
 
 #: Labelled rows that the fit takes at most: toxic, other. Words of a window, and from one window's start to the next.
-MOST_TOXIC, MOST_OTHER, WINDOW, STRIDE = 2400, 3600, 48, 36
+MOST_TOXIC, MOST_OTHER, WINDOW, STRIDE = 2400, 3600, 48, 24
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 15, 6, 10, 8
 #: Distinct words whose gate inputs a task holds at most before it starts anew.
 HELD_WORDS = 150_000
 THRESHOLD = 0.3
+#: Characters of a piece of a run without spaces, and of two neighbouring pieces in common.
+LONG, OVER = 64, 16
 _WORD = re.compile(r"\w+")
 
 
 def tokens(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Words; a run of over LONG characters counts as pieces of LONG that overlap by OVER."""
+    words = _WORD.findall((text or "").lower())
+    if all(len(w) <= LONG for w in words):
+        return words
+    return [w[i : i + LONG] for w in words for i in range(0, max(1, len(w) - OVER), LONG - OVER)]
 
 
 def word_row(word: str) -> int:
@@ -33,7 +39,7 @@ def word_row(word: str) -> int:
 
 def char_rows(word: str) -> tuple[list[int], list[int]]:
     """Rows of a word's beginnings of 2 to 8 letters, and of its character 4-grams, ends marked."""
-    w = f"<{word[:64]}>"
+    w = f"<{word}>"
     begin = [zlib.crc32(w[:k].encode(), 1) % CHAR_ROWS for k in range(3, min(10, len(w) + 1))]
     return begin, [zlib.crc32(w[i : i + 4].encode(), 2) % CHAR_ROWS for i in range(max(1, len(w) - 3))]
 
@@ -65,7 +71,7 @@ class Rows:
 
 
 def starts(n: int) -> range:
-    """Starts of windows that cover n words, each a quarter over the next."""
+    """Starts of windows that cover n words, each a half over the next."""
     return range(0, max(1, n - WINDOW + STRIDE), STRIDE) if n > WINDOW else range(1)
 
 

@@ -278,6 +278,18 @@ def test_toxicity_learns_words():
     assert scores[:40][y == 1].mean() > scores[:40][y == 0].mean() and len(scores) == 42
 
 
+def test_toxicity_reads_windows_by_half_and_long_runs_whole():
+    """Any 24 words stand in one window, and characters far into a run without spaces reach the inputs."""
+    for n in (49, 72, 73, 200):
+        spans = [(s, min(n, s + toxicity.WINDOW)) for s in toxicity.starts(n)]
+        assert all(any(a <= k and k + 24 <= b for a, b in spans) for k in range(n - 23))
+    run = "".join(random.Random(6).choice("abcdefgh") for _ in range(1000))
+    for text in (run[:64], run[:65], run[:80], run[:112], run[:113], run):
+        grams = {r for w in toxicity.tokens(text) for r in toxicity.char_rows(w)[1]}
+        want = {toxicity.zlib.crc32(text[i : i + 4].encode(), 2) % toxicity.CHAR_ROWS for i in range(len(text) - 3)}
+        assert want <= grams and max(map(len, toxicity.tokens(text))) <= toxicity.LONG
+
+
 def test_pipeline_and_gradient(spark, tmp_path):
     net = toxicity.Network(1)
     rng = np.random.default_rng(0)
