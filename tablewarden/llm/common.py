@@ -11,12 +11,20 @@ from pyspark.sql import functions as F
 
 #: Rows that one window partition of two_level_rank() holds, about.
 RANK_ROWS = 10_000
+#: Edges that one task contracts without a shuffle; more are shuffled.
+ONE_TASK_EDGES = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a local session (one process) gets a folder of its own; on a cluster that would lose data, so
+    there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tablewarden-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -27,7 +35,33 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete saved tables that nothing reads any more."""
+    for table in tables:
+        if table is not None and (path := getattr(table, "saved_at", None)):
+            jvm = table.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def quoted(column: str) -> str:
+    """A column's name as one name, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns as one struct, which keeps their names away from an operator's own."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def unpacked(docs: DataFrame, struct: str) -> list[Column]:
+    """The columns of docs out of packed() under the name `struct`."""
+    return [F.col(f"{struct}.{quoted(c)}").alias(c) for c in docs.columns]
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -56,13 +90,20 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     """Smallest reachable node of each node that has an edge, from edges (a, b) of longs.
 
     Alternating large-star and small-star contractions: each round sends neighbours to the smallest one, so a hub's
-    edges are replaced by edges to its label and the rounds grow as the logarithm of the longest chain. Returns
+    edges are replaced by edges to its label and the rounds grow as the logarithm of the longest chain. Up to
+    ONE_TASK_EDGES edges, counted first, are contracted in one task, which spares their shuffles. Returns
     (node, component).
     """
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == seen or not mark[0]:
+            break
+        seen, before = mark, now
+        if mark[0] <= ONE_TASK_EDGES:
+            now = now.coalesce(1)
+        both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = now_large(both, low)
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -70,10 +111,7 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
             large.join(low2, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         )
         now = save(small, "edges")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
+        discard(before)
     roots = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     return roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
 

@@ -1,170 +1,229 @@
-"""Fuzzy line deduplication: shared rare word grams, parity sketches, edit similarity, one occurrence per connected group."""
+"""Fuzzy line deduplication: sampled word pairs, word sketches, edit similarity, one occurrence per connected group."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, save
+from .common import components, discard, packed, quoted, save, unpacked
 
-SIMILARITY, LEAST_WORDS = 0.8, 5
-#: What tells whether two lines can be alike: words, and their parities in 128 places.
-SKETCH = ["n_words", "s0", "s1"]
-#: Most candidate lines whose places are broadcast to fetch their words, and most rows with lines to drop.
-BROADCAST_LINES = 1_000_000
-#: Most words of a line that is compared with unequal lines.
-MOST_WORDS = (1 << 15) - 1
+#: Edit similarity in words from which on two lines are linked; 0.75 at least.
+SIMILARITY = 0.8
+#: Word pairs that name a line when candidates are searched. Lines of up to SHORT words are named by all their pairs.
+SLOTS = 16
+SHORT = SLOTS + 1
+#: Most rows that are broadcast: places or positions of some 40 bytes.
+BROADCAST_ROWS = 400_000
+#: Lines of a bucket that one task compares with as many others; larger buckets are cut into blocks.
+BLOCK = 1000
+
+
+def normal_words(line: Column) -> Column:
+    """The words of a line: lower case, letters and digits."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "), " "), "")
+
+
+def identity(doc_id: str, text: str) -> list[Column]:
+    """Names rows of equal id and text."""
+    return [F.xxhash64(doc_id, text).alias("i1"), F.xxhash64(text, F.lit(7), doc_id).alias("i2")]
 
 
-def normal_lines(text: Column) -> Column:
-    """The words of each line: lower case, letters and digits. The text is rewritten once, then cut."""
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
-    return F.transform(F.split(plain, "\n"), lambda line: F.array_remove(F.split(line, " "), ""))
+def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, i1, i2, pos, lid): each line that has a word, pos from 1; and pos 0 once for each row with a text."""
+    every = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("string").alias("doc"), *identity(doc_id, text), F.posexplode(F.concat(F.array(F.lit("")), F.split(text, "\n"))).alias("pos", "line"))
+    return every.where((F.col("pos") == 0) | F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc", "i1", "i2", "pos", F.xxhash64("line").alias("lid"))
 
 
-def grams(words: str, q: int, similarity: float) -> str:
-    """SQL: the rare q-grams of a line that a line of edit similarity `similarity` or more must share one of.
+def sketched(docs: DataFrame, text: str) -> DataFrame:
+    """(lid, n_words, s0, s1, keys) of each distinct line that has a word.
 
-    A line of n words is alike to lines of n / similarity words at most, so to at most k edits away, and an edit breaks
-    at most q grams: of two alike lines, the first q * k + 1 distinct grams of each, in an order that all lines share,
-    have one in common. Long words are rare, so the order is by letters, most first, and then by hash; it is the same
-    for every corpus and decides cost only. This holds where m words have more than q * (1 - similarity) * m grams.
+    keys: a hash of all the words, and for lines of 4 words or more (shorter ones are alike only when equal) hashes of
+    pairs of neighbouring words. Each of SLOTS slots draws one pair: the least by hash, xor-ed with the slot's own
+    constant, where each letter more makes a pair up to 2^8 times likelier to be drawn, since long words are rare. A
+    pair's draw does not hang on the corpus, so lines that share most pairs draw alike. s0 and s1 mark the places, of
+    128, of the words' hashes: an edit turns two marks at most. All of it is a minimum or a bitwise or over rows of
+    words, so copies of a line are combined before anything is shuffled.
     """
-    parts = [f"{words}[i + {j}]" for j in range(q)]
-    letters = " + ".join(f"length({p})" for p in parts)
-    one = f"shiftleft(cast(greatest(0, 1023 - ({letters})) as bigint), 53) | (xxhash64({', '.join(parts)}, {q}) & {(1 << 53) - 1}L)"
-    every = f"array_distinct(transform(slice({words}, 1, greatest(0, size({words}) - {q - 1})), (w, i) -> {one}))"
-    return f"slice(sort_array({every}), 1, {q} * cast(floor({1 - similarity!r}D * floor(size({words}) / {similarity!r}D + 1e-9) + 1e-9) as int) + 1)"
+    lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).select(F.xxhash64("line").alias("lid"), normal_words(F.col("line")).alias("words"))
+    lines = lines.select("lid", "words", F.size("words").alias("n"), F.xxhash64("words").alias("whole"))
+    words = lines.select("lid", "n", "whole", "words", F.posexplode("words").alias("i", "w")).withColumn("v", F.get("words", F.col("i") + 1))
+    pair = F.when(F.col("v").isNotNull(), F.xxhash64("w", "v"))
+    weight = F.greatest(F.lit(0), F.least(F.lit(8), F.octet_length("w") + F.octet_length("v") - 6))
+    words = words.select("lid", "i", "n", "whole", F.xxhash64("w").alias("h"), pair.alias("pair"), weight.alias("weight"))
+    low = F.col("pair").bitwiseAND(F.lit((1 << 40) - 1))
+    top = F.shiftrightunsigned("pair", 41)
+    words = words.withColumn("low", low).withColumn("top", top)
+    slots = [F.min(F.when(F.col("n") > SHORT, F.expr(f"shiftleft(shiftrightunsigned(top ^ {j << 19}L, weight), 40) | low")).when(F.col("i") == j, F.col("low"))).alias(f"p{j}") for j in range(SLOTS)]
+    marks = [F.bit_or(F.expr(f"if((h & 64) = {64 * j}, shiftleft(1L, cast(h & 63 as int)), 0L)")).alias(f"s{j}") for j in range(2)]
+    found = words.groupBy("lid").agg(F.max("n").alias("n_words"), F.max("whole").alias("whole"), *marks, *slots)
+    pairs = F.array_compact(F.array(*[F.col(f"p{j}").bitwiseAND(F.lit((1 << 40) - 1)) for j in range(SLOTS)]))
+    whole = F.array(F.shiftrightunsigned("whole", 2).bitwiseOR(F.lit(1 << 62)))
+    return found.select("lid", "n_words", "s0", "s1", F.when(F.col("n_words") >= 4, F.array_distinct(F.concat(whole, pairs))).otherwise(whole).alias("keys"))
 
 
-def keyed_lines(docs: DataFrame, doc_id: str, text: str, least_words: int, similarity: float) -> DataFrame:
-    """(key, lid): the grams of each line's occurrences of up to MOST_WORDS words. Triples of words; pairs where the longer of two lines may have 5."""
-    every = occurrences(docs, doc_id, text, least_words).where(F.size("words") <= MOST_WORDS)
-    three, two = (grams("words", q, similarity) for q in (3, 2))
-    keys = F.expr(f"concat(if(size(words) >= 5, {three}, cast(array() as array<bigint>)), if(size(words) <= 5, {two}, cast(array() as array<bigint>)))")
-    return every.select(F.xxhash64("words").alias("lid"), F.explode(keys).alias("key"))
+SKETCH = ["n_words", "s0", "s1"]
 
 
-def occurrences(docs: DataFrame, doc_id: str, text: str, least_words: int) -> DataFrame:
-    """(doc, i1, i2, pos, words): lines that take part. (i1, i2) names rows of equal id and text."""
-    found = docs.select(F.col(doc_id).cast("string").alias("doc"), *identity(doc_id, text), F.posexplode(normal_lines(F.col(text))).alias("pos", "words"))
-    return found.where(F.size("words") >= least_words)
+def may_match(x: str, y: str, similarity: float) -> Column:
+    """Lengths and marks of two lines, by column prefix, leave an edit similarity of `similarity` possible."""
+    most = f"floor({1 - similarity!r}D * greatest({x}n_words, {y}n_words) + 1e-9)"
+    apart = " + ".join(f"bit_count({x}{s} ^ {y}{s})" for s in SKETCH[1:])
+    return F.expr(f"abs({x}n_words - {y}n_words) <= {most} and {apart} <= 2 * {most}")
 
 
-def identity(doc_id: str, text: str) -> list[Column]:
-    return [F.xxhash64(doc_id, text).alias("i1"), F.xxhash64(text, F.lit(7), doc_id).alias("i2")]
+def ordered(x: str, y: str) -> list[Column]:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
-def hashed_lines(docs: DataFrame, doc_id: str, text: str, least_words: int) -> DataFrame:
-    """(doc, i1, i2, pos, lid, lid2, n_words, s0, s1): lines that take part. s0 and s1 hold the parity of the words in each of 128 places, so an edit turns two bits at most."""
-    every = occurrences(docs, doc_id, text, least_words)
-    named = every.select("doc", "i1", "i2", "pos", F.xxhash64("words").alias("lid"), F.xxhash64("words", F.lit(1)).alias("lid2"), F.size("words").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w, F.lit(2))).alias("h"))
-    parity = [F.expr(f"aggregate(h, 0L, (s, x) -> s ^ if((x & 64) = {64 * j}, shiftleft(1L, cast(x & 63 as int)), 0L))").alias(f"s{j}") for j in range(2)]
-    return named.select("doc", "i1", "i2", "pos", "lid", "lid2", "n_words", *parity)
+def few(table: DataFrame) -> DataFrame:
+    """A saved table, to be broadcast when a count shows that it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(i1, i2, drop): positions of the lines that go, for each row that loses any.
+def across(left: DataFrame, right: DataFrame, sizes: DataFrame, near: Column) -> DataFrame:
+    """Pairs (a, b) of lines of one key from `left` x and `right` y for which `near` holds.
 
-    Lines of `least_words` words or more take part. Two lines are linked when their words are equal or their edit
-    similarity in words is `similarity` (0.75 or more) or more: all such pairs share a gram, see grams(). Of each
-    connected group the occurrence that comes first by (id as text, row, position) stays. Equal lines are one node, so
-    no copies are ever paired. Among the lines of a gram one is compared with all others first, then the first line of
-    each group with the lines outside it, and only what is still not connected is paired with everything outside its
-    group; joins keep no pair whose lengths or parities need more edits than `similarity` allows. Lines of over
-    MOST_WORDS words take part by equality alone. Texts are compared whole.
+    A key of more than BLOCK lines is dealt over pairs of blocks, so that no task compares more than about BLOCK lines
+    with as many others.
     """
-    occ = save(hashed_lines(docs, doc_id, text, least_words), "occurrences")
-    first = F.min(F.struct("doc", "i1", "i2", "pos")).alias("keep")
-    lines = save(occ.groupBy("lid", "lid2").agg(*[F.min(c).alias(c) for c in SKETCH], first, F.count(F.lit(1)).alias("n")), "lines")
-    # most grams stand in one line, so they move with nothing but its name
-    rows = keyed_lines(docs, doc_id, text, least_words, similarity).repartition("key").dropDuplicates(["key", "lid"])
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int")
+    sized = sizes.select("key", blocks.alias("blocks"))
+    x = left.join(sized, "key").withColumn("i", own).withColumn("j", F.explode(every)).drop("blocks").alias("x")
+    y = right.join(sized, "key").withColumn("j", own).withColumn("i", F.explode(every)).drop("blocks").alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    return x.join(y, met & (F.col("x.component") != F.col("y.component")) & near).select(*ordered("x.lid", "y.lid")).distinct()
+
+
+def similar_lines(lines: DataFrame, sketches: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame | None:
+    """(lid, component) of the distinct lines that are linked with others; saved.
+
+    Lines that share a key are candidates. One line of a key is compared with all others first; then, where they are
+    not all connected, one line of each connected part with the lines outside that part; then only the rest with each
+    other. So copies of one line that differ a little cost comparisons in proportion to their number, while every
+    candidate pair is either compared or known to be connected.
+    """
+    spark, keyed = docs.sparkSession, sketches.select("lid", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
-    shared = rows.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.max("lid").over(bucket)).where("size > 1")
+    shared = keyed.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.max("lid").over(bucket)).where("size > 1")
     shared = save(shared.select("key", "lid", "hub"), "buckets")
-    sketch = lines.select("lid", *SKETCH).dropDuplicates(["lid"])
-    pair = lambda x, y: [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+    sketch = sketches.select("lid", *SKETCH)
     sided = lambda side: sketch.select(F.col("lid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in SKETCH])
     star = shared.where("lid <> hub").select("lid", "hub").distinct().join(sided("lid"), "lid").join(sided("hub"), "hub")
-    star = star.where(may_match("lid_", "hub_", similarity)).select(*pair("lid", "hub")).distinct()
-    tested, edges, spark = None, None, docs.sparkSession
-    where = lines.select("lid", "lid2", "keep")
-    for turn in range(3):
-        if turn == 0:
-            pairs = star
-        else:
-            found = components(edges, spark)
-            named = sketch.join(found.withColumnRenamed("node", "lid"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
-            labelled = shared.select("key", "lid").join(named, "lid")
-            mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-            open_ = save(labelled.join(mixed, "key", "left_semi"), "open")
-            other = open_
-            if turn == 1:
-                other = open_.groupBy("key", "component").agg(F.max(F.struct("lid", *SKETCH)).alias("r")).select("key", "component", "r.*")
-            x, y = open_.alias("x"), other.alias("y")
-            near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & may_match("x.", "y.", similarity)
-            if turn == 2:
-                near = near & (F.col("x.lid") > F.col("y.lid"))
-            pairs = x.join(y, near).select(*pair("x.lid", "y.lid")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = save(pairs, "pairs")
-        good = verified(pairs, where, docs, doc_id, text, similarity)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = good if edges is None else edges.unionByName(good)
+    pairs = save(star.where(may_match("lid_", "hub_", similarity)).select(*ordered("lid", "hub")), "pairs")
+    edges = verified(pairs, lines, docs, doc_id, text, similarity)
     found = save(components(edges, spark), "components")
-    grouped = lines.select("lid", "lid2", "n", "keep").join(found.withColumnRenamed("node", "lid"), "lid", "left")
-    keep = save(grouped.where("component is not null").groupBy("component").agg(F.min("keep").alias("best")), "best")
-    keep = F.broadcast(keep) if keep.count() <= BROADCAST_LINES else keep
-    grouped = grouped.where("component is not null or n > 1").join(keep, "component", "left").select("lid", "lid2", F.coalesce("best", "keep").alias("best"))
-    gone = occ.join(grouped, ["lid", "lid2"]).where(~F.struct("doc", "i1", "i2", "pos").eqNullSafe(F.col("best")))
-    return gone.groupBy("i1", "i2").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
-
-
-def may_match(x: str, y: str, similarity: float) -> Column:
-    """Lengths and parities of two lines, by column prefix, leave an edit similarity of `similarity` possible."""
-    most = f"floor({1 - similarity!r}D * greatest({x}n_words, {y}n_words) + 1e-9)"
-    apart = " + ".join(f"bit_count({x}{s} ^ {y}{s})" for s in SKETCH[1:])
-    return F.expr(f"abs({x}n_words - {y}n_words) <= {most} and {apart} <= 2 * {most}")
-
-
-def coded(line: Column) -> Column:
-    """A line's words as one character each (of 50,000, by hash), so that edit distance counts words."""
-    code = F.transform(line, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(50_000)) + 256), 4, "0"))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
-
-
-def verified(pairs: DataFrame, where: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
+    named = lambda rows: rows.join(found.withColumnRenamed("node", "lid"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+    open_keys = lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "size")
+    labelled = save(named(shared.select("key", "lid")), "labelled")
+    sizes = save(open_keys(labelled), "open")
+    part = Window.partitionBy("key", "component")
+    rows = labelled.join(sizes.select("key"), "key", "left_semi").join(sketch, "lid").withColumn("head", F.col("lid") == F.max("lid").over(part))
+    rows = save(rows, "rows")
+    both_once = ~F.col("x.head") | (F.col("x.lid") > F.col("y.lid"))
+    pairs = save(across(rows, rows.where("head"), sizes, both_once & may_match("x.", "y.", similarity)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    edges = edges.unionByName(verified(pairs, lines, docs, doc_id, text, similarity))
+    discard(shared, labelled)
+    rest = rows.where("not head")
+    if not rest.isEmpty():
+        found = save(components(edges, spark), "components")
+        rest = save(named(rest.drop("component")), "rest")
+        sizes = save(open_keys(rest), "open")
+        pairs = save(across(rest, rest, sizes, (F.col("x.lid") > F.col("y.lid")) & may_match("x.", "y.", similarity)), "pairs")
+        edges = edges.unionByName(verified(pairs, lines, docs, doc_id, text, similarity))
+        discard(rest)
+    discard(rows)
+    return save(components(edges, spark).withColumnRenamed("node", "lid"), "components")
+
+
+def coded(hashes: Column, number: Column) -> Column:
+    """A text of one character for each number, so that edit distance counts words. Surrogates are passed over."""
+    code = F.transform(hashes, lambda h: number(h))
+    return F.decode(F.unhex(F.array_join(F.transform(code, lambda c: F.lpad(F.hex(F.when(c < 0xD000, c + 0x100).otherwise(c + 0x1000)), 8, "0")), "")), "UTF-32")
+
+
+def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
     """Pairs (a, b) of line ids with edit similarity 1 - distance / longer length, in words, of `similarity` or more; saved.
 
-    A line is read from the text where it stands first, so texts without candidates don't move.
+    A line is read from the text where it stands first, so texts without candidates don't move. Words are coded by
+    their hash in a million characters; where two words of a pair of lines get one code, they are numbered instead.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    places = save(where.join(wanted, "lid", "left_semi").select("lid", "keep.i1", "keep.i2", "keep.pos"), "places")
-    few = places.count() <= BROADCAST_LINES
-    rows = docs.select(*identity(doc_id, text), F.col(text).alias("t"))
-    rows = rows.join(F.broadcast(places) if few else places, ["i1", "i2"])
-    line = F.get(F.split("t", "\n"), F.col("pos"))
-    codes = save(rows.select("lid", coded(F.get(normal_lines(line), F.lit(0))).alias("code")).dropDuplicates(["lid"]), "codes")
-    both = pairs.join(codes.select(F.col("lid").alias("a"), F.col("code").alias("ta")), "a").join(codes.select(F.col("lid").alias("b"), F.col("code").alias("tb")), "b")
-    both = both.withColumn("most", F.floor(F.greatest(F.length("ta"), F.length("tb")) * (1 - similarity) + 1e-9).cast("int"))
-    both = both.where(F.abs(F.length("ta") - F.length("tb")) <= F.col("most"))
-    return save(both.where(F.expr("levenshtein(ta, tb, most) >= 0")).select("a", "b"), "verified")
-
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
-    """docs with the text of what removals() leaves, and n_lines, n_removed.
-
-    Rows of equal id and text are told apart last: only the first of them keeps lines that the group keeps. Null
-    texts stay null with no lines. Kept lines stay as they are, joined by newlines.
+    places = save(lines.join(wanted, "lid", "left_semi").select("lid", "keep.i1", "keep.i2", "keep.pos"), "places")
+    rows = docs.where(F.col(text).isNotNull()).select(*identity(doc_id, text), F.col(text).alias("t")).join(few(places), ["i1", "i2"])
+    line = F.get(F.split("t", "\n"), F.col("pos") - 1)
+    hashes = rows.select("lid", F.transform(normal_words(line), lambda w: F.xxhash64(w)).alias("h")).dropDuplicates(["lid"])
+    codes = save(hashes.withColumn("t", coded(F.col("h"), lambda h: F.pmod(h, F.lit(1_000_000)))), "codes")
+    one = codes.select(F.col("lid").alias("a"), F.col("h").alias("ha"), F.col("t").alias("ta"))
+    two = codes.select(F.col("lid").alias("b"), F.col("h").alias("hb"), F.col("t").alias("tb"))
+    both = pairs.join(one, "a").join(two, "b")
+    most = F.floor(F.greatest(F.size("ha"), F.size("hb")) * (1 - similarity) + 1e-9).cast("int")
+    both = both.withColumn("most", most).where("levenshtein(ta, tb, most) >= 0")
+    # one code for two words makes lines look more alike, so only pairs that pass need a second look
+    every = F.array_distinct(F.concat("ha", "hb"))
+    shared = F.size(F.array_distinct(F.transform(every, lambda h: F.pmod(h, F.lit(1_000_000))))) < F.size(every)
+    numbered = lambda h: coded(F.col(h), lambda x: F.array_position(every, x).cast("long"))
+    exact = F.when(shared, F.levenshtein(numbered("ha"), numbered("hb"))).otherwise(0)
+    good = save(both.where(exact <= F.col("most")).select("a", "b"), "verified")
+    discard(places, codes)
+    return good
+
+
+def removals(docs: DataFrame, occ: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
+    """(i1, i2, drop): positions, from 0, of the lines that go, for each row that loses any; saved."""
+    first = F.min(F.struct("doc", "i1", "i2", "pos")).alias("keep")
+    lines = save(occ.where("pos > 0").groupBy("lid").agg(first, F.count(F.lit(1)).alias("n")), "lines")
+    sketches = save(sketched(docs, text), "sketches")
+    found = similar_lines(lines, sketches, docs, doc_id, text, similarity)
+    discard(sketches)
+    grouped = lines.join(found, "lid", "left").where("component is not null or n > 1")
+    keep = grouped.where("component is not null").groupBy("component").agg(F.min("keep").alias("best"))
+    grouped = save(grouped.join(few(save(keep, "best")), "component", "left").select("lid", F.coalesce("best", "keep").alias("best")), "grouped")
+    gone = occ.where("pos > 0").join(few(grouped), "lid").where(~F.struct("doc", "i1", "i2", "pos").eqNullSafe(F.col("best")))
+    out = save(gone.groupBy("i1", "i2").agg(F.sort_array(F.collect_set(F.col("pos") - 1)).alias("drop")), "gone")
+    discard(lines, grouped, found)
+    return out
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """docs with the text of what line deduplication leaves, and n_lines, n_removed.
+
+    Lines with a letter or digit take part, whatever their length. Two lines are linked when their words (lower case,
+    letters and digits) are equal or their edit similarity in words is `similarity` (0.75 or more) or more. Of each
+    connected group the occurrence that comes first by (id as text, null first, then row, position) stays; the others
+    go. Candidates share a whole line or one of the word pairs that sketched() draws, so lines of up to SHORT words
+    that are alike always meet, and longer ones nearly always (see the README for the measured share); which pairs
+    meet does not depend on the size of the input. Texts are compared whole.
+
+    Rows of equal id and text are copies of one row: one of them keeps the lines that stay, the others lose all their
+    lines. Null texts stay null with no lines, and lines without a word always stay. Kept lines stay as they are,
+    joined by newlines. Other columns of docs pass through, whatever their names; n_lines and n_removed of docs itself
+    would clash and are an error.
     """
-    gone = save(removals(docs, doc_id, text, **limits), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_LINES else gone
-    named = docs.select(F.struct(*docs.columns).alias("d"), *identity(doc_id, text), F.col(text).alias("_t"))
-    joined = named.join(gone, ["i1", "i2"], "left")
-    lines = F.split("_t", "\n")
-    left = F.expr("filter(transform(split(_t, '\\n'), (l, i) -> if(array_contains(drop, i), null, l)), l -> l is not null)")
-    kept = F.when(F.col("drop").isNull(), F.col("_t")).otherwise(F.array_join(left, "\n"))
-    columns = [kept.alias(c) if c == text else F.col(f"d.{c}").alias(c) for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"))
+    if taken := {"n_lines", "n_removed"} & set(docs.columns):
+        raise ValueError(f"the result has columns of its own named {sorted(taken)}")
+    occ = save(occurrences(docs, doc_id, text), "occurrences")
+    gone = removals(docs, occ, doc_id, text, similarity)
+    twins = save(occ.where("pos = 0").groupBy("i1", "i2").count().where("count > 1").select("i1", "i2"), "twins")
+    discard(occ)
+    named = docs.select(packed(docs).alias("d"), *identity(doc_id, text), F.col(text).alias("t"))
+    later = F.lit(False)
+    if not twins.isEmpty():
+        twins = few(twins)
+        again = save(named.join(twins, ["i1", "i2"], "left_semi").withColumn("rid", F.monotonically_increasing_id()), "again")
+        firsts = few(save(again.groupBy("i1", "i2").agg(F.min("rid").alias("first")), "firsts"))
+        again = again.join(firsts, ["i1", "i2"]).withColumn("later", F.col("rid") > F.col("first")).drop("rid", "first")
+        named = named.join(twins, ["i1", "i2"], "left_anti").withColumn("later", F.lit(False)).unionByName(again)
+        later = F.col("later")
+    joined = named.join(few(gone), ["i1", "i2"], "left")
+    worded = F.expr(r"exists(split(t, '\n'), l -> l rlike '[\\p{L}\\p{N}]')")
+    left = F.when(later, F.expr(r"filter(split(t, '\n'), l -> not l rlike '[\\p{L}\\p{N}]')")).otherwise(F.expr(r"filter(transform(split(t, '\n'), (l, i) -> if(array_contains(drop, i), null, l)), l -> l is not null)"))
+    kept = F.when(F.col("drop").isNull() & ~(later & worded), F.col("t")).otherwise(F.array_join(left, "\n"))
+    columns = [kept.alias(c) if c == text else old for c, old in zip(docs.columns, unpacked(docs, "d"))]
+    lines = F.coalesce(F.size(F.split("t", "\n")), F.lit(0))
+    removed = F.when(later, F.expr(r"size(filter(split(t, '\n'), l -> l rlike '[\\p{L}\\p{N}]'))")).otherwise(F.coalesce(F.size("drop"), F.lit(0)))
+    return joined.select(*columns, lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
@@ -174,6 +233,6 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; n_chars follows the text."""
-    found = dedup_lines(docs).select(*docs.columns)
+    """Documents without repeated lines; n_chars follows the text. Documents that lose all their words go."""
+    found = dedup_lines(docs).where(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"[\p{L}\p{N}]"))).select(*[quoted(c) for c in docs.columns])
     return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found

@@ -133,11 +133,64 @@ def test_suffix_dedup(corpus, empty):
 def test_line_dedup(spark, empty):
     long = "the quick brown fox jumps over the lazy dog and then it runs far away into the deep dark wood at night " * 2
     near = long.replace("lazy", "sleepy", 1)
-    rows = [(1, f"{long}\nfirst own line with many words here"), (2, f"{near}\nshort"), (3, f"{long}\nshort"), (4, None), (5, ""), (5, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("i1", F.lit(0))
-    got = {(r["doc_id"], r["text"]): r["n_removed"] for r in lines.dedup_lines(df.drop("i1")).collect()}
-    assert got == {(1, rows[0][1]): 0, (2, "short"): 1, (3, "short"): 1, (4, None): 0, (5, ""): 0}
+    rows = [(1, f"{long}\nfirst own line with many words here"), (2, f"{near}\nshort\n--"), (3, f"{long}\nShort!"), (4, None), (5, ""), (5, ""), (None, "one\ntwo"), (6, "two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"i1": F.lit(8), "lid": F.lit("x"), "pos": F.col("doc_id"), "a.b": F.lit(1)})
+    got = lines.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "i1", "lid", "pos", "a.b", "n_lines", "n_removed"] and {r["i1"] for r in got.collect()} == {8}
+    # null ids come first; lines without a word stay
+    want = {(1, rows[0][1], 2, 0), (2, "short\n--", 3, 1), (3, "", 2, 2), (4, None, 0, 0), (5, "", 1, 0), (None, "one\ntwo", 2, 0), (6, "", 1, 1)}
+    assert {(r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()} == want and got.count() == 8
     assert lines.dedup_lines(empty).count() == 0
+    kept = lines.stage(spark, df, "").collect()
+    assert sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 2, 4, 5, 5]
+    with pytest.raises(ValueError):
+        lines.dedup_lines(df.withColumn("n_lines", F.lit(1)))
+
+
+def test_line_dedup_of_repeated_rows(spark):
+    """Rows of equal id and text: one keeps its lines, whatever their number."""
+    rows = [(1, "one line\nother line")] * 5 + [(None, "a third line\n...")] * 3 + [(2, "other line")]
+    got = Counter((r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, "one line\nother line", 0): 1, (1, "", 2): 4, (None, "a third line\n...", 0): 1, (None, "...", 1): 2, (2, "", 1): 1}
+
+
+def test_line_dedup_of_documents(spark, monkeypatch):
+    """Against brute force, with buckets cut into small blocks."""
+    monkeypatch.setattr(lines, "BLOCK", 3)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(30)
+    rows = sorted(((str(r["doc_id"]), r["text"] or "") for r in docs.collect()), key=lambda r: r[0])
+    at = [(d, k, tuple(re.findall(r"[^\W_]+", line.lower()))) for d, t in rows for k, line in enumerate(t.split("\n"))]
+    at = [x for x in at if x[2]]
+    low = similar_groups([x[2] for x in at])
+    gone = Counter(at[i][0] for i in range(len(at)) if low[i] != i)
+    assert {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs).collect() if r["n_removed"]} == {int(d): n for d, n in gone.items()}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def similar_groups(rows):
+    """For each line the first one of its group: equal, or linked by edit similarity 0.8."""
+    low = list(range(len(rows)))
+    pairs = []
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = rows[a], rows[b]
+            most = max(len(x), len(y)) // 5
+            if x == y or (abs(len(x) - len(y)) <= most and sum((Counter(x) & Counter(y)).values()) >= max(len(x), len(y)) - most and edits(x, y) <= most):
+                pairs.append((a, b))
+    while True:
+        before = list(low)
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+        if low == before:
+            return low
 
 
 def test_line_dedup_finds_every_similar_line(spark):
@@ -155,35 +208,30 @@ def test_line_dedup_finds_every_similar_line(spark):
             rows.append(w)
     rows += [["la"] * 12, ["la"] * 14, ["la"] * 18]
 
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row = row, [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    low = list(range(len(rows)))
-    alike = [(a, b) for a in range(len(rows)) for b in range(a) if min(len(rows[a]), len(rows[b])) >= 5 and 5 * abs(len(rows[a]) - len(rows[b])) <= max(len(rows[a]), len(rows[b])) and 5 * edits(rows[a], rows[b]) <= max(len(rows[a]), len(rows[b]))]
-    for _ in rows:
-        for a, b in alike:
-            low[a] = low[b] = min(low[a], low[b])
+    low = similar_groups([tuple(w) for w in rows])
     df = spark.createDataFrame([(1000 + i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"] - 1000 for r in lines.dedup_lines(df).where("n_removed = 1").collect()}
-    assert len(alike) > 80 and got == {i for i in range(len(rows)) if low[i] != i}
+    assert got == {i for i in range(len(rows)) if low[i] != i} and len(got) > 60
 
 
-def test_simhash(spark):
-    rows = [["a", "b", "c", "d", "e"], ["x"] * 6, [str(i % 97) for i in range(3000)]]
-    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
-    assert lines.hashed_lines(df, "doc_id", "text", 1).count() == 3
+def test_line_sketches(spark):
+    """An edit turns two marks at most, and copies of a line are one row."""
+    rng = random.Random(2)
+    base = words(rng, 60).split()
+    rows = [" ".join(base), " ".join(base)] + [" ".join(base[:k] + base[k + 3 :]) for k in range(0, 50, 7)]
+    got = lines.sketched(spark.createDataFrame([(t,) for t in rows], "text string"), "text").collect()
+    assert len(got) == len(rows) - 1
+    first = max(got, key=lambda r: r["n_words"])
+    for r in got:
+        apart = sum(bin((r[s] ^ first[s]) & (2**64 - 1)).count("1") for s in ("s0", "s1"))
+        assert apart <= 2 * 3 and (r == first or len(set(r["keys"]) & set(first["keys"])) > 0)
 
 
-def test_line_beyond_the_counters(spark):
-    """Lines of more words than a counter holds are compared by equality."""
-    many = " ".join(f"w{i}" for i in range(lines.MOST_WORDS + 1))
+def test_very_long_lines(spark):
+    """Lines of tens of thousands of words are compared like others."""
+    many = " ".join(f"w{i}" for i in range(33_000))
     df = spark.createDataFrame([(1, "x y " * 40_000), (2, "x y " * 40_000), (3, many), (4, many[: many.rindex(" ")])], "doc_id long, text string")
-    assert [r["n_removed"] for r in lines.dedup_lines(df).orderBy("doc_id").collect()] == [0, 1, 0, 0]
+    assert [r["n_removed"] for r in lines.dedup_lines(df).orderBy("doc_id").collect()] == [0, 1, 0, 1]
 
 
 def test_quality_measures(corpus):
