@@ -10,7 +10,7 @@ from .common import components, discard, packed, quoted, save, unpacked
 #: Edit similarity in words from which on two lines are linked; 0.75 at least.
 SIMILARITY = 0.8
 #: Word pairs that name a line when candidates are searched. Lines of up to SHORT words are named by all their pairs.
-SLOTS = 16
+SLOTS = 12
 SHORT = SLOTS + 1
 #: Most rows that are broadcast: places or positions of some 40 bytes.
 BROADCAST_ROWS = 400_000
@@ -99,15 +99,20 @@ def across(left: DataFrame, right: DataFrame, sizes: DataFrame, near: Column) ->
 def similar_lines(lines: DataFrame, sketches: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame | None:
     """(lid, component) of the distinct lines that are linked with others; saved.
 
-    Lines that share a key are candidates. One line of a key is compared with all others first; then, where they are
+    Lines that share a key are candidates, as far as no gap in their lengths parts them. One line of a key is compared with all others first; then, where they are
     not all connected, one line of each connected part with the lines outside that part; then only the rest with each
     other. So copies of one line that differ a little cost comparisons in proportion to their number, while every
     candidate pair is either compared or known to be connected.
     """
-    spark, keyed = docs.sparkSession, sketches.select("lid", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    shared = keyed.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.max("lid").over(bucket)).where("size > 1")
-    shared = save(shared.select("key", "lid", "hub"), "buckets")
+    spark, keyed = docs.sparkSession, sketches.select("lid", "n_words", F.explode("keys").alias("key"))
+    by_length = Window.partitionBy("key").orderBy("n_words", "lid")
+    near = lambda low, high: F.coalesce(F.col(low) >= F.col(high) - F.floor(F.col(high) * (1 - similarity) + 1e-9), F.lit(False))
+    keyed = keyed.withColumn("last", F.lag("n_words").over(by_length)).withColumn("next", F.lead("n_words").over(by_length))
+    keyed = keyed.withColumn("joins", near("last", "n_words")).where(F.col("joins") | near("n_words", "next"))
+    runs = keyed.withColumn("run", F.count_if(~F.col("joins")).over(by_length.rowsBetween(Window.unboundedPreceding, 0)))
+    bucket = Window.partitionBy("key", "run")
+    shared = runs.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.max("lid").over(bucket))
+    shared = save(shared.select(F.xxhash64("key", "run").alias("key"), "lid", "hub", "size"), "buckets")
     sketch = sketches.select("lid", *SKETCH)
     sided = lambda side: sketch.select(F.col("lid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in SKETCH])
     star = shared.where("lid <> hub").select("lid", "hub").distinct().join(sided("lid"), "lid").join(sided("hub"), "hub")
@@ -116,7 +121,7 @@ def similar_lines(lines: DataFrame, sketches: DataFrame, docs: DataFrame, doc_id
     found = save(components(edges, spark), "components")
     named = lambda rows: rows.join(found.withColumnRenamed("node", "lid"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
     open_keys = lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "size")
-    labelled = save(named(shared.select("key", "lid")), "labelled")
+    labelled = save(named(shared.where("size > 2").select("key", "lid")), "labelled")
     sizes = save(open_keys(labelled), "open")
     part = Window.partitionBy("key", "component")
     rows = labelled.join(sizes.select("key"), "key", "left_semi").join(sketch, "lid").withColumn("head", F.col("lid") == F.max("lid").over(part))
