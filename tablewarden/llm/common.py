@@ -69,15 +69,16 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def two_level_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, rows: int, name: str) -> DataFrame:
+def two_level_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column | None, rows: int, name: str, bucket: str | None = None) -> DataFrame:
     """Add the 0-based, gapless rank of each row within its keys.
 
     Keys are dealt over hash buckets of `salt` (about RANK_ROWS rows each), ranked within each bucket, and moved by
     the count of the buckets before: no window sees a whole hot key. `rows` is the row count of `df`, which should
-    be a saved table as it is read twice. Rows that tie in salt and order rank in any order.
+    be a saved table as it is read twice. Rows that tie in salt and order rank in any order. With `bucket`, a column,
+    its values are the buckets, in their order.
     """
     buckets = max(1, -(-rows // RANK_ROWS))
-    df = df.withColumn("_b", F.pmod(salt, F.lit(buckets)).cast("int"))
+    df = df.withColumn("_b", F.col(bucket) if bucket else F.pmod(salt, F.lit(buckets)).cast("int"))
     sizes = df.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

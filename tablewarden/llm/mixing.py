@@ -5,27 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, two_level_rank
+from .common import packed, save, two_level_rank, unpacked
 
 #: Slots of a frame: target weights are whole numbers of blocks out of so many.
 FRAME = 240
+#: Sources that are scheduled by themselves; the lighter ones beyond them are scheduled as one, see bundled().
+ALONE = 120
 #: Documents of a block.
 BLOCK = 32
+#: Most rows of places that are broadcast to the documents.
+BROADCAST_ROWS = 400_000
 
 
-def quantised_shares(sizes: DataFrame, weights: dict[str, float] | None, frame: int = FRAME) -> DataFrame:
+def quantised_shares(sizes: DataFrame, frame: int = FRAME) -> DataFrame:
     """(source, n, share): whole shares that sum to the frame, by largest remainder, each at least 1.
 
-    Without weights the target of a source is the square root of its document count. Sources absent from `weights`
-    get the smallest share. The table has a row for each source; it raises when there are more than the frame has
-    slots, which bounds it.
+    Targets of 0 get the smallest share. `sizes` (source, n, raw) has ALONE + 1 rows at most, raw being the target.
     """
-    if weights is None:
-        raw: Column = F.sqrt("n")
-    else:
-        raw = F.coalesce(*[F.when(F.col("source") == k, F.lit(float(v))) for k, v in weights.items()], F.lit(0.0))
     every = Window.partitionBy(F.lit(0))
-    table = sizes.withColumn("raw", raw).withColumn("s", F.count(F.lit(1)).over(every))
+    table = sizes.withColumn("s", F.count(F.lit(1)).over(every))
     table = table.withColumn("exact", F.when(F.sum("raw").over(every) > 0, F.col("raw") / F.sum("raw").over(every)).otherwise(0.0) * (F.lit(frame) - F.col("s")))
     table = table.withColumn("low", F.floor("exact"))
     left = F.lit(frame) - F.col("s") - F.sum("low").over(every)
@@ -57,38 +55,77 @@ def frame_orders(shares: DataFrame) -> DataFrame:
     return orders.select("begin", F.explode("out").alias("e")).select("begin", "e.*")
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, frame: int = FRAME, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def targets(sizes: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """Add raw: the weight of a source, or without weights the square root of its documents; 0 for sources without one."""
+    if weights is None:
+        return sizes.withColumn("raw", F.sqrt("rows"))
+    named = {"null" if k is None else f"={k}": float(v) for k, v in weights.items()}
+    return sizes.withColumn("raw", F.coalesce(*[F.when(F.col("source") == k, F.lit(v)) for k, v in named.items()], F.lit(0.0)))
+
+
+def bundled(ids: DataFrame, sizes: DataFrame, alone: int, rows: int) -> DataFrame:
+    """ids (rid, doc_id, src) with group, and the place of a row in its group.
+
+    The `alone` heaviest sources are groups of their own. All others are one group, whose rows are ordered by virtual
+    time: row r of a source of weight w comes at (r + 1/2) / w, so the group's sources share it by their weights,
+    however many they are; those of weight 0 share it by their rows.
+    """
+    heavy = sizes.orderBy(F.desc("raw"), "source").limit(alone).select(F.col("source").alias("src"), F.lit(True).alias("heavy"))
+    known = ids.join(F.broadcast(heavy), "src", "left")
+    first = two_level_rank(known.select("rid", "src", "doc_id", "heavy"), ["src"], [F.col("doc_id"), F.col("rid")], F.xxhash64("doc_id"), rows, "place")
+    own = first.where("heavy").select("rid", F.col("src").alias("group"), "place")
+    rate = sizes.select(F.col("source").alias("src"), F.when(F.col("raw") > 0, F.col("raw")).otherwise(F.col("rows") * 1e-9).alias("rate"), "rows")
+    light = first.where("heavy is null").join(rate, "src").withColumn("time", (F.col("place") + 0.5) / F.col("rate")).drop("place")
+    light = save(light.select("rid", "src", "doc_id", "time"), "light")
+    last = light.agg(F.count(F.lit(1)), F.coalesce(F.max("time"), F.lit(1.0))).first()
+    # buckets of rank follow the time
+    step = F.floor(F.col("time") / F.lit(float(last[1])) * 0.999999 * -(-rows // 10_000)).cast("long")
+    rest = two_level_rank(light, [], [F.col("time"), F.col("src"), F.col("rid")], step, rows, "place")
+    return own.unionByName(rest.select("rid", F.lit("rest").alias("group"), "place"))
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, frame: int = FRAME, source: str = "source", doc_id: str = "doc_id", alone: int = ALONE) -> DataFrame:
     """Add mix_block, mix_slot and mix_row: the interleaving of sources by target weight.
 
     Documents of a source form blocks of `block` rows in hashed order. In each frame a source with share a of D
     schedules a blocks by Pfair windows and earliest deadline first, so after any number of slots it is less than
     one block from its target. A source that is used up leaves the frames after; the rest go on by their own
     weights. Every row is kept, and ordering by (mix_slot, mix_row) gives the mix; a slot whose source ended within
-    the frame stays empty. A null source is a source of its own. Only the table of sources (at most `frame` rows)
-    is broadcast.
+    the frame stays empty. A null source is a source of its own, null ids come first, rows that tie keep any order.
+    Sources beyond the `alone` heaviest are scheduled as one that holds them all, interleaved by virtual time inside
+    (see bundled()), so any number of sources is mixed; for these the bound of one block holds for the whole they form.
+    The schedule has at most alone + 1 sources and is all that is broadcast. Columns of docs pass through whatever
+    their names, but for mix_block, mix_slot and mix_row, which would clash and are an error.
     """
-    spark = docs.sparkSession
-    named = docs.withColumn("_src", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")))
-    sizes = named.groupBy("_src").agg(F.count(F.lit(1)).alias("rows")).withColumn("n", F.ceil(F.col("rows") / F.lit(block)).cast("long")).withColumnRenamed("_src", "source")
+    if taken := {"mix_block", "mix_slot", "mix_row"} & set(docs.columns):
+        raise ValueError(f"the result has columns of its own named {sorted(taken)}")
+    named = docs.select(packed(docs).alias("d"), F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")).alias("src"))
+    named = save(named.withColumn("rid", F.monotonically_increasing_id()), "mix")
+    sizes = targets(named.groupBy(F.col("src").alias("source")).agg(F.count(F.lit(1)).alias("rows")), weights)
     sizes = save(sizes, "sources")
-    found = sizes.agg(F.count(F.lit(1)), F.coalesce(F.max("rows"), F.lit(0))).first()
-    if found[0] > frame:
-        raise ValueError(f"{found[0]} sources do not fit a frame of {frame} slots")
-    keyed = None if weights is None else {f"={k}" if k is not None else "null": v for k, v in weights.items()}
-    shares = save(quantised_shares(sizes, keyed, frame), "shares")
+    found = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
+    if found[0] <= alone + 1:
+        ranked = two_level_rank(named, ["src"], [F.col("doc_id"), F.col("rid")], F.xxhash64("doc_id"), found[2], "place").withColumnRenamed("src", "group")
+        grouped = sizes.withColumnRenamed("source", "group")
+    else:
+        ranked = save(bundled(named.select("rid", "doc_id", "src"), sizes, alone, found[1]), "ranked")
+        heavy = sizes.orderBy(F.desc("raw"), "source").limit(alone)
+        light = sizes.join(F.broadcast(heavy.select("source")), "source", "left_anti").agg(F.lit("rest").alias("group"), F.sum("rows").alias("rows"), F.sum("raw").alias("raw"))
+        grouped = heavy.select(F.col("source").alias("group"), "rows", "raw").unionByName(light)
+        ranked = named.select("rid", "d").join(ranked, "rid")
+    grouped = grouped.select(F.col("group").alias("source"), F.ceil(F.col("rows") / F.lit(block)).cast("long").alias("n"), "raw")
+    shares = save(quantised_shares(grouped, frame), "shares")
     orders = save(frame_orders(shares), "orders")
-    ranked = two_level_rank(named, ["_src"], [F.col(doc_id)], F.xxhash64(doc_id), found[1], "_rank")
-    ranked = ranked.join(F.broadcast(shares.withColumnRenamed("source", "_src")), "_src")
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("_rank") / block)).withColumn("mix_row", F.col("_rank") % block)
-    ranked = ranked.withColumn("_frame", F.floor(F.col("mix_block") / F.col("share"))).withColumn("_r", F.col("mix_block") % F.col("share"))
-    life = shares.agg(F.collect_list(F.struct(F.col("share").alias("a"), F.ceil(F.col("n") / F.col("share")).cast("long").alias("f"))).alias("_lives"))
+    ranked = ranked.join(F.broadcast(shares.select(F.col("source").alias("group"), "share")), "group")
+    ranked = ranked.withColumn("mix_block", F.floor(F.col("place") / block)).withColumn("mix_row", F.col("place") % block)
+    ranked = ranked.withColumn("frame", F.floor(F.col("mix_block") / F.col("share"))).withColumn("r", F.col("mix_block") % F.col("share"))
+    life = shares.agg(F.collect_list(F.struct(F.col("share").alias("a"), F.ceil(F.col("n") / F.col("share")).cast("long").alias("f"))).alias("lives"))
     ranked = ranked.crossJoin(F.broadcast(life))  # one row
-    ranked = ranked.withColumn("_begin", F.expr("array_max(transform(_lives, x -> if(x.f <= _frame, x.f, 0L)))"))
-    ranked = ranked.withColumn("_start", F.expr("aggregate(_lives, 0L, (s, x) -> s + x.a * least(_frame, x.f))"))
-    orders = orders.select(F.col("begin").alias("_begin"), F.col("source").alias("_src"), F.col("r").alias("_r"), F.col("rank").alias("_place"))
-    small = orders.count() <= frame * frame
-    joined = ranked.join(F.broadcast(orders) if small else orders, ["_begin", "_src", "_r"])
-    return joined.select(*[joined[c] for c in docs.columns], "mix_block", (F.col("_start") + F.col("_place")).alias("mix_slot"), "mix_row")
+    ranked = ranked.withColumn("begin", F.expr("array_max(transform(lives, x -> if(x.f <= frame, x.f, 0L)))"))
+    ranked = ranked.withColumn("start", F.expr("aggregate(lives, 0L, (s, x) -> s + x.a * least(frame, x.f))"))
+    # (alone + 1) phases of `frame` slots at most
+    joined = ranked.join(F.broadcast(orders.withColumnRenamed("source", "group")), ["begin", "group", "r"])
+    return joined.select(*unpacked(docs, "d"), "mix_block", (F.col("start") + F.col("rank")).alias("mix_slot"), "mix_row")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
@@ -97,7 +134,14 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the mix: files hold ranges of slots, rows lie in order."""
-    mixed = mix_sources(docs)
+    """Documents in the order of the mix: files hold ranges of slots, rows lie in order.
+
+    Only ids and sources are scheduled; texts move once, to their range. Rows of equal id and text share a place.
+    """
+    ids = docs.select("doc_id", "source", F.xxhash64("text").alias("tkey"), F.xxhash64("doc_id").alias("ikey"))
+    places = mix_sources(ids).groupBy("ikey", "tkey").agg(F.min(F.col("mix_slot") * BLOCK + F.col("mix_row")).alias("place"))
+    places = save(places, "places")
+    places = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+    rows = docs.select(packed(docs).alias("d"), F.xxhash64("text").alias("tkey"), F.xxhash64("doc_id").alias("ikey"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return mixed.repartitionByRange(parts, "mix_slot").sortWithinPartitions("mix_slot", "mix_row").select(*docs.columns)
+    return rows.join(places, ["ikey", "tkey"]).repartitionByRange(parts, "place").sortWithinPartitions("place").select(*unpacked(docs, "d"))
