@@ -111,12 +111,14 @@ def test_boundaries_are_optimal():
 
 def test_suffix_dedup(corpus, empty):
     df, rows = corpus
-    got = Counter(tuple(r) for r in suffixes.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
-    seen = Counter()
+    got = Counter(tuple(r) for r in suffixes.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_passage").collect())
+    seen, least = Counter(), suffixes.PASSAGE
     data = [(i, (t or "").encode()) for i, t, *_ in rows]
     for _, b in data:
         for s in range(len(b) - 399):
             seen[b[s : s + 400]] += 1
+        for s in range(len(b) - least + 1):
+            seen[b[s : s + least]] += 1
     want = Counter()
     for i, b in data:
         cover = np.zeros(len(b) + 1, bool)
@@ -125,8 +127,9 @@ def test_suffix_dedup(corpus, empty):
                 cover[s : s + 400] = True
         spans = int((cover[1:] & ~cover[:-1]).sum() + (cover[0] if len(b) else 0))
         kept = bytes(x for x, c in zip(b, cover) if not c)
-        want[(i, len(b), int(cover.sum()), spans, hashlib.sha256(kept).hexdigest())] += 1
+        want[(i, len(b), int(cover.sum()), spans, hashlib.sha256(kept).hexdigest(), any(seen[b[s : s + least]] > 1 for s in range(len(b) - least + 1)))] += 1
     assert got == want
+    assert len({has for *_, has in want}) == 2
     assert suffixes.remove_repeats(empty).count() == 0
 
 
