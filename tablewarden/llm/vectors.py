@@ -112,7 +112,7 @@ def nearest(batches):
             pick[at] = d.argmin(axis=1)
             # from the difference itself: tiny distances drown in the product
             away[at] = np.sqrt(((x - centers[pick[at]]) ** 2).sum(axis=1))
-        out = batch[["node", "cls", "copies", "embedding"]].copy()
+        out = batch[["node", "cls", "copies", "embedding", "piece"]].copy()
         out["pick"], out["away"] = pick, away
         yield out
 
@@ -120,9 +120,10 @@ def nearest(batches):
 def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id): links by cosine >= THRESHOLD within a label, exact.
 
-    Equal vectors of a label are one class with a number of copies. Each (label, dimension) is the root of a cover tree
+    Equal vectors of a label, and multiples by powers of two, are one class with a number of copies. Each (label, dimension) is the root of a cover tree
     whose levels are split by Spark: nodes of over LEAF classes get up to SPREAD centers, vectors go to the nearest, and
-    nodes keep their measured covering radius; levels repeat until leaves are small. Pairs of nodes follow the
+    nodes keep their measured covering radius; levels repeat until leaves are small. A node that keeps over nine tenths
+    of its parent's classes (points that coincide, or nearly) is dealt into pieces by hash instead, so levels end. Pairs of nodes follow the
     levels and are dropped when their centers are farther apart than both radii and the threshold's distance. A
     task takes a pair of leaves, builds trees with halving radii in it, and traverses both. It returns a row for each
     class that has links, never the pairs. In data with no clusters at all the bounds prune little and the work
@@ -132,24 +133,29 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     """
     v = F.transform(embedding, lambda x: x.cast("double"))
     ok = F.expr(f"`{label}` is not null and `{embedding}` is not null and size(`{embedding}`) > 0 and forall(`{embedding}`, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(`{embedding}`, x -> x <> 0)")
-    # -0.0 is 0.0 in sums, so that equal vectors hash equal
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(F.coalesce(ok, F.lit(False)), F.xxhash64(label, F.transform(v, lambda x: x + 0.0))).alias("cls"), F.xxhash64(label, F.size(embedding)).alias("node"), v.alias("embedding"))
+    # -0.0 is 0.0 in sums, so that equal vectors hash equal; so do multiples by powers of two, whose quotients are exact
+    most = F.array_max(F.transform(v, F.abs))
+    scaled = F.transform(v, lambda x: x / F.nullif(most, F.lit(0.0)) + 0.0)
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(F.coalesce(ok, F.lit(False)), F.xxhash64(label, scaled)).alias("cls"), F.xxhash64(label, F.size(embedding)).alias("node"), v.alias("embedding"))
     rows = save(rows, "vectors")
     classes = save(rows.where("cls is not null").groupBy("node", "cls").agg(F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")), "classes")
     now = classes
-    sizes = save(now.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.lit(3.0).alias("radius"), F.min_by("embedding", "cls").alias("center")), "nodes")
+    sizes = save(now.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.lit(3.0).alias("radius"), F.min_by("embedding", "cls").alias("center"), F.lit(False).alias("scatter")), "nodes")
     pairs = sizes.select(F.col("node").alias("a"), F.col("node").alias("b"))
     while (sizes.agg(F.max("n")).first()[0] or 0) > LEAF:
-        fan = F.least(F.lit(SPREAD), F.ceil(2 * F.col("n") / LEAF)).cast("int")
-        big = sizes.where(F.col("n") > LEAF).select("node", fan.alias("fan"))
+        wide = F.ceil(2 * F.col("n") / LEAF).cast("int")
+        big = sizes.where(F.col("n") > LEAF).select("node", F.least(F.lit(SPREAD), wide).alias("fan"), wide.alias("pieces"), "scatter", F.col("center").alias("own"), F.col("n").alias("before"))
         split = now.join(big, "node")
-        salted = split.groupBy("node", F.pmod(F.xxhash64("cls", "node"), F.col("fan")).alias("salt")).agg(F.min_by("embedding", F.xxhash64("cls", F.lit(5))).alias("c"))
+        piece = F.when(F.col("scatter"), F.pmod(F.xxhash64("cls", F.lit(3)), F.col("pieces"))).otherwise(0).cast("int")
+        salted = split.where("not scatter").groupBy("node", F.pmod(F.xxhash64("cls", "node"), F.col("fan")).alias("salt")).agg(F.min_by("embedding", F.xxhash64("cls", F.lit(5))).alias("c"))
         centers = salted.groupBy("node").agg(F.collect_list("c").alias("centers"))  # SPREAD at most
-        moved = split.drop("fan").join(centers, "node").mapInPandas(nearest, "node long, cls long, copies long, embedding array<double>, pick long, away double")
-        moved = save(moved.withColumn("child", F.xxhash64("node", "pick")), "moved")
+        centers = centers.unionByName(big.where("scatter").select("node", F.array("own").alias("centers")))
+        moved = split.select("node", "cls", "copies", "embedding", piece.alias("piece")).join(centers, "node").mapInPandas(nearest, "node long, cls long, copies long, embedding array<double>, piece int, pick long, away double")
+        moved = save(moved.withColumn("child", F.xxhash64("node", "pick", "piece")), "moved")
         made = moved.groupBy("node", "child").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"), F.first("pick").alias("pick"))
-        made = made.join(centers, "node").select("node", "child", "n", "radius", F.element_at("centers", (F.col("pick") + 1).cast("int")).alias("center"))
-        kept = sizes.where(F.col("n") <= LEAF).select("node", F.col("node").alias("child"), "n", "radius", "center")
+        made = made.join(centers, "node").join(big.select("node", "before"), "node")
+        made = made.select("node", "child", "n", "radius", F.element_at("centers", (F.col("pick") + 1).cast("int")).alias("center"), (F.col("n") * 10 > F.col("before") * 9).alias("scatter"))
+        kept = sizes.where(F.col("n") <= LEAF).select("node", F.col("node").alias("child"), "n", "radius", "center", "scatter")
         level = save(made.unionByName(kept), "level")
         x = level.select(F.col("node").alias("a"), F.col("child").alias("ca"), F.col("radius").alias("ra"), F.col("center").alias("xa"))
         y = level.select(F.col("node").alias("b"), F.col("child").alias("cb"), F.col("radius").alias("rb"), F.col("center").alias("xb"))
@@ -159,7 +165,7 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         both = pairs.join(x, "a").join(y, "b").where((F.col("a") != F.col("b")) | (F.col("ca") <= F.col("cb")))
         pairs = save(both.where((F.col("ca") == F.col("cb")) | (F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * cosine)) <= reach)).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "pairs")
         now = save(moved.select(F.col("child").alias("node"), "cls", "copies", "embedding").unionByName(now.join(big, "node", "left_anti")), "now")
-        sizes = save(level.select(F.col("child").alias("node"), "n", "radius", "center"), "nodes")
+        sizes = save(level.select(F.col("child").alias("node"), "n", "radius", "center", "scatter"), "nodes")
     sides = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("side")), F.struct(F.col("b").alias("node"), F.lit(1).alias("side"))))).alias("s"))
     members = now.join(sides.select("a", "b", "s.*"), "node").select("a", "b", "side", "cls", "copies", "embedding")
     found = save(members.groupBy("a", "b").applyInPandas(lambda pdf: block(pdf), "cls long, links long, root long"), "links")

@@ -310,6 +310,17 @@ def test_vectors(spark, monkeypatch, leaf):
     assert got == want
 
 
+def test_vectors_of_one_direction(spark, monkeypatch):
+    """Multiples of one vector link with each other, and the levels of the tree end; an empty table gives none."""
+    monkeypatch.setattr(vectors, "LEAF", 40)
+    base, far = [0.3, -1.25, 2.5, 0.01], [1.0, 0.0, 0.0, 0.0]
+    rows = [(i, [x * (2.0 ** (i % 20) if i < 100 else i) for x in base], 1) for i in range(300)] + [(300, far, 1), (301, base, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.link_vectors(df).collect()}
+    assert got == {i: (299, 0) for i in range(300)} | {300: (0, 300), 301: (0, 301)}
+    assert vectors.link_vectors(df.limit(0)).count() == 0
+
+
 def test_toxicity_learns_words():
     rng = random.Random(4)
     texts, labels = [], []
