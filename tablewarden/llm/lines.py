@@ -35,13 +35,13 @@ def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def sketched(docs: DataFrame, text: str) -> DataFrame:
-    """(lid, n_words, s0, s1, keys) of each distinct line that has a word.
+    """(lid, n_words, s0 to s3, keys) of each distinct line that has a word.
 
     keys: a hash of all the words, and for lines of 4 words or more (shorter ones are alike only when equal) hashes of
     pairs of neighbouring words. Each of SLOTS slots draws one pair: the least by hash, xor-ed with the slot's own
     constant, where each letter more makes a pair up to 2^8 times likelier to be drawn, since long words are rare. A
-    pair's draw does not hang on the corpus, so lines that share most pairs draw alike. s0 and s1 mark the places, of
-    128, of the words' hashes: an edit turns two marks at most. All of it is a minimum or a bitwise or over rows of
+    pair's draw does not hang on the corpus, so lines that share most pairs draw alike. s0 to s3 mark the places, of
+    256, of the words' hashes: an edit clears one mark and sets one at most. All of it is a minimum or a bitwise or over rows of
     words, so copies of a line are combined before anything is shuffled.
     """
     lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).select(F.xxhash64("line").alias("lid"), normal_words(F.col("line")).alias("words"))
@@ -54,21 +54,22 @@ def sketched(docs: DataFrame, text: str) -> DataFrame:
     top = F.shiftrightunsigned("pair", 41)
     words = words.withColumn("low", low).withColumn("top", top)
     slots = [F.min(F.when(F.col("n") > SHORT, F.expr(f"shiftleft(shiftrightunsigned(top ^ {j << 19}L, weight), 40) | low")).when(F.col("i") == j, F.col("low"))).alias(f"p{j}") for j in range(SLOTS)]
-    marks = [F.bit_or(F.expr(f"if((h & 64) = {64 * j}, shiftleft(1L, cast(h & 63 as int)), 0L)")).alias(f"s{j}") for j in range(2)]
+    marks = [F.bit_or(F.expr(f"if((h & 192) = {64 * j}, shiftleft(1L, cast(h & 63 as int)), 0L)")).alias(m) for j, m in enumerate(MARKS)]
     found = words.groupBy("lid").agg(F.max("n").alias("n_words"), F.max("whole").alias("whole"), *marks, *slots)
     pairs = F.array_compact(F.array(*[F.col(f"p{j}").bitwiseAND(F.lit((1 << 40) - 1)) for j in range(SLOTS)]))
     whole = F.array(F.shiftrightunsigned("whole", 2).bitwiseOR(F.lit(1 << 62)))
-    return found.select("lid", "n_words", "s0", "s1", F.when(F.col("n_words") >= 4, F.array_distinct(F.concat(whole, pairs))).otherwise(whole).alias("keys"))
+    return found.select("lid", *SKETCH, F.when(F.col("n_words") >= 4, F.array_distinct(F.concat(whole, pairs))).otherwise(whole).alias("keys"))
 
 
-SKETCH = ["n_words", "s0", "s1"]
+MARKS = [f"s{j}" for j in range(4)]
+SKETCH = ["n_words", *MARKS]
 
 
 def may_match(x: str, y: str, similarity: float) -> Column:
     """Lengths and marks of two lines, by column prefix, leave an edit similarity of `similarity` possible."""
     most = f"floor({1 - similarity!r}D * greatest({x}n_words, {y}n_words) + 1e-9)"
-    apart = " + ".join(f"bit_count({x}{s} ^ {y}{s})" for s in SKETCH[1:])
-    return F.expr(f"abs({x}n_words - {y}n_words) <= {most} and {apart} <= 2 * {most}")
+    apart = lambda u, v: " + ".join(f"bit_count({u}{s} & ~{v}{s})" for s in MARKS)
+    return F.expr(f"abs({x}n_words - {y}n_words) <= {most} and {apart(x, y)} <= {most} and {apart(y, x)} <= {most}")
 
 
 def ordered(x: str, y: str) -> list[Column]:
@@ -160,18 +161,19 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, t
     line = F.get(F.split("t", "\n"), F.col("pos") - 1)
     hashes = rows.select("lid", F.transform(normal_words(line), lambda w: F.xxhash64(w)).alias("h")).dropDuplicates(["lid"])
     codes = save(hashes.withColumn("t", coded(F.col("h"), lambda h: F.pmod(h, F.lit(1_000_000)))), "codes")
-    one = codes.select(F.col("lid").alias("a"), F.col("h").alias("ha"), F.col("t").alias("ta"))
-    two = codes.select(F.col("lid").alias("b"), F.col("h").alias("hb"), F.col("t").alias("tb"))
-    both = pairs.join(one, "a").join(two, "b")
-    most = F.floor(F.greatest(F.size("ha"), F.size("hb")) * (1 - similarity) + 1e-9).cast("int")
-    both = both.withColumn("most", most).where("levenshtein(ta, tb, most) >= 0")
+    text_of = lambda side: codes.select(F.col("lid").alias(side), F.col("t").alias(f"t{side}"))
+    both = pairs.join(text_of("a"), "a").join(text_of("b"), "b")
+    most = F.floor(F.greatest(F.length("ta"), F.length("tb")) * (1 - similarity) + 1e-9).cast("int")
+    close = save(both.withColumn("most", most).where("levenshtein(ta, tb, most) >= 0").select("a", "b", "most"), "close")
     # one code for two words makes lines look more alike, so only pairs that pass need a second look
+    hashes_of = lambda side: codes.select(F.col("lid").alias(side), F.col("h").alias(f"h{side}"))
+    both = close.join(hashes_of("a"), "a").join(hashes_of("b"), "b")
     every = F.array_distinct(F.concat("ha", "hb"))
     shared = F.size(F.array_distinct(F.transform(every, lambda h: F.pmod(h, F.lit(1_000_000))))) < F.size(every)
     numbered = lambda h: coded(F.col(h), lambda x: F.array_position(every, x).cast("long"))
     exact = F.when(shared, F.levenshtein(numbered("ha"), numbered("hb"))).otherwise(0)
     good = save(both.where(exact <= F.col("most")).select("a", "b"), "verified")
-    discard(places, codes)
+    discard(places, codes, close)
     return good
 
 

@@ -226,7 +226,7 @@ def test_line_sketches(spark):
     assert len(got) == len(rows) - 1
     first = max(got, key=lambda r: r["n_words"])
     for r in got:
-        apart = sum(bin((r[s] ^ first[s]) & (2**64 - 1)).count("1") for s in ("s0", "s1"))
+        apart = sum(bin((r[s] ^ first[s]) & (2**64 - 1)).count("1") for s in lines.MARKS)
         assert apart <= 2 * 3 and (r == first or len(set(r["keys"]) & set(first["keys"])) > 0)
 
 
