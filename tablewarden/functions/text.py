@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"(?<![A-Za-z0-9_.])\d[\d,]*(?:\.\d+)?"
-URN = r"urn:li:[a-zA-Z]+:\S+"
-RUN_FOOTER = r"Raised by tablewarden run (\S+?)\.\s*$"
+#: A run of the characters that figures and identifiers are made of; whether it is a figure is judged as a whole.
+TOKEN = r"[A-Za-z0-9_.,]+"
+FIGURE = r"[0-9][0-9,]*([.][0-9]+)?"
+#: How a text that this library writes names the run that wrote it.
+FOOTER_START, FOOTER_END = "Raised by tablewarden run ", "."
+STRAY = ".,;:!?'\"`"
 
 #: How titles of each finding type begin.
 TITLE_PREFIXES = {
@@ -34,19 +40,23 @@ def path_text(path: Column | str) -> Column:
     return F.array_join(kept, " <- ")
 
 
+#: Words of warehouse types, and the logical type that they mean; the first row with a word decides.
+TYPE_WORDS = [
+    ("string", ["CHAR", "TEXT", "STRING", "UUID"]),
+    ("boolean", ["BOOL"]),
+    ("timestamp", ["TIMESTAMP", "DATETIME"]),
+    ("date", ["DATE"]),
+    ("time", ["TIME"]),
+    ("integer", ["INT", "SERIAL"]),
+    ("number", ["DECIMAL", "NUMERIC", "DOUBLE", "FLOAT", "REAL", "NUMBER"]),
+]
+
+
 def logical_type(native: Column | str) -> Column:
-    """Logical type of a warehouse type, or null; the first rule that fits decides."""
+    """Logical type of a warehouse type, or null when no word of TYPE_WORDS stands in it."""
     name = F.upper(native)
-    has = lambda *words: F.rlike(name, F.lit("|".join(words)))
-    return (
-        F.when(has("CHAR", "TEXT", "STRING", "UUID"), "string")
-        .when(has("BOOL"), "boolean")
-        .when(has("TIMESTAMP", "DATETIME"), "timestamp")
-        .when(has("DATE"), "date")
-        .when(has("TIME"), "time")
-        .when(has("INT", "SERIAL"), "integer")
-        .when(has("DECIMAL", "NUMERIC", "DOUBLE", "FLOAT", "REAL", "NUMBER"), "number")
-    )
+    holds = lambda ws: reduce(or_, [F.contains(name, F.lit(w)) for w in ws])
+    return F.coalesce(*[F.when(holds(ws), kind) for kind, ws in TYPE_WORDS])
 
 
 def name_tokens(name: Column | str) -> Column:
@@ -60,31 +70,37 @@ def stable_id(name: Column | str, key: Column | str) -> Column:
 
 
 def numbers_in(text: Column | str) -> Column:
-    """Figures of a text that are no part of an identifier, as doubles."""
-    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
-    return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
+    """Figures of a text that are no part of an identifier, as doubles.
+
+    A token counts when it is digits, with commas and one fraction, up to what follows: `30,000.5` and the 6 of `6h`
+    do, `v3`, `x_2024` and `1_000` do not begin with a digit of their own.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    parts = F.flatten(F.transform(tokens, lambda t: F.regexp_extract_all(t, F.lit(rf"(?:^|,)({FIGURE})"), F.lit(1))))
+    return F.transform(parts, lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
 
 
 def urns_in(text: Column | str) -> Column:
     """URNs of a text without the punctuation and brackets that the sentence leaves on them."""
-    found = F.regexp_extract_all(text, F.lit(URN), F.lit(0))
-    return F.filter(F.transform(found, _trimmed), lambda u: u != "")
-
-
-def _trimmed(urn: Column) -> Column:
-    """Drop characters from the end while the last one is not the URN's own."""
+    words = F.transform(F.split(text, r"\s+"), lambda w: F.regexp_extract(w, "urn:li:[a-zA-Z]+:.+", 0))
+    return F.filter(F.transform(words, own_part), lambda u: u != "")
 
-    def step(u: Column, _: Column) -> Column:
-        stray = F.instr(F.lit(".,;:!?'\"`"), F.right(u, F.lit(1))) > 0
-        closed = F.length(F.replace(u, F.lit(")"), F.lit(""))) < F.length(F.replace(u, F.lit("("), F.lit("")))
-        return F.when((u != "") & (stray | closed), F.left(u, F.length(u) - 1)).otherwise(u)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(urn)), urn, step)
+def own_part(word: Column) -> Column:
+    """The longest beginning of a word that a sentence could not have ended: no stray mark and no bracket too many at its end."""
+    lengths = F.sequence(F.length(word), F.lit(0), F.lit(-1))
+    count = lambda u, mark: F.length(u) - F.length(F.replace(u, F.lit(mark), F.lit("")))
+    loose = lambda u: (F.instr(F.lit(STRAY), F.right(u, F.lit(1))) > 0) | (F.endswith(u, F.lit(")")) & (count(u, ")") > count(u, "(")))
+    return F.get(F.filter(F.transform(lengths, lambda n: F.left(word, n)), lambda u: (u == "") | ~loose(u)), F.lit(0))
 
 
 def run_id(description: Column | str) -> Column:
-    """Run that raised an incident; null when the footer is missing, so the incident is not ours."""
-    return F.nullif(F.regexp_extract(description, RUN_FOOTER, 1), F.lit(""))
+    """Run that a text names at its end; null without such a footer, so the incident is not ours."""
+    body = F.rtrim(F.regexp_replace(description, r"\s+$", ""))
+    last = F.substring_index(body, FOOTER_START, -1)
+    word = F.left(last, F.length(last) - len(FOOTER_END))
+    ours = F.contains(body, F.lit(FOOTER_START)) & F.endswith(last, F.lit(FOOTER_END)) & (word != "") & ~word.rlike(r"\s")
+    return F.when(ours, word)
 
 
 def classify_title(title: Column | str) -> Column:
@@ -96,4 +112,5 @@ def classify_title(title: Column | str) -> Column:
 
 
 def neutralize(text: Column | str) -> Column:
-    return F.regexp_replace(text, r"(?i)<\s*/?\s*evidence\s*>", "[removed]")
+    """Untrusted text without evidence marks: angle brackets around that word, opening or closing, in any case."""
+    return F.regexp_replace(text, "(?i)<[\\s/]*evidence\\s*>", "[removed]")

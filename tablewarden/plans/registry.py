@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection, scalars, scoring, streams, upkeep
+from . import detection, facts, scalars, scoring, streams, upkeep
 
-MODULES = [scalars, detection, scoring, upkeep, streams]
+MODULES = [scalars, detection, scoring, upkeep, facts, streams]
 
 
 def flagship(spark, sf_dir):

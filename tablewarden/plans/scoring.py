@@ -99,9 +99,6 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
 query("t1_findings_worst_first", "SELECT * EXCLUDE (severity_rank), severity_rank::INT AS severity_rank FROM {findings} ORDER BY severity_rank, title")(lambda a: a.findings.orderBy("severity_rank", "title"))
 query("p10_finding_title", "SELECT DISTINCT finding_type, resource_urn, title FROM {findings}")(lambda a: a.findings.select("finding_type", "resource_urn", "title").distinct())
 query("p13_severity_rules", "SELECT finding_type, severity, count(*) AS n FROM {findings} GROUP BY ALL")(lambda a: a.findings.groupBy("finding_type", "severity").agg(F.count(F.lit(1)).alias("n")))
-query("p11_finding_evidence", f"SELECT resource_urn, printf('%.1f', lag_hours) AS lag_hours, '{SLA:.1f}' AS sla_hours, n_models || '' AS models_at_risk, n_live_models || '' AS live_models_at_risk, severity FROM {{radii}}")(
-    lambda a: a.radii.select("resource_urn", F.map_from_arrays(F.array(*[F.lit(x) for x in ("lag_hours", "sla_hours", "models_at_risk", "live_models_at_risk", "severity")]), F.array(F.format_string("%.1f", "lag_hours"), F.format_string("%.1f", "sla_hours"), F.col("n_models").cast("string"), F.col("n_live_models").cast("string"), "severity")).alias("e")).select("resource_urn", *[F.col("e")[x].alias(x) for x in ("lag_hours", "sla_hours", "models_at_risk", "live_models_at_risk", "severity")])
-)
 query("a1_trust_inputs", "SELECT * EXCLUDE (worst), worst::INT AS worst FROM {trust_in}")(lambda a: a.inputs_of_trust.drop(*[f"{n}_cause" for n in score.SCORED.values()]))
 query("a2_trust_score", "SELECT model_urn, score, band, array_to_string(list_transform(d, lambda x: x.name), ',') AS deductions FROM {banded}")(
     lambda a: a.scores.select("model_urn", "score", "band", F.array_join(F.transform("deductions", lambda d: d["name"]), ",").alias("deductions"))
@@ -118,15 +115,11 @@ query("a6_guard_coverage", """SELECT coalesce("check", 'all') AS "check", sum(n
 query("a7_next_join", "SELECT remedy, count(*) AS pairs, count(DISTINCT model_urn) AS n_models, md5(string_agg(DISTINCT model_urn, ' ' ORDER BY model_urn)) AS models FROM {cures} GROUP BY remedy ORDER BY 2 DESC, 3 DESC, 1 DESC LIMIT 1")(
     lambda a: coverage.next_join(a.gaps).withColumn("models", F.md5(F.array_join("models", " ")))
 )
-query("a12_finding_signature", "SELECT model_urn, count(DISTINCT (finding_type, resource_urn, title, severity))::INT AS n FROM {findings} GROUP BY ALL")(lambda a: score.signature(a.findings).select("model_urn", "n"))
 query("a17_inventory_status", "SELECT m.model_urn, coalesce(f.n, 0) AS findings, CASE f.r WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' END AS worst, CASE WHEN f.coarse THEN 'table level only' WHEN f.n > 0 THEN 'findings' WHEN m.model_urn IN (SELECT model_urn FROM {linked}) THEN 'clean' ELSE 'not checked' END AS status FROM {models} m LEFT JOIN (SELECT model_urn, count(*) AS n, min(severity_rank) AS r, bool_and(finding_type = 'table_level_risk') AS coarse FROM {findings} GROUP BY ALL) f ON f.model_urn = m.model_urn")(
     lambda a: score.inventory(a.t.models, a.findings, a.linked)
 )
 query("a19_changes_count", "SELECT model_urn, run_urn, resource_urn, added, removed, retyped, drifted_fields FROM {drifts}")(lambda a: a.drifts.select("model_urn", "run_urn", "resource_urn", "added", "removed", "retyped", "drifted_fields"))
 query("a22_open_leak_columns", "SELECT model_urn, string_agg(DISTINCT resource_urn, ' ' ORDER BY resource_urn) AS columns FROM {leaks} GROUP BY ALL")(lambda a: a.leaks.groupBy("model_urn").agg(F.array_join(F.sort_array(F.collect_set("resource_urn")), " ").alias("columns")))
-query("a14_counterfactual", "SELECT model_urn, feature_urn, max(n) AS paths, CASE WHEN min(len) >= 2 THEN string_agg(DISTINCT edge, ' ' ORDER BY edge) ELSE '' END AS cut_edges FROM (SELECT l.model_urn, l.feature_urn, len(m.path) AS len, count(*) OVER (PARTITION BY l.model_urn, l.feature_urn)::INT AS n, m.path[1] || '<-' || m.path[2] AS edge FROM {linked} l JOIN {label_matches} m ON m.root = l.source) x GROUP BY ALL")(
-    lambda a: a.leaks.select("model_urn", "feature_urn", F.size("paths").alias("paths"), F.when(F.forall("paths", lambda p: F.size(p) >= 2), F.array_join(F.array_sort(F.array_distinct(F.transform("paths", lambda p: F.concat(p[0], F.lit("<-"), p[1])))), " ")).otherwise("").alias("cut_edges"))
-)
 query("a18_approach_comparison", "SELECT approach, count(CASE WHEN flagged AND truth THEN 1 END) AS tp, count(CASE WHEN flagged AND NOT truth THEN 1 END) AS fp, count(CASE WHEN NOT flagged AND truth THEN 1 END) AS fn, count(CASE WHEN NOT flagged AND NOT truth THEN 1 END) AS tn FROM (SELECT 'column' AS approach, f.feature_urn IN (SELECT feature_urn FROM {leaks}) AS flagged, f.feature_urn IN (SELECT feature_urn FROM {leaks}) AS truth FROM {features} f UNION ALL SELECT 'table', f.feature_urn IN (SELECT feature_urn FROM {coarse}), f.feature_urn IN (SELECT feature_urn FROM {leaks}) FROM {features} f) x GROUP BY ALL", COARSE)(
     lambda a: _approaches(a)
 )
@@ -150,10 +143,6 @@ query("g3_ci_annotations", "SELECT model_urn, '::error title=' || rule || ' ' ||
 query("t4_summary_top20", "SELECT model_urn, title, place::INT AS place, greatest(0, n - 20) AS more FROM (SELECT *, row_number() OVER (PARTITION BY model_urn ORDER BY severity_rank, finding_type, resource_urn, title) AS place, count(*) OVER (PARTITION BY model_urn) AS n FROM {findings}) x WHERE place <= 20")(
     lambda a: score.top_findings(a.findings).select("model_urn", "title", "place", "more")
 )
-query("s8_report_json", "SELECT model_urn, count(*) AS n, count(DISTINCT title) AS titles FROM {findings} GROUP BY ALL")(
-    lambda a: a.findings.groupBy("model_urn").agg(F.to_json(F.struct("model_urn", F.sort_array(F.collect_list(F.struct("severity_rank", "title", "resource_urn"))).alias("findings"))).alias("j"))
-    .select("model_urn", F.from_json("j", "findings array<struct<title:string>>")["findings"]["title"].alias("t")).select("model_urn", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("titles"))
-)
 query("a13_risk_flags", """SELECT coalesce(e.model_urn, c.model_urn) AS model_urn, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_concat(coalesce(e.ex, []), coalesce(c.cu, [])), lambda x: x <> 'input_schema_drift' OR list_contains(coalesce(c.cu, []), 'input_schema_drift')))), ','), '') AS flags
         FROM (SELECT model_urn, ['input_schema_drift', 'deprecated_input'] AS ex FROM {models} WHERE c_custkey % 3 = 0) e FULL JOIN (SELECT model_urn, list(DISTINCT finding_type) AS cu FROM {findings} GROUP BY ALL) c ON c.model_urn = e.model_urn""")(
     lambda a: score.risk_flags(a.t.models.where("c_custkey % 3 = 0").select("model_urn", F.array(F.lit("input_schema_drift"), F.lit("deprecated_input")).alias("existing")), a.findings.groupBy("model_urn").agg(F.collect_set("finding_type").alias("current")), a.t.models.select("model_urn", F.array(F.lit("input_schema_drift")).alias("recovered")))

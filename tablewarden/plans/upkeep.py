@@ -137,26 +137,8 @@ query("j39_declarations_agree", "SELECT name AS model, 2::BIGINT AS sources, k %
 )
 ISSUES = "SELECT owner_urn, o.entity_urn, issue, rank::INT AS rank FROM (SELECT * FROM {owners} QUALIFY row_number() OVER (PARTITION BY owner_urn ORDER BY entity_urn) <= 60) o JOIN (SELECT resource_urn AS entity_urn, 'incident' AS issue, 0 AS rank FROM {incidents} WHERE state = 'ACTIVE' UNION SELECT assertee_urn, 'failing assertion', 1 FROM (SELECT assertion_urn, assertee_urn, arg_max(result_type, ts_ms) AS r FROM {assertion_runs} GROUP BY ALL) x WHERE r = 'FAILURE' UNION SELECT entity_urn, 'deprecated', 2 FROM {deprecations} WHERE deprecated) i ON i.entity_urn = o.entity_urn"
 query("j32_owned_issues", ISSUES)(lambda a: upkeep.owned_issues(a.t.owners, a.t.incidents, log.latest_assertion_result(a.t.assertion_runs), a.t.deprecations, 60))
-query("t5_entity_cap", "SELECT owner_urn, least(count(*), 60) AS kept, count(*) >= 60 AS capped FROM {owners} GROUP BY ALL")(lambda a: a.t.owners.groupBy("owner_urn").agg(F.count(F.lit(1)).alias("n")).select("owner_urn", F.least("n", F.lit(60)).alias("kept"), (F.col("n") >= 60).alias("capped")))
-SOURCE_TABLE = f"regexp_extract(l.source, '{FIELD_RE}', 1)"
-query("j33_feature_provenance", f"SELECT l.feature_urn, any_value({dsname(SOURCE_TABLE)}) AS source_table, count(DISTINCT m.ancestor) AS exposures, bool_or(m.ancestor IS NOT NULL) AS exposed FROM {{linked}} l LEFT JOIN {{class_matches}} m ON m.root = l.source GROUP BY l.feature_urn")(
-    lambda a: a.linked.join(a.class_matches.select(F.col("root").alias("source"), "ancestor"), "source", "left").groupBy("feature_urn").agg(F.first(urn.dataset_name(urn.field_parent("source"))).alias("source_table"), F.count_distinct("ancestor").alias("exposures"), F.bool_or(F.col("ancestor").isNotNull()).alias("exposed"))
-)
-query("j34_model_facts", "SELECT m.model_urn, coalesce(f.n, 0) AS features, coalesce(s.n, 0) AS with_source, coalesce(r.n_runs, 0) AS runs, coalesce(i.n, 0) AS inputs, coalesce(x.n, 0) AS findings FROM {models} m LEFT JOIN (SELECT model_urn, count(*) AS n FROM {model_features} GROUP BY ALL) f ON f.model_urn = m.model_urn LEFT JOIN (SELECT model_urn, count(*) AS n FROM {linked} GROUP BY ALL) s ON s.model_urn = m.model_urn LEFT JOIN {run_facts} r ON r.model_urn = m.model_urn LEFT JOIN (SELECT model_urn, count(*) AS n FROM {inputs} GROUP BY ALL) i ON i.model_urn = m.model_urn LEFT JOIN (SELECT model_urn, count(*) AS n FROM {findings} GROUP BY ALL) x ON x.model_urn = m.model_urn")(
-    lambda a: _facts(a)
-)
-
 
-def _facts(a: Scored):
-    rows = a.t.models.select("model_urn")
-    for name, part in (("features", a.t.model_features), ("with_source", a.linked), ("runs", a.t.model_runs), ("inputs", a.inputs), ("findings", a.findings)):
-        rows = rows.join(part.groupBy("model_urn").agg(F.count(F.lit(1)).alias(name)), "model_urn", "left")
-    return rows.na.fill(0)
 
-
-query("j36_verify_remedy", "SELECT l.model_urn, l.feature_urn, count(*)::INT AS paths, count(*) - 1 AS left_after_one_cut, count(*) = 1 AS one_cut_clears FROM {linked} l JOIN {label_matches} m ON m.root = l.source WHERE len(m.path) >= 2 GROUP BY ALL")(
-    lambda a: a.linked.join(a.label_matches.where("size(path) >= 2").select(F.col("root").alias("source"), "path"), "source").groupBy("model_urn", "feature_urn").agg(F.count(F.lit(1)).alias("n")).select("model_urn", "feature_urn", F.col("n").cast("int").alias("paths"), (F.col("n") - 1).alias("left_after_one_cut"), (F.col("n") == 1).alias("one_cut_clears"))
-)
 query("s9_upsert_table", "SELECT model_urn, CASE WHEN c_custkey % 3 = 0 THEN 'n' || c_custkey ELSE coalesce(name, '') END AS name, version, c_custkey % 3 = 0 AS changed FROM {models}")(
     lambda a: upkeep.upsert(a.t.models.select("model_urn", F.coalesce("name", F.lit("")).alias("name"), "version"), a.t.models.where("c_custkey % 3 = 0").select("model_urn", F.expr("'n' || c_custkey").alias("name")), ["model_urn"])
 )
