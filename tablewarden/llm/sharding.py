@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import same, save, two_level_rank
+from .common import RANK_ROWS, save, two_level_rank
 
 KEY = ["k1", "k2", "k3"]
 
@@ -54,8 +54,10 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 8, doc_id:
         share = F.element_at(F.array(*[F.lit(min(1.0, free[j] / max(1, wants.get(j, 0)))) for j in range(shards)]), F.col("wish") + 1)
         draw = F.when(F.size("targets") > 1, _unit("rid", F.lit(turn + 100))).otherwise(_unit(*KEY, F.lit(turn + 100)))
         state = moving.withColumn("shard", F.when(draw < share, F.col("wish")).otherwise(F.col("shard"))).drop("wish", "targets")
-    state = save(state.select("rid", "doc_id", "size", "text_crc32", "shard", *KEY), "state")
-    place = two_level_rank(state, ["shard"], [*KEY, F.col("rid")], F.xxhash64(*KEY), rows // shards, "slot")
+    state = save(state.select("rid", "doc_id", "size", "text_crc32", "shard", "copies", *KEY), "state")
+    # copies of a text lie together, unless they are too many for one bucket
+    salt = F.xxhash64(*KEY, F.when(F.col("copies") > RANK_ROWS, F.col("rid")))
+    place = two_level_rank(state, ["shard"], [*KEY, F.col("rid")], salt, rows // shards, "slot")
     limit = F.element_at(F.array(*[F.lit(c) for c in caps]), F.col("shard") + 1)
     place = save(place.withColumn("kept", F.col("slot") < limit), "place")
     columns = ["doc_id", "size", "text_crc32", "rid"]
