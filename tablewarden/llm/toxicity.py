@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
-import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,31 +28,47 @@ _WORD = re.compile(r"\w+")
 def tokens(text: str | None) -> list[str]:
     """Words; a run of over LONG characters counts as pieces of LONG that overlap by OVER."""
     words = _WORD.findall((text or "").lower())
-    if all(len(w) <= LONG for w in words):
+    if max(map(len, words), default=0) <= LONG:
         return words
     return [w[i : i + LONG] for w in words for i in range(0, max(1, len(w) - OVER), LONG - OVER)]
 
 
-def word_row(word: str) -> int:
-    return zlib.crc32(word.encode()) % WORD_ROWS
+def scattered(h: np.ndarray, rows: int) -> np.ndarray:
+    """Hashes of 64 bits as rows of a table."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(rows)).astype(np.int64)
 
 
-def char_rows(word: str) -> tuple[list[int], list[int]]:
-    """Rows of a word's beginnings of 2 to 8 letters, and of its character 4-grams, ends marked."""
-    w = f"<{word}>"
-    begin = [zlib.crc32(w[:k].encode(), 1) % CHAR_ROWS for k in range(3, min(10, len(w) + 1))]
-    return begin, [zlib.crc32(w[i : i + 4].encode(), 2) % CHAR_ROWS for i in range(max(1, len(w) - 3))]
+def within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 class Rows:
-    """Table rows of many words: word rows, and beginnings and grams as flat lists with offsets."""
+    """Table rows of many words: word rows, and rows of beginnings and of character 4-grams as flat lists with offsets.
+
+    A word gets a mark at each end. Its beginnings have 2 to 8 letters, or all where it is shorter. All words are
+    hashed at once: characters times powers by place, summed over the stretch.
+    """
 
     def __init__(self, words: list[str]) -> None:
-        self.word = np.array([word_row(w) for w in words], np.int64)
-        both = [char_rows(w) for w in words]
-        self.flat = [np.array([r for b in both for r in b[k]], np.int64) for k in (0, 1)]
-        self.size = [np.array([len(b[k]) for b in both], np.int64) for k in (0, 1)]
-        self.at = [np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) for n in self.size]
+        size = np.array([len(w) + 2 for w in words], np.int64)
+        start = np.cumsum(size) - size
+        codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        powers = np.cumprod(np.full(max(10, int(size.max())), 0xD6E8FEB86659FD93, np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers[within(size)])])
+        self.word = scattered(sums[start + size] - sums[start], WORD_ROWS)
+        begins, grams = np.maximum(1, np.minimum(9, size) - 2), np.maximum(1, size - 3)
+        first = np.repeat(start, begins)
+        last = np.minimum(first + within(begins) + 3, np.repeat(start + size, begins))
+        begin = sums[last] - sums[first]
+        place, end = np.repeat(start, grams) + within(grams), np.repeat(start + size, grams)
+        padded = np.concatenate([codes, np.zeros(3, np.uint64)])
+        gram = sum(np.where(place + j < end, padded[place + j], np.uint64(0)) * powers[j] for j in range(4))
+        self.flat = [scattered(begin ^ np.uint64(1), CHAR_ROWS), scattered(gram, CHAR_ROWS)]
+        self.size = [begins, grams]
+        self.at = [np.cumsum(n) - n for n in self.size]
 
     def some(self, pick: np.ndarray) -> Rows:
         """The rows of some of the words."""
@@ -162,20 +178,28 @@ class Network:
         return logit, g, dgates
 
 
+class Numbers(dict):
+    """Words numbered from 0 as they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Windows:
-    """Texts as windows of indices into a table of distinct words."""
+    """Texts as windows of indices into a table of distinct words; -1 where a window has no word."""
 
-    def __init__(self, texts, index: dict[str, int] | None = None) -> None:
-        self.index: dict[str, int] = {} if index is None else index
-        doc, rows = [], []
-        for i, text in enumerate(texts):
-            ids = [self.index.setdefault(w, len(self.index)) for w in tokens(text)]
-            for s in starts(len(ids)):
-                part = ids[s : s + WINDOW]
-                rows.append(part + [-1] * (WINDOW - len(part)))
-                doc.append(i)
-        self.rows = np.array(rows, np.int64).reshape(-1, WINDOW)
-        self.doc = np.array(doc, np.int64)
+    def __init__(self, texts, index: Numbers | None = None) -> None:
+        self.index = Numbers() if index is None else index
+        ids = [list(map(self.index.__getitem__, tokens(text))) for text in texts]
+        size = np.array([len(i) for i in ids], np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, size.sum())
+        count = np.array([len(starts(n)) for n in size.tolist()], np.int64)
+        self.doc = np.repeat(np.arange(len(size)), count)
+        place = (within(count) * STRIDE)[:, None] + np.arange(WINDOW)
+        inside = place < size[self.doc][:, None]
+        self.rows = np.full(place.shape, -1, np.int64)
+        self.rows[inside] = flat[((np.cumsum(size) - size)[self.doc][:, None] + place)[inside]]
 
 
 def gathered(table: dict, rows: np.ndarray):
@@ -301,13 +325,13 @@ def scorer(parameters: dict, calibration: np.ndarray, texts_at_once: int = 256):
     """A function for mapInPandas that scores (doc_id, text)."""
 
     def run(batches):
-        net, index, table = Network(), {}, None
+        net, index, table = Network(), Numbers(), None
         net.p = parameters
         for batch in batches:
             for at in range(0, len(batch), texts_at_once):
                 part = batch.iloc[at : at + texts_at_once]
                 if len(index) > HELD_WORDS:
-                    index, table = {}, None
+                    index, table = Numbers(), None
                 known = len(index)
                 w = Windows(part["text"], index)
                 if len(index) > known or table is None:
