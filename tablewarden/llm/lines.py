@@ -20,7 +20,7 @@ BLOCK = 1000
 
 def normal_words(line: Column) -> Column:
     """The words of a line: lower case, letters and digits."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "), " "), "")
+    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
 
 
 def identity(doc_id: str, text: str) -> list[Column]:
