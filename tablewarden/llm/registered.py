@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import jaccard, licenses, lines, mixing, packing, quality, sharding, suffixes, toxicity, vectors
+from . import decontamination, jaccard, licenses, lines, mixing, negatives, packing, quality, ranking, sharding, suffixes, toxicity, vectors
 
 
 def queries():
@@ -19,9 +19,17 @@ def queries():
         "op8_jaccard_join": jaccard.op8,
         "op9_toxicity": toxicity.op9,
         "op10_embedding_dedup": vectors.op10,
+        "op11_lexical_search": ranking.op11,
+        "op12_hard_negatives": negatives.op12,
+        "op13_decontamination": decontamination.op13,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op7_quality_rules": quality.ORACLE}
+    return {
+        "op7_quality_rules": quality.ORACLE,
+        "op11_lexical_search": ranking.ORACLE,
+        "op12_hard_negatives": negatives.ORACLE,
+        "op13_decontamination": decontamination.ORACLE,
+    }
