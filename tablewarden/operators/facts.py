@@ -45,22 +45,6 @@ def cut_edges(matches: DataFrame) -> DataFrame:
     return matches.join(own, "root", "left_anti").select("root", F.concat(F.get("path", F.lit(0)), F.lit("<-"), F.get("path", F.lit(1))).alias("edge")).distinct()
 
 
-def remedies_checked(linked: DataFrame, matches: DataFrame) -> DataFrame:
-    """(model_urn, feature_urn, cut_edge, paths, paths_left, cleared): each cut alone, and `*` for all cuts of a finding.
-
-    A cut takes away every path that uses the edge anywhere; the finding is cleared when no path is left.
-    """
-    cuts = cut_edges(matches)
-    paths = matches.join(cuts.select("root").distinct(), "root", "left_semi").select("root", F.monotonically_increasing_id().alias("id"), F.transform(F.slice("path", 1, F.size("path") - 1), lambda x, i: F.concat(x, F.lit("<-"), F.get("path", i + 1))).alias("edges"))
-    counts = paths.groupBy("root").agg(F.count(F.lit(1)).alias("paths"))
-    used = paths.select("root", F.explode(F.array_distinct("edges")).alias("edge")).groupBy("root", "edge").agg(F.count(F.lit(1)).alias("gone"))
-    alone = cuts.join(used, ["root", "edge"]).join(counts, "root").select("root", F.col("edge").alias("cut_edge"), "paths", (F.col("paths") - F.col("gone")).alias("paths_left"))
-    held = cuts.groupBy("root").agg(F.collect_set("edge").alias("cuts"))  # as many as the root has parents
-    every = paths.join(held, "root").groupBy("root").agg(F.count(F.lit(1)).alias("paths"), F.count_if(~F.arrays_overlap("edges", "cuts")).alias("paths_left"))
-    both = alone.unionByName(every.withColumn("cut_edge", F.lit("*")))
-    return linked.join(both.withColumnRenamed("root", "source"), "source").select("model_urn", "feature_urn", "cut_edge", "paths", "paths_left", (F.col("paths_left") == 0).alias("cleared"))
-
-
 def signature_sets(findings: DataFrame) -> DataFrame:
     """(model_urn, n, signature): the set of (type, resource, title, severity) of a model, in order."""
     key = F.concat_ws("|", "finding_type", "resource_urn", "title", "severity")

@@ -39,6 +39,12 @@ def column_markers(marks: DataFrame, *markers: str) -> DataFrame:
     return marks.where(F.col("marker_urn").isin(*markers)).groupBy("column_urn").agg(F.min_by("marker_urn", order).alias("marker_urn"))
 
 
+def next_markers(marks: DataFrame, *markers: str) -> DataFrame:
+    """(column_urn, marker_urn): the marker of the set that a column has once its first one is taken away everywhere."""
+    first = column_markers(marks, *markers)
+    return column_markers(marks.join(first, ["column_urn", "marker_urn"], "left_anti"), *markers)
+
+
 def lineage_edges(table_lineage: DataFrame, features: DataFrame, model_features: DataFrame) -> DataFrame:
     """(src, dst): dataset to dataset, dataset to feature, feature to model."""
     parts = [

@@ -4,12 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster executors would not see such a folder,
+    so there it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="tablewarden-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the cluster names; one is set only where none is."""
+    """Reliable checkpoint in the folder that the cluster names."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tablewarden-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

@@ -48,20 +48,6 @@ def evidence(a: Scored) -> DataFrame:
     return every.withColumn("evidence", facts.lines_of(F.col("evidence")))
 
 
-PATHS = "(SELECT root, list_transform(range(1, len(path)), lambda i: path[i] || '<-' || path[i + 1]) AS edges FROM {label_matches} WHERE root NOT IN (SELECT root FROM {label_matches} WHERE len(path) < 2))"
-CUTS = f"(SELECT DISTINCT root, edges[1] AS edge FROM {PATHS})"
-
-
-@query(
-    "j36_verify_remedy",
-    f"""SELECT model_urn, feature_urn, cut_edge, paths, paths_left, paths_left = 0 AS cleared FROM {{linked}} l JOIN (
-        SELECT p.root, c.edge AS cut_edge, count(*) AS paths, count(CASE WHEN NOT list_contains(p.edges, c.edge) THEN 1 END) AS paths_left FROM {PATHS} p JOIN {CUTS} c ON c.root = p.root GROUP BY ALL
-        UNION ALL SELECT p.root, '*', count(*), count(CASE WHEN NOT list_has_any(p.edges, c.cuts) THEN 1 END) FROM {PATHS} p JOIN (SELECT root, list(edge) AS cuts FROM {CUTS} GROUP BY root) c ON c.root = p.root GROUP BY p.root) x ON x.root = l.source""",
-)
-def verify_remedy(a: Scored) -> DataFrame:
-    return facts.remedies_checked(a.linked, a.label_matches)
-
-
 @query("a12_finding_signature", "SELECT model_urn, count(DISTINCT k)::INT AS n, string_agg(DISTINCT k, chr(10) ORDER BY k) AS signature FROM (SELECT model_urn, finding_type || '|' || resource_urn || '|' || title || '|' || severity AS k FROM {findings}) x GROUP BY ALL")
 def finding_signature(a: Scored) -> DataFrame:
     return facts.signature_sets(a.findings).withColumn("signature", F.array_join("signature", "\n"))

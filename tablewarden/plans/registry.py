@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection, facts, scalars, scoring, streams, upkeep
+from . import detection, facts, scalars, scoring, streams, upkeep, whatif
 
-MODULES = [scalars, detection, scoring, upkeep, facts, streams]
+MODULES = [scalars, detection, scoring, upkeep, facts, whatif, streams]
 
 
 def flagship(spark, sf_dir):

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, urn
+from ..operators.steps import shared_dir
 from ..sources import log
 from .fixture import NOW_MS, Fixture, oracle
 
@@ -70,8 +70,7 @@ def _(t):
     from pyspark.sql import SparkSession
 
     spark = SparkSession.active()
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tablewarden-")
-    path = os.path.join(root, "raw-csv", os.urandom(8).hex())
+    path = os.path.join(shared_dir(spark), "raw-csv", os.urandom(8).hex())
     t.customer.select(F.col("c_custkey").alias("C_CUSTKEY"), F.col("c_name").alias("C_Name"), F.round("c_acctbal", 2).alias("c_acctbal"), "c_mktsegment").write.option("header", True).csv(path)
     return log.load_raw_csv(spark, path, "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string")
 

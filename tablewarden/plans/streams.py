@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ..sources import log
@@ -11,6 +14,8 @@ from .scalars import FIELD_RE
 from .scoring import Scored, audit_of
 from .upkeep import COMPLETE, EVERY, complete_links
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
+
 QUERIES, SQL = {}, {}
 
 
@@ -54,7 +59,21 @@ def watched(a: Scored):
 
 query("r3_transition_stream", f"SELECT target, seq, transition FROM ({STEPS}) x")(lambda a: watched(a).select("target", "seq", "transition"))
 query("r4_deferred_write", OWED)(lambda a: watched(a).select("target", "seq", "write"))
-query("r5_bad_event_isolation", "SELECT seq, entity_urn IS NOT NULL AND aspect_name IS NOT NULL AND json_valid(aspect_json) AS ok FROM {aspect_log}")(lambda a: changes.run_once(changes.isolate(events(a))))
+
+
+def features_named(event: dict) -> str:
+    """How many features a write of model properties names; one that names none fails, as a model without features can't be replayed."""
+    if event["aspect_name"] != "mlModelProperties":
+        return "not about features"
+    return str(len(event["aspect"]["mlFeatures"].split(",")))
+
+
+query(
+    "r5_bad_event_isolation",
+    """SELECT seq, CASE WHEN reason IS NULL THEN 'handled' ELSE 'dead' END AS sink, CASE WHEN reason IS NULL THEN CASE WHEN aspect_name <> 'mlModelProperties' THEN 'not about features' ELSE '2' END END AS result, reason
+        FROM (SELECT *, CASE WHEN entity_urn IS NULL THEN 'no entity' WHEN aspect_name IS NULL THEN 'no aspect' WHEN NOT json_valid(aspect_json) THEN 'unreadable aspect'
+            WHEN aspect_name = 'mlModelProperties' AND NOT contains(aspect_json, 'mlFeatures') THEN 'handler: KeyError' END AS reason FROM {aspect_log}) x""",
+)(lambda a: changes.isolate(events(a), features_named).drop("batch"))
 query("r6_at_least_once_dedupe", "SELECT DISTINCT 'r' || (event_id % 700) || '-' || (event_id % 2) AS message_id FROM {events}")(
     lambda a: changes.run_once(changes.once(stream_of(a.t.events.selectExpr("event_id", "'r' || (event_id % 700) || '-' || (event_id % 2) AS message_id")))).select("message_id")
 )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import sys
-import tempfile
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -13,15 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urn
+from ..operators.steps import shared_dir
 from ..sources import log
+from .state import KeyedState
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tablewarden-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -51,10 +53,62 @@ def touches(events: DataFrame, targets: DataFrame) -> DataFrame:
     return named.join(targets, "target", "left_semi").select("seq", "target")
 
 
-def isolate(events: DataFrame) -> DataFrame:
-    """Every event with ok = false when it cannot be used, so that one bad event never stops the stream."""
-    parsed = F.try_parse_json("aspect_json")
-    return events.select("seq", (F.col("entity_urn").isNotNull() & F.col("aspect_name").isNotNull() & parsed.isNotNull()).alias("ok"))
+#: Times that a handler is tried on an event.
+ATTEMPTS = 2
+HANDLED = "seq long, sink string, result string, reason string"
+
+
+def handled(events: DataFrame, handler: Callable[[dict], str | None], attempts: int = ATTEMPTS) -> DataFrame:
+    """(seq, sink, result, reason): each event through a handler of its own call.
+
+    handler takes an event (entity_type, entity_urn, aspect_name, change_type, aspect as a dict) and gives a text or
+    null. An event that cannot be decoded, or whose handler fails `attempts` times, goes to the sink `dead` with the
+    reason; the others go to `handled` with the result. No event stops the others.
+    """
+    ready = F.col("entity_urn").isNotNull() & F.col("aspect_name").isNotNull() & F.try_parse_json("aspect_json").isNotNull()
+    rows = events.select("seq", "entity_type", "entity_urn", "aspect_name", "change_type", "aspect_json", F.coalesce(ready, F.lit(False)).alias("ready"))
+
+    def one(row) -> tuple[str, str | None, str | None]:
+        if not row.ready:
+            missing = "no entity" if pd.isna(row.entity_urn) else "no aspect" if pd.isna(row.aspect_name) else "unreadable aspect"
+            return "dead", None, missing
+        event = {"seq": row.seq, "entity_type": row.entity_type, "entity_urn": row.entity_urn, "aspect_name": row.aspect_name, "change_type": row.change_type, "aspect": json.loads(row.aspect_json)}
+        for left in reversed(range(attempts)):
+            try:
+                return "handled", handler(event), None
+            except Exception as failure:  # whatever a handler raises concerns its event alone
+                if not left:
+                    return "dead", None, f"handler: {type(failure).__name__}"
+        return "dead", None, "not tried"
+
+    def each(batches):
+        for batch in batches:
+            out = [(row.seq, *one(row)) for row in batch.itertuples()]
+            yield pd.DataFrame(out, columns=["seq", "sink", "result", "reason"])
+
+    return rows.mapInPandas(each, HANDLED)
+
+
+def isolate(stream: DataFrame, handler: Callable[[dict], str | None], root: str | None = None, attempts: int = ATTEMPTS) -> DataFrame:
+    """Run a stream's events through a handler into two sinks, handled and dead; what both hold, with the batch.
+
+    A batch is one write to `batch=N` with a folder for each sink, which takes the place of what an earlier attempt at
+    the batch left: a batch that is delivered again after a failure is there once. Under the same root a later call goes on
+    where the one before stopped.
+    """
+    spark, root = stream.sparkSession, root or scratch(stream.sparkSession, "letters")
+
+    def write(batch: DataFrame, number: int) -> None:
+        handled(batch, handler, attempts).write.mode("overwrite").partitionBy("sink").parquet(f"{root}/letters/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return letters(spark, root)
+
+
+def letters(spark: SparkSession, root: str) -> DataFrame:
+    """(seq, result, reason, batch, sink): what isolate() has written under a root."""
+    return spark.read.schema("seq long, result string, reason string, batch long, sink string").option("basePath", f"{root}/letters").parquet(f"{root}/letters")
 
 
 def once(events: DataFrame) -> DataFrame:
@@ -85,19 +139,15 @@ def transitions(polls: DataFrame) -> DataFrame:
     return polls.groupBy("target").applyInPandasWithState(step, "target long, seq long, transition string, write boolean", "last string, owed boolean, begun boolean", "append", "NoTimeout")
 
 
-def latest_state(stream: DataFrame) -> DataFrame:
-    """The aspect snapshot kept up to date batch by batch: each merges the log rows it got with the rows held so far."""
-    spark, root = stream.sparkSession, scratch(stream.sparkSession, "state")
-    held: list[str] = []
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        rows = batch if not held else batch.unionByName(spark.read.schema(batch.schema).parquet(held[-1]))
-        whole = rows.where(F.col("entity_urn").isNotNull() & F.col("aspect_name").isNotNull() & (F.col("change_type") != "PATCH"))
-        last = whole.groupBy("entity_urn", "aspect_name").agg(F.max_by(F.struct(*[c for c in batch.columns if c not in ("entity_urn", "aspect_name")]), "seq").alias("r"))
-        path = f"{root}/{epoch}"
-        last.select("entity_urn", "aspect_name", "r.*").select(*batch.columns).write.mode("overwrite").parquet(path)
-        held.append(path)
+def latest_state(stream: DataFrame, root: str | None = None, **sizes: int) -> DataFrame:
+    """The aspect snapshot (sources.log) of all that a stream has delivered so far, kept up to date batch by batch.
 
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}-state").trigger(availableNow=True).start()
+    Rows of deleted aspects stay in the state, so an older write that comes late does not bring them back. Under the same
+    root a later call goes on where the one before stopped.
+    """
+    spark, root = stream.sparkSession, root or scratch(stream.sparkSession, "state")
+    held = KeyedState(spark, root, stream.schema, ["entity_urn", "aspect_name"], "seq", **sizes)
+    whole = F.col("entity_urn").isNotNull() & F.col("aspect_name").isNotNull() & F.col("change_type").isin(*log.REPLACING, "DELETE")
+    query = stream.writeStream.foreachBatch(lambda batch, epoch: held.merge(batch.where(whole), epoch)).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
-    return log.aspect_snapshot(spark.read.schema(stream.schema).parquet(held[-1]))
+    return log.aspect_snapshot(held.rows())
