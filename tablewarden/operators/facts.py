@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import urn
+from ..functions import rules, urn
+from ..sources.state import KeyedState
+from . import coverage, walk
+from .steps import cut
 
 #: What is told of each finding type, by name and expression.
 EVIDENCE = {
@@ -84,29 +87,63 @@ def remedies(findings: dict[str, DataFrame], matches: dict[str, DataFrame]) -> D
     return reduce(DataFrame.unionByName, out)
 
 
-def provenance(linked: DataFrame, classes: DataFrame, latest: DataFrame, stale: DataFrame, changes: DataFrame, findings: DataFrame) -> DataFrame:
-    """Facts of each feature with a source column, as sorted texts.
+def chain_counts(columns: DataFrame, lineage: DataFrame) -> DataFrame:
+    """(column_urn, chains): upstream paths of one to three edges that visit no column twice, none of them built.
 
-    tables: every table that its chains to classified columns cross, its own first among them, each fresh, stale or
-    unknown; classes: marks with how many columns carry them; drift: how its column changed since runs of its models.
+    Walks are counted from the counts of the neighbours, a hop at a time, and those that return are taken off: of two
+    edges the returns to the start, of three those that return after two edges, or repeat their second column, or
+    close a triangle; walks to and fro, which do both of the first, are taken off once.
     """
-    features = linked.select("feature_urn", "source").distinct()
-    crossed = classes.select(F.col("root").alias("source"), F.explode("path").alias("column_urn")).unionByName(features.select("source", F.col("source").alias("column_urn")))
-    crossed = crossed.select("source", urn.field_parent("column_urn").alias("dataset_urn")).distinct()
+    e = cut(lineage.select(F.col("downstream_column_urn").alias("src"), F.col("upstream_column_urn").alias("dst")).where("src <> dst").distinct())
+    back = e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi").groupBy("src").agg(F.count(F.lit(1)).alias("back"))
+    one = e.groupBy("src").agg(F.count(F.lit(1)).alias("one"))
+    node = one.join(back, "src", "left").na.fill(0, ["back"])
+    two = e.join(node.select(F.col("src").alias("dst"), "one", "back"), "dst").groupBy("src").agg(F.sum("one").alias("two"), F.sum("back").alias("back_after"))
+    node = cut(node.join(two, "src", "left").na.fill(0, ["two", "back_after"]))
+    three = e.join(node.select(F.col("src").alias("dst"), "two"), "dst").groupBy("src").agg(F.sum("two").alias("three"))
+    starts = columns.select(F.col("column_urn").alias("root")).distinct()
+    first = starts.join(e, F.col("root") == F.col("src")).select("root", F.col("dst").alias("b"))
+    last = e.join(starts, F.col("dst") == F.col("root"), "left_semi").select(F.col("src").alias("c"), F.col("dst").alias("root"))
+    closed = first.join(e.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b").join(last, ["root", "c"]).groupBy("root").agg(F.count(F.lit(1)).alias("closed"))
+    rows = starts.join(node.withColumnRenamed("src", "root"), "root", "left").join(three.withColumnRenamed("src", "root"), "root", "left").join(closed, "root", "left")
+    rows = rows.na.fill(0, ["one", "two", "three", "back", "back_after", "closed"])
+    return rows.select(F.col("root").alias("column_urn"), F.expr("one + (two - back) + (three - back * one - back_after - closed + back)").alias("chains"))
+
+
+def provenance(model_features: DataFrame, linked: DataFrame, lineage: DataFrame, classes: DataFrame, latest: DataFrame, stale: DataFrame, model_runs: DataFrame, training_schema: DataFrame, schema_fields: DataFrame, findings: DataFrame) -> DataFrame:
+    """Facts of every feature of every model, as sorted texts where they are sets.
+
+    chains: derivations of one to three edges of its source column. tables: every table that they cross, its own among
+    them, each fresh, stale or unknown. classes: marks with how many columns upstream carry them. training_type: type of
+    the column in the last run of the model that took a snapshot of it; current_type: its type now; drifted: both are known
+    and differ. findings: types found for this model on the column. gaps: what could not be told. A feature without
+    a source column has no other fact.
+    """
+    features = model_features.select("model_urn", "feature_urn").distinct().join(linked.select("model_urn", "feature_urn", "source").distinct(), ["model_urn", "feature_urn"], "left")
+    sources = cut(linked.select("source").distinct())
+    starts = sources.select(F.col("source").alias("root"), F.col("source").alias("node"))
+    up = lineage.select(F.col("downstream_column_urn").alias("src"), F.col("upstream_column_urn").alias("dst"))
+    crossed = walk.reach(starts, up, 3).select(F.col("root").alias("source"), urn.field_parent("node").alias("dataset_urn")).distinct()
     state = latest.select("dataset_urn", F.lit("fresh").alias("known")).join(stale.select("dataset_urn", F.lit("stale").alias("late")), "dataset_urn", "left")
     crossed = crossed.join(state, "dataset_urn", "left").select("source", F.concat(urn.dataset_name("dataset_urn"), F.lit(":"), F.coalesce("late", "known", F.lit("unknown"))).alias("t"))
     tables = crossed.groupBy("source").agg(F.array_sort(F.collect_set("t")).alias("tables"))
     per = classes.groupBy("root", "marker_urn").agg(F.count_distinct("ancestor").alias("n"))
     marks = per.groupBy(F.col("root").alias("source")).agg(F.array_sort(F.collect_set(F.concat("marker_urn", F.lit(":"), "n"))).alias("classes"))
-    chains = classes.groupBy(F.col("root").alias("source")).agg(F.count(F.lit(1)).alias("chains"))
-    kinds = changes.select(F.col("dataset_urn"), "field_path", "kind").distinct().groupBy("dataset_urn", "field_path").agg(F.array_sort(F.collect_set("kind")).alias("drift"))
-    found = findings.groupBy(F.col("resource_urn").alias("source")).agg(F.array_sort(F.collect_set("finding_type")).alias("findings"))
-    rows = features.withColumns({"dataset_urn": urn.field_parent("source"), "field_path": urn.field_path("source")})
-    rows = rows.join(kinds, ["dataset_urn", "field_path"], "left")
-    for part in (tables, marks, chains, found):
+    chains = chain_counts(sources.withColumnRenamed("source", "column_urn"), lineage).withColumnRenamed("column_urn", "source")
+    parts = sources.select("source", urn.field_parent("source").alias("dataset_urn"), urn.field_path("source").alias("field_path"))
+    now = parts.join(schema_fields.select("dataset_urn", "field_path", F.col("native_type").alias("current_type")), ["dataset_urn", "field_path"]).select("source", "current_type")
+    taken = training_schema.join(parts, ["dataset_urn", "field_path"]).select("run_urn", "source", "native_type")
+    asked = linked.select("model_urn", "source").distinct()
+    trained = model_runs.select("model_urn", "run_urn", "pos").join(taken, "run_urn").join(asked, ["model_urn", "source"])
+    trained = trained.groupBy("model_urn", "source").agg(F.max_by("native_type", F.struct("pos", "run_urn", "native_type")).alias("training_type"))
+    found = findings.groupBy("model_urn", F.col("resource_urn").alias("source")).agg(F.array_sort(F.collect_set("finding_type")).alias("findings"))
+    rows = features.join(trained, ["model_urn", "source"], "left").join(found, ["model_urn", "source"], "left")
+    for part in (tables, marks, chains, now):
         rows = rows.join(part, "source", "left")
+    gap = F.when(F.col("source").isNull(), "no source column").otherwise(F.concat_ws("; ", F.when(F.col("training_type").isNull(), "no training type"), F.when(F.col("current_type").isNull(), "no current type")))
     text = lambda c: F.coalesce(F.array_join(c, "; "), F.lit("")).alias(c)
-    return rows.select("feature_urn", "source", F.coalesce("chains", F.lit(0)).alias("chains"), *[text(c) for c in ("tables", "classes", "drift", "findings")])
+    drifted = F.coalesce(F.col("training_type") != F.col("current_type"), F.lit(False))
+    return rows.select("model_urn", "feature_urn", "source", F.coalesce("chains", F.lit(0)).alias("chains"), *[text(c) for c in ("tables", "classes")], "training_type", "current_type", drifted.alias("drifted"), text("findings"), gap.alias("gaps"))
 
 
 def properties_of(model_runs: DataFrame, run_properties: DataFrame) -> DataFrame:
@@ -115,14 +152,41 @@ def properties_of(model_runs: DataFrame, run_properties: DataFrame) -> DataFrame
     return rows.groupBy("model_urn").agg(F.array_join(F.array_sort(F.collect_set(F.concat("key", F.lit("="), "value"))), "; ").alias("properties"))
 
 
-def reports(findings: DataFrame, scores: DataFrame, gaps: DataFrame, violations: DataFrame) -> DataFrame:
-    """(model_urn, report): one JSON document for each model that has a finding, keys in a fixed order."""
-    listed = findings.groupBy("model_urn").agg(F.array_sort(F.collect_list(F.struct("severity_rank", "title", "resource_urn", "finding_type", "severity"))).alias("findings"))
-    missing = gaps.groupBy("model_urn").agg(F.array_sort(F.collect_list(F.struct("check", "reason"))).alias("gaps"), F.array_sort(F.collect_set(F.when(F.contains("reason", F.lit("cap")), F.concat("check", F.lit(": "), "reason")))).alias("warnings"))
-    broken = violations.groupBy("model_urn").agg(F.count(F.lit(1)).alias("violations"))
-    rows = listed.join(missing, "model_urn", "left").join(broken, "model_urn", "left").join(scores.select("model_urn", "score", "band"), "model_urn", "left")
-    trust = F.struct(F.coalesce("score", F.lit(-1)).alias("score"), F.coalesce("band", F.lit("not scored")).alias("band"))
-    gate = F.struct(F.coalesce("violations", F.lit(0)).alias("violations"), (F.coalesce("violations", F.lit(0)) > 0).alias("blocked"))
-    no_gaps = F.array().cast("array<struct<check:string,reason:string>>")
-    document = F.struct(F.col("model_urn").alias("target"), "findings", trust.alias("trust"), F.coalesce("gaps", no_gaps).alias("gaps"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"), gate.alias("gate"))
-    return rows.select("model_urn", F.to_json(document).alias("report"))
+def reports(models: DataFrame, datasets: DataFrame, findings: DataFrame, scores: DataFrame, gaps: DataFrame, violations: DataFrame, radii: DataFrame, warnings: DataFrame) -> DataFrame:
+    """(target, report): one JSON document for each model and each table, with findings or none, keys in a fixed order.
+
+    A model's findings are those that endanger it, with its score, its gaps, what its gate says and the caps that cut its
+    walks; a table's finding is that it is stale, with what P28 warns of its radius. What was not scored is null.
+    """
+    some = ["severity_rank", "title", "resource_urn", "finding_type", "severity"]
+    own = findings.select(F.col("model_urn").alias("target"), *some)
+    stale = radii.select(F.col("resource_urn").alias("target"), rules.severity_rank("severity").alias("severity_rank"), "title", "resource_urn", "finding_type", "severity")
+    listed = own.unionByName(stale).groupBy("target").agg(F.array_sort(F.collect_list(F.struct(*some))).alias("findings"))
+    missing = gaps.groupBy(F.col("model_urn").alias("target")).agg(F.array_sort(F.collect_list(F.struct("check", "reason", coverage.remedy().alias("remedy")))).alias("gaps"))
+    cuts = gaps.where(F.contains("reason", F.lit("cap"))).select(F.col("model_urn").alias("target"), F.concat("check", F.lit(": "), "reason").alias("warning"))
+    said = cuts.unionByName(warnings.where("warning is not null").select(F.col("resource_urn").alias("target"), "warning"))
+    said = said.groupBy("target").agg(F.array_sort(F.collect_set("warning")).alias("warnings"))
+    broken = violations.groupBy(F.col("model_urn").alias("target")).agg(F.array_sort(F.collect_list(F.struct("rule", "detail"))).alias("violations"))
+    trust = scores.select(F.col("model_urn").alias("target"), F.struct("score", "band", F.transform("deductions", lambda d: d["name"]).alias("deductions")).alias("trust"))
+    rows = models.select(F.col("model_urn").alias("target"), F.lit("model").alias("kind")).unionByName(datasets.select(F.col("dataset_urn").alias("target"), F.lit("table").alias("kind")))
+    for part in (listed, missing, said, broken, trust):
+        rows = rows.join(part, "target", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c)
+    rows = rows.select("target", "kind", *[none(c) for c in ("findings", "gaps", "warnings", "violations")], "trust")
+    worst = F.get("findings", F.lit(0))["severity"]
+    gate = F.when(F.col("kind") == "model", F.struct((F.size("violations") > 0).alias("blocked"), F.when(F.size("violations") > 0, 1).otherwise(0).alias("exit_code"), "violations"))
+    document = F.struct("target", "kind", (F.size("findings") == 0).alias("clean"), worst.alias("severity"), "findings", "trust", "gaps", "warnings", gate.alias("gate"))
+    return rows.select("target", F.to_json(document, {"ignoreNullFields": "false"}).alias("report"))
+
+
+def keep_reports(reports: DataFrame, root: str, run: str, targets: DataFrame | None = None) -> DataFrame:
+    """(target, run_no, run, report): the last document of every target ever scanned, after those of a scan were written.
+
+    targets: (target) that the scan is about, by default all of `reports`; the documents of other targets stay as they were.
+    """
+    scanned = reports if targets is None else reports.join(targets.select("target").distinct(), "target", "left_semi")
+    schema = reports.sparkSession.createDataFrame([], "target string, run_no long, run string, report string").schema
+    store = KeyedState(reports.sparkSession, root, schema, ["target"], "run_no")
+    number = store.pointer()["epoch"] + 1
+    store.merge(scanned.select("target", F.lit(number).cast("long").alias("run_no"), F.lit(run).alias("run"), "report"), number)
+    return store.rows()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .steps import cut
+
 
 def confusion(pairs: DataFrame, *by: str) -> DataFrame:
     """Counts and rates of (expected, observed) by group; a rate with nothing to divide by is null."""
@@ -26,17 +28,52 @@ def verdict(value: str, target: float, higher: bool = True):
     return F.when(F.col(value).isNull(), "not measured").when(good, "meets").otherwise("misses")
 
 
+#: Ranges that the distinct scores of roc_auc() are dealt to.
+RANGES = 200
+
+
 def roc_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve by ranks, equal scores sharing theirs; one row.
 
-    Counts by score first, so the running sum is over distinct scores alone.
+    Counts by score first. Distinct scores are then dealt to RANGES ranges in order; each range is summed up by itself
+    and moved by the sum of the ranges below, so no task sees more than a range, whatever the number of scores.
     """
-    from pyspark.sql import Window
-
     by = rows.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = by.withColumn("w", F.col("p") * (below + F.col("n") / 2)).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return sums.select(F.try_divide("w", F.col("p") * F.col("n")).alias("auc"), "p", "n")
+    by = cut(by.repartitionByRange(RANGES, score).withColumn("part", F.spark_partition_id()))
+    sums = by.groupBy("part").agg(F.sum("n").alias("n")).agg(F.collect_list(F.struct("part", "n")).alias("sums"))  # RANGES at most
+    within = Window.partitionBy("part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    lower = F.aggregate(F.filter("sums", lambda s: s["part"] < F.col("part")), F.lit(0).cast("long"), lambda acc, s: acc + s["n"])
+    ranked = by.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0))).crossJoin(F.broadcast(sums))
+    totals = ranked.withColumn("w", F.col("p") * (F.col("inside") + lower + F.col("n") / 2)).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return totals.select(F.try_divide("w", F.col("p") * F.col("n")).alias("auc"), "p", "n")
+
+
+#: Upper ends of the buckets of a histogram of milliseconds, the end itself included; above all is one more.
+BOUNDS_MS = [0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000]
+
+
+def scan_records(lines: DataFrame, line: str = "line") -> DataFrame:
+    """(dry_run, findings, detect_ms) of log lines that tell of a finished scan: those with a whole detect_ms.
+
+    Other lines and unreadable ones are passed over. A scan that doesn't say whether it was a dry run was none, one that
+    doesn't count findings has none.
+    """
+    told = F.from_json(line, "dry_run string, findings string, detect_ms string")
+    rows = lines.select(told.alias("j")).select(F.coalesce(F.lower("j.dry_run") == "true", F.lit(False)).alias("dry_run"), F.coalesce(F.try_to_number("j.findings", F.lit("999999999999")), F.lit(0)).cast("long").alias("findings"), F.col("j.detect_ms").alias("ms"))
+    return rows.where(F.rlike("ms", F.lit("^[0-9]{1,18}$"))).select("dry_run", "findings", F.col("ms").cast("long").alias("detect_ms"))
+
+
+def partial_metrics(scans: DataFrame, *by: str, bounds: list[int] = BOUNDS_MS) -> DataFrame:
+    """Counts and sums of scans by group that merge_metrics() can add up: scans, findings, sum_ms, least_ms, most_ms, buckets."""
+    over = [F.count_if((F.col("detect_ms") > low) & (F.col("detect_ms") <= high)) for low, high in zip(bounds, bounds[1:])]
+    buckets = F.array(F.count_if(F.col("detect_ms") <= bounds[0]), *over, F.count_if(F.col("detect_ms") > bounds[-1]))
+    return scans.groupBy(*by).agg(F.count(F.lit(1)).alias("scans"), F.sum("findings").alias("findings"), F.sum("detect_ms").alias("sum_ms"), F.min("detect_ms").alias("least_ms"), F.max("detect_ms").alias("most_ms"), buckets.alias("buckets"))
+
+
+def merge_metrics(parts: DataFrame, *by: str, bounds: list[int] = BOUNDS_MS) -> DataFrame:
+    """Partial metrics of any number of batches as one; the order does not matter."""
+    buckets = F.array(*[F.sum(F.get("buckets", F.lit(i))) for i in range(len(bounds) + 1)])
+    return parts.groupBy(*by).agg(F.sum("scans").alias("scans"), F.sum("findings").alias("findings"), F.sum("sum_ms").alias("sum_ms"), F.min("least_ms").alias("least_ms"), F.max("most_ms").alias("most_ms"), buckets.alias("buckets"))
 
 
 def faithfulness(narratives: DataFrame) -> DataFrame:

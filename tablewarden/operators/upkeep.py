@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, urn
@@ -61,8 +61,23 @@ def new_incidents(findings: DataFrame, incidents: DataFrame, datasets: DataFrame
     return findings.select(*KEYS).distinct().join(active, KEYS, "left_anti").join(exists, "resource_urn", "left_semi")
 
 
+def leak_columns(leaks: DataFrame, scanned: DataFrame, run: Column) -> DataFrame:
+    """(model_urn, columns, run): the columns through which each scanned model leaks now; none when it does not.
+
+    Kept by model, the last run counting, this is what a later scan knows of columns that may be gone by then.
+    """
+    now = leaks.groupBy("model_urn").agg(F.sort_array(F.collect_set("resource_urn")).alias("columns"))
+    return scanned.select("model_urn").distinct().join(now, "model_urn", "left").select("model_urn", F.coalesce("columns", F.array().cast("array<string>")).alias("columns"), run.alias("run"))
+
+
+def incident_candidates(resources: DataFrame, memory: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(resource_urn): what incidents of the scanned models may stand on: their resources now and their recorded leak columns."""
+    known = memory.join(scanned.select("model_urn"), "model_urn", "left_semi").select(F.explode("columns").alias("resource_urn"))
+    return resources.join(scanned.select("model_urn"), "model_urn", "left_semi").select("resource_urn").unionByName(known).distinct()
+
+
 def resolved_incidents(incidents: DataFrame, findings: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Active incidents of ours on scanned resources that no finding reproduces.
+    """Active incidents of ours on scanned resources (incident_candidates()) that no finding reproduces.
 
     Findings about columns match by resource and type, as their titles name a path end that may move; the others by title.
     """
@@ -86,6 +101,24 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame
     return rows.select(*keys, *[F.coalesce(f"_{v}", v).alias(v) if v in given else F.col(v) for v in values], F.coalesce(changed, F.lit(False)).alias("changed"))
 
 
+def change_members(current: DataFrame, intents: DataFrame) -> DataFrame:
+    """(entity_urn, members, added, removed, changed): arrays after single members were added or taken away.
+
+    current: (entity_urn, members); intents: (entity_urn, member, op, seq) with op `add` or `remove`; of several about
+    one member the last by seq counts. A remove takes that member alone; the others stay in their order, and added ones
+    follow by name. Adding what is there and removing what is not change nothing. Null members are no intents.
+    """
+    last = intents.where("member is not null").groupBy("entity_urn", "member").agg(F.max_by("op", F.struct("seq", "op")).alias("op"))
+    of = lambda op: F.array_sort(F.collect_list(F.when(F.col("op") == op, F.col("member"))))
+    asked = last.groupBy("entity_urn").agg(of("add").alias("adds"), of("remove").alias("removes"))
+    none = F.array().cast("array<string>")
+    rows = current.join(asked, "entity_urn", "full_outer")
+    had, adds, removes = (F.coalesce(c, none) for c in ("members", "adds", "removes"))
+    rows = rows.select("entity_urn", had.alias("had"), F.array_except(adds, had).alias("added"), F.array_intersect(removes, had).alias("removed"))
+    rows = rows.select("entity_urn", F.concat(F.filter("had", lambda m: ~F.array_contains("removed", m)), "added").alias("members"), "added", "removed")
+    return rows.withColumn("changed", (F.size("added") > 0) | (F.size("removed") > 0))
+
+
 def owned_issues(owners: DataFrame, incidents: DataFrame, assertions: DataFrame, deprecations: DataFrame, cap: int) -> DataFrame:
     """(owner_urn, entity_urn, issue, rank): issues on the first `cap` entities of each owner, worst source first."""
     first = Window.partitionBy("owner_urn").orderBy("entity_urn")

@@ -71,10 +71,38 @@ def marked_ancestors(columns: DataFrame, lineage: DataFrame, markers: DataFrame,
     return found.join(markers, found["node"] == markers["column_urn"]).select("root", "path", F.col("node").alias("ancestor"), "marker_urn")
 
 
+def bounded_reach(starts: DataFrame, edges: DataFrame, hops: int, cap: int) -> DataFrame:
+    """(root, node, hops): as reach() without the starts, but a root stops at `cap` nodes, nearest first, then by name.
+
+    A root has at most `cap` nodes at any time and is dropped from the frontier once it has them, so nothing beyond is
+    built. Of a node's edges the first 2 cap + 1 by name are enough: fewer than `cap` of them can be known already, and
+    no more than `cap` are wanted.
+    """
+    order = Window.partitionBy("src").orderBy("dst")
+    few = cut(edges.select("src", "dst").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 2 * cap + 1).drop("nth"))
+    seen = cut(starts.select("root", "node").distinct().withColumn("hops", F.lit(0)))
+    front = seen.select("root", "node", F.lit(0).cast("long").alias("held"))
+    level = Window.partitionBy("root")
+    rounds = [seen]
+    for hop in range(1, hops + 1):
+        found = front.join(few, front["node"] == few["src"]).select("root", F.col("dst").alias("node"), "held").distinct()
+        new = found.join(reduce(DataFrame.unionByName, rounds), ["root", "node"], "left_anti")
+        new = new.withColumn("nth", F.row_number().over(level.orderBy("node"))).where(F.col("held") + F.col("nth") <= cap)
+        new = cut(new.withColumn("held", F.col("held") + F.count(F.lit(1)).over(level)).drop("nth").withColumn("hops", F.lit(hop)))
+        if new.isEmpty():
+            break
+        rounds.append(new.drop("held"))
+        front = new.where(F.col("held") < cap).select("root", "node", "held")
+    return reduce(DataFrame.unionByName, rounds).where("hops > 0")
+
+
 def walk_limits(columns: DataFrame, lineage: DataFrame, hops: int, cap: int) -> DataFrame:
-    """(root, cone, truncated, hop_capped): size of what lies upstream, and whether a limit may hide matches."""
+    """(root, cone, truncated, hop_capped): size of what lies upstream, up to `cap`, and whether a limit may hide matches.
+
+    A walk that the cap stops is hop capped as far as it came.
+    """
     up = lineage.select(F.col("downstream_column_urn").alias("src"), F.col("upstream_column_urn").alias("dst"))
-    seen = reach(columns.select(F.col("column_urn").alias("root"), F.col("column_urn").alias("node")), up, hops + 1).where("hops > 0")
+    seen = bounded_reach(columns.select(F.col("column_urn").alias("root"), F.col("column_urn").alias("node")), up, hops + 1, cap)
     cone = seen.groupBy("root").agg(F.count(F.lit(1)).alias("cone"), F.max("hops").alias("deepest"))
     return cone.select("root", "cone", (F.col("cone") >= cap).alias("truncated"), (F.col("deepest") > hops).alias("hop_capped"))
 
@@ -87,7 +115,8 @@ def best_match(matches: DataFrame) -> DataFrame:
     return grouped.select("root", "best.*", "n_matches", F.filter("paths", lambda p: p != F.col("best.path")).alias("other_paths"), "paths")
 
 
-def capped(reached: DataFrame, cap: int) -> DataFrame:
-    """At most `cap` nodes of each root, nearest first, and whether there may be more."""
+def capped(starts: DataFrame, edges: DataFrame, hops: int, cap: int) -> DataFrame:
+    """(root, node, hops, rank, truncated): at most `cap` nodes of each root, nearest first, and whether there may be more."""
     by = Window.partitionBy("root")
-    return reached.withColumn("rank", F.row_number().over(by.orderBy("hops", "node"))).withColumn("truncated", F.count(F.lit(1)).over(by) >= cap).where(F.col("rank") <= cap)
+    rows = bounded_reach(starts, edges, hops, cap)
+    return rows.withColumn("rank", F.row_number().over(by.orderBy("hops", "node"))).withColumn("truncated", F.count(F.lit(1)).over(by) >= cap)

@@ -79,10 +79,13 @@ class Audit:
     def stale(self) -> DataFrame:
         return tables.stale_tables(log.latest_operation(self.t.operations), self.now_ms, self.sla)
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        return cut(models.lineage_edges(self.t.table_lineage, self.t.features, self.t.model_features))
+
     @cached_property
     def reached(self) -> DataFrame:
-        edges = cut(models.lineage_edges(self.t.table_lineage, self.t.features, self.t.model_features))
-        return tables.downstream_reach(self.stale, edges, self.hops)
+        return tables.downstream_reach(self.stale, self.edges, self.hops)
 
     @cached_property
     def radius(self) -> DataFrame:

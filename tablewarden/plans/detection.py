@@ -136,10 +136,14 @@ query("t2_models_worst_first", "SELECT root, model_urn, row_number() OVER (PARTI
 
 @query("t6_lineage_result_cap", "SELECT root, node, rank::INT AS rank, truncated FROM (SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY hops, node) AS rank, count(*) OVER (PARTITION BY root) >= 10 AS truncated FROM {reached}) x WHERE rank <= 10")
 def _(a):
-    return walk.capped(a.reached, 10).select("root", "node", "rank", "truncated")
+    starts = a.stale.select(F.col("dataset_urn").alias("root"), F.col("dataset_urn").alias("node"))
+    return walk.capped(starts, a.edges, a.hops, 10).select("root", "node", "rank", "truncated")
 
 
-@query("p28_radius_warnings", f"SELECT r.resource_urn, CASE WHEN r.n_models = 0 AND coalesce(c.full_cone, false) THEN 'unknown' WHEN r.n_models = 0 THEN 'none within 3 hops' WHEN coalesce(c.full_cone, false) THEN 'more may be affected' END AS warning FROM {{radii}} r LEFT JOIN (SELECT root, count(*) >= 20 AS full_cone FROM {{reached}} GROUP BY root) c ON c.root = r.resource_urn")
+RADIUS_WARNINGS = f"SELECT r.resource_urn, CASE WHEN r.n_models = 0 AND coalesce(c.full_cone, false) THEN 'unknown' WHEN r.n_models = 0 THEN 'none within 3 hops' WHEN coalesce(c.full_cone, false) THEN 'more may be affected' END AS warning FROM {{radii}} r LEFT JOIN (SELECT root, count(*) >= 20 AS full_cone FROM {{reached}} GROUP BY root) c ON c.root = r.resource_urn"
+
+
+@query("p28_radius_warnings", RADIUS_WARNINGS)
 def _(a):
     from ..operators.findings import radius_warnings
 

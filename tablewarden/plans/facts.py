@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import facts, score
+from ..operators.findings import radius_warnings
+from ..operators.steps import shared_dir
 from ..sources import log
+from .detection import CHAINS, RADIUS_WARNINGS
 from .oracle_parts import dsname
 from .scalars import FIELD_RE, SLA
 from .upkeep import EVERY
@@ -19,10 +23,10 @@ QUERIES, SQL = {}, {}
 KINDS = {"target_leakage": "leaks", "sensitive_source": "exposures", "proxy_candidate": "proxies", "input_schema_drift": "drifts", "deprecated_input": "deprecated", "table_level_risk": "table_risks"}
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str, extra: dict[str, str] | None = None):
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(audit_of(spark, sf_dir))
-        SQL[name] = oracle(sql, EVERY)
+        SQL[name] = oracle(sql, EVERY | (extra or {}))
         return f
 
     return add
@@ -84,18 +88,35 @@ def _parent(column: str) -> str:
     return f"regexp_extract({column}, '{FIELD_RE}', 1)"
 
 
-@query(
-    "j33_feature_provenance",
-    f"""SELECT l.feature_urn, l.source, coalesce(c.n, 0) AS chains, coalesce(t.v, '') AS tables, coalesce(k.v, '') AS classes, coalesce(d.v, '') AS drift, coalesce(f.v, '') AS findings
-        FROM (SELECT DISTINCT feature_urn, source FROM {{linked}}) l LEFT JOIN (SELECT root, count(*) AS n FROM {{class_matches}} GROUP BY ALL) c ON c.root = l.source
-        LEFT JOIN (SELECT source, string_agg(DISTINCT s, '; ' ORDER BY s) AS v FROM (SELECT source, {dsname('x.ds')} || ':' || CASE WHEN x.ds IN (SELECT dataset_urn FROM {{stale}}) THEN 'stale' WHEN x.ds IN (SELECT dataset_urn FROM {{latest_op}}) THEN 'fresh' ELSE 'unknown' END AS s
-            FROM (SELECT root AS source, {_parent('p')} AS ds FROM (SELECT root, unnest(path) AS p FROM {{class_matches}}) u UNION SELECT source, {_parent('source')} FROM {{linked}}) x) y GROUP BY ALL) t ON t.source = l.source
-        LEFT JOIN (SELECT root, string_agg(m || ':' || n, '; ' ORDER BY m || ':' || n) AS v FROM (SELECT root, marker_urn AS m, count(DISTINCT ancestor) AS n FROM {{class_matches}} GROUP BY ALL) x GROUP BY ALL) k ON k.root = l.source
-        LEFT JOIN (SELECT dataset_urn, field_path, string_agg(DISTINCT kind, '; ' ORDER BY kind) AS v FROM {{changes}} GROUP BY ALL) d ON d.dataset_urn = {_parent('l.source')} AND d.field_path = regexp_extract(l.source, '{FIELD_RE}', 2)
-        LEFT JOIN (SELECT resource_urn, string_agg(DISTINCT finding_type, '; ' ORDER BY finding_type) AS v FROM {{findings}} GROUP BY ALL) f ON f.resource_urn = l.source""",
-)
+CROSSED = {
+    "chain_nodes": "SELECT DISTINCT root, unnest(path) AS node FROM {recursive_chains}",
+    "crossed": f"SELECT DISTINCT root, {_parent('node')} AS ds FROM {{chain_nodes}}",
+    "crossed_text": f"""SELECT root, {dsname('ds')} || ':' || CASE WHEN ds IN (SELECT dataset_urn FROM {{stale}}) THEN 'stale'
+        WHEN ds IN (SELECT dataset_urn FROM {{latest_op}}) THEN 'fresh' ELSE 'unknown' END AS t FROM {{crossed}}""",
+    "class_counts": "SELECT root, marker_urn || ':' || count(DISTINCT ancestor) AS t FROM {class_matches} GROUP BY root, marker_urn",
+    "source_parts": f"SELECT source, {_parent('source')} AS ds, regexp_extract(source, '{FIELD_RE}', 2) AS field FROM {{sources}}",
+    "trained": """SELECT r.model_urn, p.source, max_by(t.native_type, (r.pos, r.run_urn, t.native_type)) AS v
+        FROM {model_runs} r JOIN {training_schema} t ON t.run_urn = r.run_urn JOIN {source_parts} p ON p.ds = t.dataset_urn AND p.field = t.field_path GROUP BY ALL""",
+    "now_type": "SELECT p.source, f.native_type AS v FROM {source_parts} p JOIN {schema_fields} f ON f.dataset_urn = p.ds AND f.field_path = p.field",
+    "own_features": "SELECT DISTINCT m.model_urn, m.feature_urn, l.source FROM {model_features} m LEFT JOIN {linked} l ON l.model_urn = m.model_urn AND l.feature_urn = m.feature_urn",
+}
+PROVENANCE = """
+SELECT o.model_urn, o.feature_urn, o.source, coalesce(c.n, 0) AS chains, coalesce(t.v, '') AS tables, coalesce(k.v, '') AS classes, y.v AS training_type, w.v AS current_type,
+    coalesce(y.v <> w.v, false) AS drifted, coalesce(f.v, '') AS findings,
+    CASE WHEN o.source IS NULL THEN 'no source column' ELSE concat_ws('; ', CASE WHEN y.v IS NULL THEN 'no training type' END, CASE WHEN w.v IS NULL THEN 'no current type' END) END AS gaps
+FROM {own_features} o
+LEFT JOIN (SELECT root, count(*) AS n FROM {recursive_chains} WHERE len(path) >= 2 GROUP BY ALL) c ON c.root = o.source
+LEFT JOIN (SELECT root, string_agg(DISTINCT t, '; ' ORDER BY t) AS v FROM {crossed_text} GROUP BY ALL) t ON t.root = o.source
+LEFT JOIN (SELECT root, string_agg(t, '; ' ORDER BY t) AS v FROM {class_counts} GROUP BY ALL) k ON k.root = o.source
+LEFT JOIN {trained} y ON y.model_urn = o.model_urn AND y.source = o.source
+LEFT JOIN {now_type} w ON w.source = o.source
+LEFT JOIN (SELECT model_urn, resource_urn, string_agg(DISTINCT finding_type, '; ' ORDER BY finding_type) AS v FROM {findings} GROUP BY ALL) f ON f.model_urn = o.model_urn AND f.resource_urn = o.source
+"""
+
+
+@query("j33_feature_provenance", PROVENANCE, CHAINS | CROSSED)
 def feature_provenance(a: Scored) -> DataFrame:
-    return facts.provenance(a.linked, a.class_matches, log.latest_operation(a.t.operations), a.stale, a.changes, a.findings)
+    return facts.provenance(a.t.model_features, a.linked, a.t.column_lineage, a.class_matches, log.latest_operation(a.t.operations), a.stale, a.t.model_runs, a.t.training_schema, a.t.schema_fields, a.findings)
 
 
 COUNTS = {"features": "model_features", "with_source": "linked", "runs": "model_runs", "inputs": "inputs", "findings": "findings", "gaps": "gaps"}
@@ -117,13 +138,28 @@ def model_facts(a: Scored) -> DataFrame:
     return rows.join(a.scores.select("model_urn", "score"), "model_urn", "left")
 
 
-@query(
-    "s8_report_json",
-    """SELECT f.model_urn, to_json(struct_pack(target := f.model_urn, findings := f.l, trust := struct_pack(score := coalesce(b.score, -1), band := coalesce(b.band, 'not scored')), gaps := coalesce(g.l, []), warnings := coalesce(g.w, []),
-        gate := struct_pack(violations := coalesce(v.n, 0), blocked := coalesce(v.n, 0) > 0)))::VARCHAR AS report
-        FROM (SELECT model_urn, list(struct_pack(severity_rank := severity_rank, title := title, resource_urn := resource_urn, finding_type := finding_type, severity := severity) ORDER BY severity_rank, title, resource_urn, finding_type) AS l FROM {findings} GROUP BY ALL) f
-        LEFT JOIN {banded} b ON b.model_urn = f.model_urn LEFT JOIN (SELECT model_urn, count(*) AS n FROM {violations} GROUP BY ALL) v ON v.model_urn = f.model_urn
-        LEFT JOIN (SELECT model_urn, list(struct_pack("check" := "check", reason := reason) ORDER BY "check", reason) AS l, coalesce(list_sort(list(DISTINCT "check" || ': ' || reason) FILTER (WHERE contains(reason, 'cap'))), []) AS w FROM {gaps} GROUP BY ALL) g ON g.model_urn = f.model_urn""",
-)
+REPORTS = """
+SELECT r.target, to_json(struct_pack(target := r.target, kind := r.kind, clean := f.l IS NULL, severity := f.l[1].severity, findings := coalesce(f.l, []),
+    trust := CASE WHEN b.model_urn IS NOT NULL THEN struct_pack(score := b.score, band := b.band, deductions := list_transform(b.d, lambda x: x.name)) END,
+    gaps := coalesce(g.l, []), warnings := coalesce(w.l, []),
+    gate := CASE WHEN r.kind = 'model' THEN struct_pack(blocked := v.l IS NOT NULL, exit_code := (v.l IS NOT NULL)::INT, violations := coalesce(v.l, [])) END))::VARCHAR AS report
+FROM (SELECT model_urn AS target, 'model' AS kind FROM {models} UNION ALL SELECT dataset_urn, 'table' FROM {datasets}) r
+LEFT JOIN (SELECT target, list(struct_pack(severity_rank := severity_rank::INT, title := title, resource_urn := resource_urn, finding_type := finding_type, severity := severity)
+        ORDER BY severity_rank, title, resource_urn, finding_type) AS l
+    FROM (SELECT model_urn AS target, severity_rank, title, resource_urn, finding_type, severity FROM {findings}
+        UNION ALL SELECT resource_urn, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, title, resource_urn, finding_type, severity FROM {radii}) x GROUP BY ALL) f ON f.target = r.target
+LEFT JOIN {banded} b ON b.model_urn = r.target
+LEFT JOIN (SELECT model_urn, list(struct_pack("check" := "check", reason := reason, remedy := remedy) ORDER BY "check", reason) AS l FROM {cures} GROUP BY ALL) g ON g.model_urn = r.target
+LEFT JOIN (SELECT target, list(DISTINCT warning ORDER BY warning) AS l FROM (SELECT model_urn AS target, "check" || ': ' || reason AS warning FROM {gaps} WHERE contains(reason, 'cap')
+        UNION ALL SELECT resource_urn, warning FROM ({radius_warnings}) p WHERE warning IS NOT NULL) x GROUP BY ALL) w ON w.target = r.target
+LEFT JOIN (SELECT model_urn, list(struct_pack(rule := rule, detail := detail) ORDER BY rule, detail) AS l FROM {violations} GROUP BY ALL) v ON v.model_urn = r.target
+"""
+
+
+@query("s8_report_json", REPORTS.replace("({radius_warnings})", f"({RADIUS_WARNINGS})"))
 def report_json(a: Scored) -> DataFrame:
-    return facts.reports(a.findings, a.scores, a.gaps, score.gate_violations(a.findings, a.scores, "high", 40))
+    violations = score.gate_violations(a.findings, a.scores, "high", 40)
+    warnings = radius_warnings(a.radii, a.reached, 20, 3)
+    made = facts.reports(a.t.models, a.t.datasets, a.findings, a.scores, a.gaps, violations, a.radii, warnings)
+    root = f"{shared_dir(a.t.models.sparkSession)}/reports-{uuid.uuid4().hex}"
+    return facts.keep_reports(made, root, "first").select("target", "report")

@@ -69,9 +69,6 @@ query("a8_mttr_by_type", "SELECT k.finding_type, count(l.incident_urn) AS raised
 query("j25_new_incidents", "SELECT DISTINCT resource_urn, incident_type, title FROM {findings} f WHERE NOT EXISTS (SELECT 1 FROM {incidents} i WHERE i.state = 'ACTIVE' AND i.resource_urn = f.resource_urn AND i.type = f.incident_type AND i.title = f.title) AND (resource_urn IN (SELECT dataset_urn FROM {datasets}) OR resource_urn IN (SELECT column_urn FROM {schema_fields}))")(
     lambda a: upkeep.new_incidents(a.findings, a.t.incidents, a.t.datasets, a.t.schema_fields)
 )
-query("j26_resolved_incidents", "SELECT incident_urn, resource_urn, finding_type FROM {ours} o WHERE state = 'ACTIVE' AND finding_type IS NOT NULL AND resource_urn IN (SELECT resource_urn FROM {resources}) AND NOT EXISTS (SELECT 1 FROM {findings} f WHERE f.resource_urn = o.resource_urn AND f.finding_type = o.finding_type AND f.title = o.title)")(
-    lambda a: upkeep.resolved_incidents(a.t.incidents, a.findings, resources(a))
-)
 PARAMS = "list_position(['feature_table', 'dataset', 'dataset_name', 'training_data', 'training_table', 'input_table', 'table'], lower(key))"
 SQL_J27 = f"""SELECT r.model_urn, CASE WHEN i.n = 1 THEN i.d WHEN p.n = 1 THEN p.d WHEN u.n = 1 THEN u.d END AS dataset_urn, CASE WHEN i.n = 1 THEN 'run input' WHEN p.n = 1 THEN 'run parameter' WHEN u.n = 1 THEN 'lineage' WHEN coalesce(i.n, p.n, u.n) IS NOT NULL THEN 'ambiguous' ELSE 'none' END AS route FROM {{refs}} r
     LEFT JOIN (SELECT model_urn, count(DISTINCT dataset_urn) AS n, min(dataset_urn) AS d FROM {{inputs}} GROUP BY ALL) i ON i.model_urn = r.model_urn
@@ -155,12 +152,6 @@ query("a11_target_verdict", "SELECT event_id, CASE WHEN v IS NULL THEN 'not meas
 query("a15_faithfulness", "SELECT doc_id AS id, source AS provider, 2::INT AS checked, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END::INT AS invented, doc_id % 4 <> 0 AS faithful FROM {documents}")(
     lambda a: quality.faithfulness(a.t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("provider"), F.lit("lag 30.0 of 6 h for model_v3").alias("facts"), F.expr("'It is ' || if(doc_id % 4 = 0, '31', '30') || ' hours against 6h in x_2024.'").alias("prose")))
 )
-query("a16_scan_metrics", "SELECT dry_run, count(*) AS scans, sum(findings) AS findings, median(ms) AS median_ms FROM (SELECT event_id % 3 = 0 AS dry_run, event_id % 7 AS findings, (event_id % 1000)::DOUBLE AS ms FROM {events}) x GROUP BY ALL")(
-    lambda a: a.t.events.select(F.expr("'{\"dry_run\":' || (event_id % 3 = 0) || ',\"findings\":' || (event_id % 7) || ',\"detect_ms\":' || (event_id % 1000) || '}'").alias("line")).select(F.from_json("line", "dry_run boolean, findings long, detect_ms double").alias("j")).groupBy("j.dry_run").agg(F.count(F.lit(1)).alias("scans"), F.sum("j.findings").alias("findings"), F.percentile("j.detect_ms", 0.5).alias("median_ms"))
-)
-query("a20_roc_auc", "SELECT sum(CASE WHEN p.n_chars < n.n_chars THEN 1.0 WHEN p.n_chars = n.n_chars THEN 0.5 ELSE 0 END)::DOUBLE / count(*) AS auc FROM (SELECT n_chars FROM {labels} JOIN {documents} USING (doc_id) WHERE quality = 0) p CROSS JOIN (SELECT n_chars FROM {labels} JOIN {documents} USING (doc_id) WHERE quality = 1) n")(
-    lambda a: quality.roc_auc(a.t.labels.join(a.t.documents, "doc_id").select((-F.col("n_chars")).alias("s"), (1 - F.col("quality")).alias("y")), "s", "y").select("auc")
-)
 query("a21_scan_run_record", "SELECT 'r' || (seq % 300) AS run_id, count(DISTINCT CASE split_part(entity_urn, ':', 3) WHEN 'schemaField' THEN regexp_extract(entity_urn, '" + FIELD_RE + "', 1) ELSE entity_urn END) AS inputs, CASE WHEN bool_or(seq % 50 = 7) THEN 'FAILURE' ELSE 'SUCCESS' END AS status, max(seq) - min(seq) AS duration_ms FROM {aspect_log} GROUP BY 1")(
     lambda a: upkeep.scan_runs(a.t.aspect_log.select(F.expr("'r' || (seq % 300)").alias("run_id"), "entity_urn", F.expr("seq % 50 = 7").alias("failed"), F.col("seq").alias("ts_ms")))
 )

@@ -104,6 +104,10 @@ class KeyedState:
         self.files.publish(f"{self.root}/pointers/pointer-{epoch}", json.dumps({"epoch": epoch, "buckets": held["buckets"], "parts": parts}))
         self._tidy()
 
+    def add(self, rows: DataFrame) -> None:
+        """Take in rows as the batch after the last one."""
+        self.merge(rows, self.pointer()["epoch"] + 1)
+
     def _tidy(self) -> None:
         """Readers of the last two pointers keep their parts."""
         numbers = self._numbers()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import urn
 from ..operators.steps import shared_dir
 from ..sources import log
-from .state import KeyedState
+from ..sources.state import KeyedState
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
 

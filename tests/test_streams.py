@@ -6,7 +6,7 @@ import pytest
 
 from tablewarden.sources import log
 from tablewarden.streaming import changes
-from tablewarden.streaming.state import KeyedState
+from tablewarden.sources.state import KeyedState
 
 LOG = "seq long, entity_type string, entity_urn string, aspect_name string, change_type string, aspect_json string"
 
