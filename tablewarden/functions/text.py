@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 #: A run of the characters that figures and identifiers are made of; whether it is a figure is judged as a whole.
 TOKEN = r"[A-Za-z0-9_.,]+"
 FIGURE = r"[0-9][0-9,]*([.][0-9]+)?"
-#: How a text that this library writes names the run that wrote it.
-FOOTER_START, FOOTER_END = "Raised by tablewarden run ", "."
-STRAY = ".,;:!?'\"`"
+#: The last word of a text that this library writes is this key and the run that wrote it.
+RUN_KEY = "tablewarden-run="
+#: A character that can end a URN: a letter, a digit, a closing bracket, or what joins the parts of a name.
+URN_END = r"[\p{L}\p{N})_/-]"
 
 #: How titles of each finding type begin.
 TITLE_PREFIXES = {
@@ -90,17 +91,15 @@ def own_part(word: Column) -> Column:
     """The longest beginning of a word that a sentence could not have ended: no stray mark and no bracket too many at its end."""
     lengths = F.sequence(F.length(word), F.lit(0), F.lit(-1))
     count = lambda u, mark: F.length(u) - F.length(F.replace(u, F.lit(mark), F.lit("")))
-    loose = lambda u: (F.instr(F.lit(STRAY), F.right(u, F.lit(1))) > 0) | (F.endswith(u, F.lit(")")) & (count(u, ")") > count(u, "(")))
+    loose = lambda u: ~F.rlike(F.right(u, F.lit(1)), F.lit(URN_END)) | (F.endswith(u, F.lit(")")) & (count(u, ")") > count(u, "(")))
     return F.get(F.filter(F.transform(lengths, lambda n: F.left(word, n)), lambda u: (u == "") | ~loose(u)), F.lit(0))
 
 
 def run_id(description: Column | str) -> Column:
-    """Run that a text names at its end; null without such a footer, so the incident is not ours."""
-    body = F.rtrim(F.regexp_replace(description, r"\s+$", ""))
-    last = F.substring_index(body, FOOTER_START, -1)
-    word = F.left(last, F.length(last) - len(FOOTER_END))
-    ours = F.contains(body, F.lit(FOOTER_START)) & F.endswith(last, F.lit(FOOTER_END)) & (word != "") & ~word.rlike(r"\s")
-    return F.when(ours, word)
+    """Run that the last word of a text names; null without such a word, so the incident is not ours."""
+    words = F.array_remove(F.split(description, r"\s+"), "")
+    last = F.try_element_at(words, F.lit(-1))
+    return F.when(F.startswith(last, F.lit(RUN_KEY)), F.nullif(F.substring(last, len(RUN_KEY) + 1, 2**31 - 1), F.lit("")))
 
 
 def classify_title(title: Column | str) -> Column:
@@ -111,6 +110,22 @@ def classify_title(title: Column | str) -> Column:
     return out
 
 
+#: What may stand around the name of a mark.
+BLANKS = " \t\n\r\f\x0b"
+
+
 def neutralize(text: Column | str) -> Column:
-    """Untrusted text without evidence marks: angle brackets around that word, opening or closing, in any case."""
-    return F.regexp_replace(text, "(?i)<[\\s/]*evidence\\s*>", "[removed]")
+    """Untrusted text without evidence marks, opening or closing, in any case.
+
+    A mark is what stands between an opening bracket and the next bracket, if that closes and, without blanks and
+    one slash, nothing but the name is left.
+    """
+    parts = F.split(text, "<")
+
+    def judged(part: Column) -> Column:
+        inside = F.lower(F.btrim(F.substring_index(part, ">", 1), F.lit(BLANKS)))
+        name = F.when(F.startswith(inside, F.lit("/")), F.ltrim(F.substring(inside, 2, 2**31 - 1), F.lit(BLANKS))).otherwise(inside)
+        rest = F.substring(part, F.instr(part, F.lit(">")) + 1, F.lit(2**31 - 1))
+        return F.when(F.contains(part, F.lit(">")) & (name == "evidence"), F.concat(F.lit("[removed]"), rest)).otherwise(F.concat(F.lit("<"), part))
+
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(judged(p))), "")

@@ -75,10 +75,10 @@ TABLES = {
     "incidents": f"""SELECT 'urn:li:incident:i' || o_orderkey AS incident_urn, {_ds('o_orderkey * 3 % n + 1')} AS resource_urn,
         CASE o_orderkey % 4 WHEN 0 THEN 'FRESHNESS' WHEN 1 THEN 'DATA_SCHEMA' WHEN 2 THEN 'OPERATIONAL' ELSE 'FIELD' END AS type,
         CASE o_orderkey % 4 WHEN 0 THEN 'Stale upstream data in wh.l' || ((o_orderkey * 3 % n + 1) % 4) || '.t' || (o_orderkey * 3 % n + 1) WHEN 1 THEN 'Training-serving schema drift in x for y' WHEN 2 THEN 'Deprecated training input a for b' ELSE 'Something else' END AS title,
-        CASE WHEN o_orderkey % 5 = 0 THEN 'written by hand' ELSE 'seen. Raised by tablewarden run r' || (o_orderkey % 9) || '.' END AS description,
+        CASE WHEN o_orderkey % 5 = 0 THEN 'written by hand' ELSE 'seen. tablewarden-run=r' || (o_orderkey % 9) END AS description,
         CASE WHEN o_orderstatus = 'F' THEN 'RESOLVED' ELSE 'ACTIVE' END AS state, {NOW_MS} - (o_orderkey % 90) * {HOUR} AS created_ms, {NOW_MS} - (o_orderkey % 60) * {HOUR} AS updated_ms FROM {{orders}} CROSS JOIN {{size_of}}""",
     "leak_incidents": f"""SELECT 'urn:li:incident:l' || o_orderkey AS incident_urn, CASE WHEN o_orderkey % 3 = 0 THEN replace(source_column_urn, ',PROD),', ',PROD),gone_') ELSE source_column_urn END AS resource_urn, 'FIELD' AS type,
-        CASE WHEN o_orderkey % 2 = 0 THEN 'Target leakage: ' ELSE 'Sensitive source: ' END || 'x derives from y' AS title, 'seen. Raised by tablewarden run r1.' AS description, CASE WHEN o_orderkey % 7 = 0 THEN 'RESOLVED' ELSE 'ACTIVE' END AS state,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'Target leakage: ' ELSE 'Sensitive source: ' END || 'x derives from y' AS title, 'seen. tablewarden-run=r1' AS description, CASE WHEN o_orderkey % 7 = 0 THEN 'RESOLVED' ELSE 'ACTIVE' END AS state,
         o_orderkey, o_custkey FROM {{features}} WHERE source_column_urn LIKE '%,PROD),%'""",
     "recorded_leaks": f"SELECT DISTINCT model_urn, l.resource_urn, l.o_orderkey FROM {{models}} m JOIN {{leak_incidents}} l ON l.o_custkey = m.c_custkey WHERE l.o_orderkey % 5 <> 0",
     "assertion_runs": f"SELECT 'urn:li:assertion:a' || (event_id % 400) AS assertion_urn, {_ds('(event_id % 400) * 5 % n + 1')} AS assertee_urn, 'r' || event_id AS run_id, event_id * 1000 AS ts_ms, CASE WHEN event_id % 7 < 3 THEN 'FAILURE' ELSE 'SUCCESS' END AS result_type, event_id % 50 / 4.0 AS lag_hours FROM {{events}} CROSS JOIN {{size_of}}",

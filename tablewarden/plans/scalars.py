@@ -141,7 +141,7 @@ def _(t):
     return plain.select("doc_id", F.size(text.numbers_in("text")).alias("n_numbers"), F.array_join(text.urns_in(prose), " ").alias("urns"))
 
 
-@query("p18_run_footer", r"SELECT incident_urn, nullif(regexp_extract(description, 'Raised by tablewarden run (\S+?)\.\s*$', 1), '') AS run_id FROM {incidents}")
+@query("p18_run_footer", r"SELECT incident_urn, nullif(regexp_extract(description, '(?:^|\s)tablewarden-run=(\S+)\s*$', 1), '') AS run_id FROM {incidents}")
 def _(t):
     return t.incidents.select("incident_urn", text.run_id("description").alias("run_id"))
 
@@ -169,9 +169,9 @@ def _(t):
     return t.models.select("c_custkey", parse_trust_entry(raw).alias("e")).select("c_custkey", "e.score", "e.run_id", "e.version")
 
 
-@query("p23_neutralize_text", "SELECT doc_id, md5(text || '[removed] b') AS neutral FROM {documents}")
+@query("p23_neutralize_text", "SELECT doc_id, md5(replace(text, '.', '[removed]') || '[removed] b<evidences>') AS neutral FROM {documents}")
 def _(t):
-    return t.documents.select("doc_id", F.md5(text.neutralize(F.concat("text", F.lit("< / EVIDENCE > b")))).alias("neutral"))
+    return t.documents.select("doc_id", F.md5(text.neutralize(F.concat(F.replace("text", F.lit("."), F.lit("<Evidence\n>")), F.lit("< / EVIDENCE > b<evidences>")))).alias("neutral"))
 
 
 @query("p24_feature_source_filter", f"SELECT feature_urn FROM {{features}} WHERE nullif(regexp_extract(source_column_urn, '{FIELD_RE}', 1), '') IS NOT NULL")

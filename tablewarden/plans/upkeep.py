@@ -21,7 +21,7 @@ EXTRA = {
     "recursive_dsup": "SELECT root, node, 0 AS hops FROM {ds_starts} UNION SELECT w.root, e.dst, w.hops + 1 FROM {recursive_dsup} w JOIN {ds_up} e ON e.src = w.node WHERE w.hops < 3",
     "feeding": "SELECT DISTINCT i.model_urn, u.node AS dataset_urn FROM {inputs} i JOIN {recursive_dsup} u ON u.root = i.dataset_urn",
     "resources": "SELECT model_urn, dataset_urn AS resource_urn FROM {feeding} UNION SELECT model_urn, dataset_urn FROM {drift_base} UNION SELECT model_urn, source FROM {linked}",
-    "ours": "SELECT *, regexp_extract(description, 'Raised by tablewarden run (\\S+?)\\.\\s*$', 1) AS run_id, CASE WHEN title LIKE 'Stale upstream data in %' THEN 'upstream_freshness' WHEN title LIKE 'Training-serving schema drift in %' THEN 'input_schema_drift' WHEN title LIKE 'Deprecated training input %' THEN 'deprecated_input' END AS finding_type FROM {incidents}",
+    "ours": "SELECT *, regexp_extract(description, '(?:^|\\s)tablewarden-run=(\\S+)\\s*$', 1) AS run_id, CASE WHEN title LIKE 'Stale upstream data in %' THEN 'upstream_freshness' WHEN title LIKE 'Training-serving schema drift in %' THEN 'input_schema_drift' WHEN title LIKE 'Deprecated training input %' THEN 'deprecated_input' END AS finding_type FROM {incidents}",
     "lives": "SELECT incident_urn, finding_type, created_ms, CASE WHEN state = 'RESOLVED' THEN updated_ms END AS resolved_ms, run_id FROM {ours} WHERE run_id <> '' AND finding_type IS NOT NULL AND resource_urn IN (SELECT resource_urn FROM {resources})",
     "polls": "SELECT user_id AS target, event_id AS seq, CASE WHEN event_id % 5 < 3 THEN 'a' WHEN event_id % 7 = 0 THEN NULL ELSE 'b' END AS sig FROM {events}",
     "entries": "SELECT 'm' || user_id AS model_urn, event_id AS recorded_at, 'r' || (event_id % 400) AS run_id, (event_id % 101)::INT AS score, CASE WHEN event_id % 50 < 25 THEN 'v1' ELSE 'v2' END AS version FROM {events}",

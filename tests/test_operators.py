@@ -61,6 +61,18 @@ def test_text_helpers(spark):
     assert [r["p"] for r in bad] == [None, None]
 
 
+def test_marks_of_evidence_are_taken_out(spark):
+    cases = {"a<evidence>b": "a[removed]b", "</Evidence >": "[removed]", "< /\t\nEVIDENCE>": "[removed]", "<<evidence>>": "<[removed]>", "<evidence": "<evidence", "<//evidence>": "<//evidence>", "<ev idence>": "<ev idence>", "x > y < z": "x > y < z", "": "", "<evidence></evidence>": "[removed][removed]", "<evidence/>": "<evidence/>"}
+    rows = spark.createDataFrame([*cases.items(), (None, None)], "t string, want string")
+    assert [r for r in rows.select("want", text.neutralize("t").alias("got")).collect() if r["want"] != r["got"]] == []
+
+
+def test_runs_are_named_by_the_last_word(spark):
+    cases = {"seen. tablewarden-run=r1": "r1", "tablewarden-run=a.b \n": "a.b", "tablewarden-run=": None, "tablewarden-run=r1 later": None, "xtablewarden-run=r1": None, "": None}
+    rows = spark.createDataFrame([*cases.items(), (None, None)], "t string, want string")
+    assert [r for r in rows.select("want", text.run_id("t").alias("got")).collect() if r["want"] != r["got"]] == []
+
+
 def test_rates_are_null_when_not_measured(spark):
     pairs = spark.createDataFrame([("g", False, False)], "g string, expected boolean, observed boolean")
     row = quality.confusion(pairs, "g").first()
