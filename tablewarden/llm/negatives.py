@@ -30,11 +30,10 @@ def matrix(values, dim: int) -> np.ndarray:
     return np.floor(256.0 * values.to_numpy(zero_copy_only=False)).reshape(-1, dim)
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products in whole numbers; an error when one needs over 64 bits."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 2.0**53:
-        return (a @ b.T).astype(np.int64)
+def products(a: np.ndarray, b: np.ndarray, small: bool) -> np.ndarray:
+    """Inner products in whole numbers, as doubles where all are small enough; an error when one needs over 64 bits."""
+    if small:
+        return a @ b.T
     whole = np.vectorize(int, otypes=[object])
     return (whole(a) @ whole(b).T).astype(np.int64)
 
@@ -124,19 +123,29 @@ class Windows:
 
     def __init__(self, anchors: dict, own: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> None:
         self.anchors, self.own, self.low, self.high, self.k = anchors, own, low.copy(), high, k
-        self.window, self.score, self.ids = (np.zeros(0, np.int64) for _ in range(3))
+        self.n = np.zeros(len(own), np.int64)
+        self.score, self.ids = np.zeros((len(own), k), np.int64), np.zeros((len(own), k), np.int64)
 
     def add(self, window: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         """Merge candidates; a full window's lower end rises to its last score, which ties may still share."""
-        window, score, ids = (np.concatenate(x) for x in ((self.window, window), (self.score, score), (self.ids, ids)))
+        hit = np.unique(window)
+        held = np.arange(self.k) < self.n[hit, None]
+        window = np.concatenate([np.broadcast_to(hit[:, None], held.shape)[held], window])
+        score, ids = np.concatenate([self.score[hit][held], score]), np.concatenate([self.ids[hit][held], ids])
         order = np.lexsort((ids, -score, window))
         window, score, ids = window[order], score[order], ids[order]
-        first = np.searchsorted(window, window)
-        rank = np.arange(len(window)) - first
+        rank = np.arange(len(window)) - np.searchsorted(window, window)
         keep = rank < self.k
-        last = rank == self.k - 1
-        self.low[window[last]] = score[last]
-        self.window, self.score, self.ids = window[keep], score[keep], ids[keep]
+        window, rank, score, ids = window[keep], rank[keep], score[keep], ids[keep]
+        self.score[window, rank], self.ids[window, rank] = score, ids
+        self.n[hit] = np.bincount(np.searchsorted(hit, window), minlength=len(hit))
+        full = hit[self.n[hit] == self.k]
+        self.low[full] = self.score[full, -1]
+
+    def best(self) -> list[np.ndarray]:
+        """Window, id and score of all that was kept."""
+        held = np.arange(self.k) < self.n[:, None]
+        return [np.nonzero(held)[0], self.ids[held], self.score[held]]
 
     def visit(self, tree: dict, among: np.ndarray) -> None:
         """Search a tree for the windows `among`."""
@@ -170,20 +179,27 @@ class Windows:
                 bound(rows, children[k], k)
         leaves = np.flatnonzero(tree["leaf"])
         best_first = leaves[np.argsort(-upper[:, leaves], axis=1, kind="stable")]
-        for r in range(len(leaves)):
-            node = best_first[at, r]
-            live = np.flatnonzero(wanted(node))
-            if not len(live):
-                if not (upper[at, node] >= self.low[among]).any():
-                    break
-                continue
-            for leaf in np.unique(node[live]):
-                ws = live[node[live] == leaf]
-                part = slice(starts[leaf], stops[leaf])
+        small = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1]) < 2.0**53
+        done, step = 0, 1
+        while done < len(leaves):  # best-first, in steps that double
+            next_leaves = best_first[at, done : done + step]
+            live = (np.take_along_axis(upper[at], next_leaves, 1) >= self.low[among, None]) & (np.take_along_axis(lower[at], next_leaves, 1) <= self.high[among, None])
+            if not live.any() and not (upper[at, next_leaves[:, 0]] >= self.low[among]).any():
+                break
+            done, step, found = done + step, 2 * step, []
+            which, slot = np.nonzero(live)
+            node = next_leaves[which, slot]
+            for leaf in np.unique(node):
+                ws, part = which[node == leaf], slice(starts[leaf], stops[leaf])
                 rows, back = np.unique(at[ws], return_inverse=True)
-                scores = products(q[rows], x[part])[back]
-                w, j = np.nonzero((scores >= self.low[among[ws], None]) & (scores <= self.high[among[ws], None]) & (tree["ids"][part][None, :] != self.anchors["ids"][self.own[among[ws]], None]))
-                self.add(among[ws[w]], scores[w, j], tree["ids"][part][j])
+                scores = products(q[rows], x[part], small)[back]
+                w, j = np.nonzero((scores >= self.low[among[ws], None]) & (scores <= self.high[among[ws], None]))
+                found.append((among[ws[w]], scores[w, j].astype(np.int64), tree["ids"][part][j]))
+            if not found:
+                continue
+            window, score, ids = (np.concatenate(f) for f in zip(*found))
+            other = ids != self.anchors["ids"][self.own[window]]
+            self.add(window[other], score[other], ids[other])
 
 
 def searched(index: DataFrame, anchors: dict, own, low, high, k: int, same: bool) -> DataFrame:
@@ -204,7 +220,7 @@ def searched(index: DataFrame, anchors: dict, own, low, high, k: int, same: bool
                 cut = {**anchors, "x": anchors["x"][:, :dim]}
                 state.anchors = cut
                 state.visit(tree, among)
-        yield pa.RecordBatch.from_arrays([pa.array(state.window), pa.array(state.ids), pa.array(state.score)], ["win", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in state.best()], ["win", "vec_id", "score"])
 
     found = index.mapInArrow(search, "win long, vec_id long, score long")
     by = Window.partitionBy("win").orderBy(F.col("score").desc(), "vec_id")
