@@ -168,10 +168,13 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, t
     # one code for two words makes lines look more alike, so only pairs that pass need a second look
     hashes_of = lambda side: codes.select(F.col("lid").alias(side), F.col("h").alias(f"h{side}"))
     both = close.join(hashes_of("a"), "a").join(hashes_of("b"), "b")
-    every = F.array_distinct(F.concat("ha", "hb"))
-    shared = F.size(F.array_distinct(F.transform(every, lambda h: F.pmod(h, F.lit(1_000_000))))) < F.size(every)
-    numbered = lambda h: coded(F.col(h), lambda x: F.array_position(every, x).cast("long"))
-    exact = F.when(shared, F.levenshtein(numbered("ha"), numbered("hb"))).otherwise(0)
+    by_code = F.array_sort(F.transform(F.array_distinct(F.concat("ha", "hb")), lambda h: F.struct(F.pmod(h, F.lit(1_000_000)).alias("code"), h.alias("h"))))
+    # within one array of one element, so that neither the sorted words nor those that share a code are made once a word
+    clashing = F.transform(F.array(by_code), lambda e: F.transform(F.filter(e, lambda x, i: F.coalesce(F.get(e, i - 1)["code"] == x["code"], F.lit(False)) | F.coalesce(F.get(e, i + 1)["code"] == x["code"], F.lit(False))), lambda x: x["h"]))
+    both = both.select("a", "b", "most", "ha", "hb", F.get(clashing, F.lit(0)).alias("clash"))
+    own = lambda h, clash: F.coalesce(F.nullif(F.array_position(clash, h), F.lit(0)) + 1_000_000, F.pmod(h, F.lit(1_000_000)))
+    numbered = lambda h: F.get(F.transform(F.array("clash"), lambda clash: coded(F.col(h), lambda x: own(x, clash))), F.lit(0))
+    exact = F.when(F.size("clash") > 0, F.levenshtein(numbered("ha"), numbered("hb"))).otherwise(0)
     good = save(both.where(exact <= F.col("most")).select("a", "b"), "verified")
     discard(places, codes, close)
     return good
