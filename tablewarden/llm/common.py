@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +37,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_at = path
+    for made in _running:
+        made.append(out)
     return out
 
 
@@ -49,6 +51,33 @@ def discard(*tables: DataFrame | None) -> None:
             where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+#: Lists of the tables that the stages that run now have saved, and those that an ended stage left for the reader of its result.
+_running: list[list[DataFrame]] = []
+_left: list[DataFrame] = []
+
+
+def stage_of(f):
+    """A stage of a pipeline, whose result is written before the next stage begins.
+
+    What a stage saves for itself is read until its result is written, so it is deleted when the next stage of the
+    application begins; what that one's own docs read stays.
+    """
+
+    @wraps(f)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _left:
+            read = "\n".join(docs.inputFiles())
+            discard(*[t for t in _left if t.saved_at.rpartition("/")[2] not in read])
+            _left.clear()
+        _running.append([])
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _left.extend(_running.pop())
+
+    return stage
+
+
 def quoted(column: str) -> str:
     """A column's name as one name, whatever characters it has."""
     return "`" + column.replace("`", "``") + "`"

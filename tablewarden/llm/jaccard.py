@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, save
+from .common import components, save, stage_of
 from .suffixes import Rolling
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
@@ -252,6 +252,7 @@ def op8(spark, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+@stage_of
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one of least (doc_id, text hash); documents without words all stay."""
     linked = link(docs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, packed, quoted, save, unpacked
+from .common import components, discard, packed, quoted, save, stage_of, unpacked
 
 #: Edit similarity in words from which on two lines are linked; 0.75 at least.
 SIMILARITY = 0.8
@@ -242,6 +242,7 @@ def op6(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@stage_of
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; n_chars follows the text. Documents that lose all their words go."""
     found = dedup_lines(docs).where(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"[\p{L}\p{N}]"))).select(*[quoted(c) for c in docs.columns])

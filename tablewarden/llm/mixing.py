@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, save, two_level_rank, unpacked
+from .common import packed, save, stage_of, two_level_rank, unpacked
 
 #: Slots of a frame: target weights are whole numbers of blocks out of so many.
 FRAME = 240
@@ -133,6 +133,7 @@ def op3(spark, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "source", "mix_block", "mix_slot", "mix_row")
 
 
+@stage_of
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of the mix: files hold ranges of slots, rows lie in order.
 

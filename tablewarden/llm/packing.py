@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, two_level_rank
+from .common import save, stage_of, two_level_rank
 
 MAX_LENGTH, BUCKETS, BUDGET = 2048, 16, 65_536
 
@@ -75,6 +75,7 @@ def op4(spark, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@stage_of
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Batches filled along the files and rows of docs, which lie in the order of the mix, so that they follow its weights."""
     rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))

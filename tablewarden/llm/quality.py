@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import packed, save, stage_of, unpacked
 
 _GAP, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
@@ -87,8 +87,8 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return chosen.withColumn("b", best).select("lang_key", "source_key", *[F.col(f"b.{n}").alias(n) for n in names])
 
 
-def judge(measured: DataFrame) -> DataFrame:
-    """Add base_failed and kept to a saved table of measures with lang_key and source_key.
+def judge(measured: DataFrame, over: DataFrame | None = None) -> DataFrame:
+    """Add base_failed and kept to a saved table of measures with lang_key and source_key, or to `over`, which has the same.
 
     A document goes when the base rules fail it or a rate lies beyond its group's cutoff. Groups of which the base
     rules fail all documents have no cutoffs. The thresholds are broadcast only after a count shows that they are
@@ -96,7 +96,7 @@ def judge(measured: DataFrame) -> DataFrame:
     """
     table = save(thresholds(sketches(measured)), "thresholds")
     few = table.count() <= BROADCAST_ROWS
-    joined = measured.join(F.broadcast(table) if few else table, ["lang_key", "source_key"], "left")
+    joined = (measured if over is None else over).join(F.broadcast(table) if few else table, ["lang_key", "source_key"], "left")
     beyond = [F.coalesce(F.col(m) > F.col(f"{m}_{side}") if side == "upper" else F.col(m) < F.col(f"{m}_{side}"), F.lit(False)) for m, side, *_ in RULES]
     bad = beyond[0]
     for b in beyond[1:]:
@@ -119,11 +119,13 @@ def op7(spark, sf_dir: str) -> DataFrame:
     return judge(measured).select("doc_id", *BASE_COLUMNS, "base_failed", "kept")
 
 
+@stage_of
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    body = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text"), F.col("lang").alias("lang"), F.col("source").alias("source"))
-    measured = save(with_keys(measures(body)).drop("text", "lang", "source"), "measures")
-    return judge(measured).where("kept").select("doc.*")
+    body = docs.select(packed(docs).alias("doc"), "text", "lang", "source")
+    found = with_keys(measures(body)).drop("text", "lang", "source")
+    # no text is saved: texts are measured again where they are judged
+    return judge(save(found.drop("doc"), "measures"), found).where("kept").select(*unpacked(docs, "doc"))
 
 
 _METRICS = sorted({m for m, *_ in RULES})
