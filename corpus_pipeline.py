@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewarden.llm import jaccard, lines, mixing, packing, quality
-from tablewarden.llm.common import save
+from tablewarden.llm.common import discard, save
 
 STAGES = [
     ("quality rules", quality.stage),
@@ -19,8 +19,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written and read again for the next."""
+    """All stages over documents; what each returns is written and read again for the next, which takes its place."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), "stage")
+        before, docs = docs, save(stage(spark, docs, sf_dir), "stage")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
