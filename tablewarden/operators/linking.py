@@ -11,29 +11,98 @@ from ..functions import text, urn
 PARAMETER_KEYS = ["feature_table", "dataset", "dataset_name", "training_data", "training_table", "input_table", "table"]
 
 
-def infer_feature_table(refs: DataFrame, model_runs: DataFrame, run_inputs: DataFrame, run_properties: DataFrame, upstream: DataFrame, datasets: DataFrame) -> DataFrame:
-    """(model_urn, dataset_urn, route): the single run input, else the table that a run parameter names, else the single
-    table upstream of the model; several of one kind are ambiguous and none is chosen."""
-    one = lambda df, name: df.groupBy("model_urn").agg(F.count_distinct("dataset_urn").alias(f"{name}_n"), F.min("dataset_urn").alias(name))
-    inputs = one(model_runs.select("model_urn", "run_urn").join(run_inputs.select("run_urn", "dataset_urn"), "run_urn"), "input")
+def named_by_parameters(model_runs: DataFrame, run_properties: DataFrame, datasets: DataFrame) -> DataFrame:
+    """(model_urn, key, dataset_urn): tables that a run parameter names, by the first key of PARAMETER_KEYS that names any.
+
+    Of several runs the first that has a parameter counts, keys in lower case. The last part of a value between slashes
+    must be a table's name or the last dotted part of it.
+    """
     rank = F.array_position(F.array(*[F.lit(k) for k in PARAMETER_KEYS]), F.lower("key"))
-    named = model_runs.select("model_urn", "run_urn", "pos").join(run_properties, "run_urn").where("value is not null").withColumn("rank", rank).where("rank > 0")
-    named = named.withColumn("asked", F.element_at(F.split("value", "/"), -1))
+    said = model_runs.select("model_urn", "run_urn", "pos").join(run_properties, "run_urn").withColumn("rank", rank).where("rank > 0 and value is not null")
+    first = said.groupBy("model_urn", "rank").agg(F.min_by("value", F.struct("pos", "run_urn", "key", "value")).alias("value"))
+    first = first.withColumn("asked", F.element_at(F.split(F.trim(F.trim("value"), F.lit("/")), "/"), -1)).where("asked <> ''")
     endings = datasets.select("dataset_urn", F.explode(F.array_distinct(F.array("name", F.element_at(F.split("name", r"\."), -1)))).alias("asked"))
-    hit = named.join(endings, "asked").withColumn("best", F.min(F.struct("pos", "rank")).over(Window.partitionBy("model_urn"))).where(F.struct("pos", "rank") == F.col("best"))
-    params, above = one(hit, "param"), one(upstream.select("model_urn", "dataset_urn"), "above")
-    rows = refs.select("model_urn").join(inputs, "model_urn", "left").join(params, "model_urn", "left").join(above, "model_urn", "left")
-    route = F.when(F.col("input_n") == 1, "run input").when(F.col("param_n") == 1, "run parameter").when(F.col("above_n") == 1, "lineage").when(F.coalesce("input_n", "param_n", "above_n").isNotNull(), "ambiguous").otherwise("none")
-    return rows.select("model_urn", F.when(route == "run input", F.col("input")).when(route == "run parameter", F.col("param")).when(route == "lineage", F.col("above")).alias("dataset_urn"), route.alias("route"))
-
-
-def shortlist(refs: DataFrame, datasets: DataFrame, keep: int = 5) -> DataFrame:
-    """First `keep` datasets by URN that share a name word with a model."""
+    hit = first.join(endings, "asked")
+    best = hit.groupBy("model_urn").agg(F.min("rank").alias("rank"))
+    key = F.element_at(F.array(*[F.lit(k) for k in PARAMETER_KEYS]), F.col("rank").cast("int"))
+    return hit.join(best, ["model_urn", "rank"]).select("model_urn", key.alias("key"), "dataset_urn").distinct()
+
+
+#: Candidates that a model with no table gets.
+SHORTLIST = 5
+
+
+def infer_feature_table(refs: DataFrame, model_runs: DataFrame, run_inputs: DataFrame, run_properties: DataFrame, model_lineage: DataFrame, datasets: DataFrame) -> DataFrame:
+    """(model_urn, dataset_urn, route, key, candidates): where each model's features come from, and how that was decided.
+
+    The single input of its runs, else the single table that a run parameter names (key), else the single table that
+    lineage declares upstream of the model (model_lineage: model_urn, dataset_urn). A kind with several tables chooses
+    none: if no other kind has one table, the first kind's tables are candidates of the route `ambiguous`. With no table
+    at all the route is `none`, and candidates are the first SHORTLIST tables that share a name word with the model.
+    """
+    every = lambda df, name: df.groupBy("model_urn").agg(F.array_sort(F.collect_set("dataset_urn")).alias(name))
+    inputs = every(model_runs.select("model_urn", "run_urn").join(run_inputs.select("run_urn", "dataset_urn"), "run_urn"), "inputs")
+    said = named_by_parameters(model_runs, run_properties, datasets)
+    named = said.groupBy("model_urn").agg(F.array_sort(F.collect_set("dataset_urn")).alias("named"), F.first("key").alias("said"))
+    above = every(model_lineage, "above")
+    rows = refs.select("model_urn", "name").join(inputs, "model_urn", "left").join(named, "model_urn", "left").join(above, "model_urn", "left")
+    kinds = ["inputs", "named", "above"]
+    single = [F.when(F.size(k) == 1, k) for k in kinds]
+    known = F.coalesce(*[F.col(k) for k in kinds])
+    route = F.coalesce(*[F.when(s.isNotNull(), name) for s, name in zip(single, ["run input", "run parameter", "lineage"])], F.when(known.isNotNull(), "ambiguous"), F.lit("none"))
+    rows = rows.withColumn("route", route)
+    table = F.when(route == "run input", F.get("inputs", F.lit(0))).when(route == "run parameter", F.get("named", F.lit(0))).when(route == "lineage", F.get("above", F.lit(0)))
+    listed = shortlist(rows.where("route = 'none'").select("model_urn", "name"), datasets, SHORTLIST).groupBy("model_urn").agg(F.array_sort(F.collect_list("dataset_urn")).alias("listed"))
+    rows = rows.join(listed, "model_urn", "left")
+    none = F.array().cast("array<string>")
+    candidates = F.when(F.col("route") == "ambiguous", known).when(F.col("route") == "none", F.coalesce("listed", none)).otherwise(none)
+    return rows.select("model_urn", table.alias("dataset_urn"), "route", F.when(F.col("route") == "run parameter", F.col("said")).alias("key"), candidates.alias("candidates"))
+
+
+def shortlist(refs: DataFrame, datasets: DataFrame, keep: int = SHORTLIST) -> DataFrame:
+    """(model_urn, dataset_urn, place): the first `keep` datasets by URN that share a name word with a model.
+
+    They are among the first `keep` of each word, so only those are joined, however many datasets have a word.
+    """
     words = lambda df, name: df.withColumn("word", F.explode(text.name_tokens(name)))
-    shared = words(refs.select("model_urn", "name"), "name").join(words(datasets.select("dataset_urn", F.col("name").alias("table")), "table"), "word").select("model_urn", "dataset_urn").distinct()
+    held = words(datasets.select("dataset_urn", F.col("name").alias("table")), "table").select("word", "dataset_urn").distinct()
+    held = held.withColumn("nth", F.row_number().over(Window.partitionBy("word").orderBy("dataset_urn"))).where(F.col("nth") <= keep)
+    shared = words(refs.select("model_urn", "name"), "name").join(held, "word").select("model_urn", "dataset_urn").distinct()
     return shared.withColumn("place", F.row_number().over(Window.partitionBy("model_urn").orderBy("dataset_urn"))).where(F.col("place") <= keep)
 
 
+#: What a proposal says of its table, by the route.
+TABLE_REASONS = {
+    "run input": "the only input of the model's runs",
+    "run parameter": "named by a run parameter, which is a habit and no declaration: ",
+    "lineage": "the only table that lineage has upstream of the model",
+    "ambiguous": "several tables, choose one of the candidates",
+    "none": "runs, parameters and lineage tell of no table",
+}
+
+
+def propose_links(found: DataFrame, labels: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(model_urn, dataset_urn, label_column_urn, excluded, reasons, candidates, complete): a whole proposal for each model.
+
+    found: infer_feature_table(); labels: infer_label_column(); excluded: infer_excluded(). One reason for each decision, in
+    the order table, label, exclusions. Without a table nothing else is inferred, and only then are there candidates. A
+    proposal is complete when table and label are known.
+    """
+    out = excluded.groupBy("dataset_urn").agg(F.array_sort(F.collect_set("column_urn")).alias("excluded"))
+    rows = found.join(labels.select("dataset_urn", F.col("column_urn").alias("label_column_urn"), F.col("reason").alias("why")), "dataset_urn", "left").join(out, "dataset_urn", "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("excluded", F.coalesce("excluded", none))
+    said = F.lit(None).cast("string")
+    for route, words in TABLE_REASONS.items():
+        said = F.when(F.col("route") == route, F.concat(F.lit(words), F.coalesce("key", F.lit("")))).otherwise(said)
+    known = F.col("dataset_urn").isNotNull()
+    label = F.when(~known, "not inferred without a table").otherwise(F.coalesce("why", F.lit("no column is marked, derives from a label or has its name")))
+    n = F.size("excluded")
+    keys = F.when(~known, "not inferred without a table").when(n == 0, "no declared key").otherwise(F.concat(n.cast("string"), F.lit(" declared keys and labels")))
+    reasons = F.array(F.concat(F.lit("table: "), said), F.concat(F.lit("label: "), label), F.concat(F.lit("excluded: "), keys))
+    return rows.select("model_urn", "dataset_urn", "label_column_urn", "excluded", reasons.alias("reasons"), "candidates", (known & F.col("label_column_urn").isNotNull()).alias("complete"))
+
+
 def infer_label_column(columns: DataFrame, marks: DataFrame, ancestors: DataFrame, names: list[str]) -> DataFrame:
     """(dataset_urn, column_urn, reason): a column with the label mark, else one with a marked ancestor, else one of the given names."""
     rows = columns.select("dataset_urn", "column_urn", "field_path", "ordinal").join(marks.select("column_urn", F.lit(1).alias("m")), "column_urn", "left").join(ancestors.select(F.col("root").alias("column_urn"), F.lit(1).alias("a")).distinct(), "column_urn", "left")

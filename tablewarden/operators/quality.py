@@ -76,12 +76,36 @@ def merge_metrics(parts: DataFrame, *by: str, bounds: list[int] = BOUNDS_MS) ->
     return parts.groupBy(*by).agg(F.sum("scans").alias("scans"), F.sum("findings").alias("findings"), F.sum("sum_ms").alias("sum_ms"), F.min("least_ms").alias("least_ms"), F.max("most_ms").alias("most_ms"), buckets.alias("buckets"))
 
 
-def faithfulness(narratives: DataFrame) -> DataFrame:
-    """Per narrative (id, provider, facts, prose): figures that the facts don't hold, how many were checked, and whether it is faithful."""
-    from ..functions.text import numbers_in
+def faithfulness(narratives: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """(id, provider, numbers_checked, urns_checked, violations, faithful) of narratives (id, provider, facts, prose).
 
-    rows = narratives.withColumn("said", numbers_in("prose")).withColumn("extra", F.array_except("said", numbers_in("facts")))
-    return rows.select("id", "provider", F.size("said").alias("checked"), F.size("extra").alias("invented"), (F.size("extra") == 0).alias("faithful"))
+    A figure of the prose that the facts don't hold is a violation, and so is a URN that no entity (urn) has. Without
+    entities no URN is checked, and the count says so. violations: (kind, token), figures first, each token once.
+    """
+    from ..functions.text import numbers_in, urns_in
+
+    urns = urns_in("prose") if entities is not None else F.array().cast("array<string>")
+    rows = narratives.select("id", "provider", numbers_in("prose").alias("said"), numbers_in("facts").alias("held"), urns.alias("urns"))
+    invented = F.array_sort(F.array_except("said", "held"))
+    figure = lambda x: F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+    told = rows.withColumn("figures", F.transform(invented, lambda x: F.struct(F.lit("number").alias("kind"), figure(x).alias("token"))))
+    if entities is None:
+        told = told.withColumn("lost", F.array().cast("array<struct<kind:string,token:string>>"))
+    else:
+        asked = rows.select("id", F.explode(F.array_distinct("urns")).alias("urn"))
+        gone = asked.join(entities.select("urn").distinct(), "urn", "left_anti").groupBy("id").agg(F.array_sort(F.collect_set(F.struct(F.lit("urn").alias("kind"), F.col("urn").alias("token")))).alias("lost"))
+        told = told.join(gone, "id", "left").withColumn("lost", F.coalesce("lost", F.array().cast("array<struct<kind:string,token:string>>")))
+    told = told.withColumn("violations", F.concat("figures", "lost"))
+    return told.select("id", "provider", F.size("said").alias("numbers_checked"), F.size("urns").alias("urns_checked"), "violations", (F.size("violations") == 0).alias("faithful"))
+
+
+def faithfulness_rates(checks: DataFrame) -> DataFrame:
+    """(provider, narratives, numbers_checked, urns_checked, violations, rate): a row for each provider and one, `all`, for all.
+
+    The rate is the share of faithful narratives; where none was checked it is null and not one.
+    """
+    over = [F.count("faithful").alias("narratives"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("numbers_checked", "urns_checked")], F.coalesce(F.sum(F.size("violations")), F.lit(0)).alias("violations"), F.try_divide(F.count_if("faithful"), F.count("faithful")).alias("rate")]
+    return checks.groupBy("provider").agg(*over).unionByName(checks.agg(*over).withColumn("provider", F.lit("all")))
 
 
 def trial_summary(trials: DataFrame) -> DataFrame:

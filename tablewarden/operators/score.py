@@ -77,6 +77,13 @@ def gate_violations(findings: DataFrame, scores: DataFrame, worst: str | None, l
     return empty
 
 
+def policy_caution(worst: str | None, least_score: int | None) -> str | None:
+    """What to say of a policy that blocks by score alone: its points are weights that nobody measured, a severity is what a check found."""
+    if least_score is None or worst is not None:
+        return None
+    return "blocks by trust score alone: a sum of chosen weights without a unit; set a severity to block on what a check decided"
+
+
 def gate_verdict(models: DataFrame, violations: DataFrame, findings: DataFrame, enforced: bool = True) -> DataFrame:
     """A verdict for every model: blocked, exit code, violations and findings seen."""
     v = violations.groupBy("model_urn").agg(F.count(F.lit(1)).alias("violations"))

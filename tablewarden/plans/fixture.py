@@ -57,6 +57,7 @@ TABLES = {
     "model_runs": f"SELECT {_MODEL} AS model_urn, {_RUN} AS run_urn, r AS pos, c_custkey FROM {{customer}} CROSS JOIN (VALUES (0), (1)) AS v(r) WHERE c_custkey % 10 <> 3 AND (r = 0 OR c_custkey % 2 = 0)",
     "input_keys": "SELECT DISTINCT c_custkey, run_urn, pos, (c_custkey * 7 + q * (6 * c_custkey + pos)) % n + 1 AS k FROM {model_runs} CROSS JOIN {size_of} CROSS JOIN (VALUES (0), (1)) AS v(q) WHERE c_custkey % 19 <> 0 AND (q = 0 OR c_custkey % 4 <> 0)",
     "run_inputs": f"SELECT run_urn, {_ds('k')} AS dataset_urn, k, c_custkey FROM {{input_keys}}",
+    "model_lineage": f"SELECT {_MODEL} AS model_urn, {_ds('(c_custkey * 11 + q) % n + 1')} AS dataset_urn FROM {{customer}} CROSS JOIN {{size_of}} CROSS JOIN (VALUES (0), (1)) AS v(q) WHERE c_custkey % 4 <> 3 AND (q = 0 OR c_custkey % 8 = 2)",
     "run_properties": """SELECT run_urn, CASE c_custkey % 4 WHEN 0 THEN 'feature_table' WHEN 1 THEN 'Training_Data' WHEN 2 THEN 'loss' ELSE 'dataset' END AS key, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 's3://lake/t' || (c_custkey % n + 1) ELSE 'wh.l' || ((c_custkey % n + 1) % 4) || '.t' || (c_custkey % n + 1) END AS value FROM {model_runs} CROSS JOIN {size_of}""",
     "training_snapshots": "SELECT run_urn, dataset_urn, k, c_custkey FROM {run_inputs} WHERE (c_custkey + k) % 3 <> 0",
     "training_schema": """SELECT s.run_urn, s.dataset_urn, f.field_path, CASE WHEN (s.k + s.c_custkey + f.ordinal) % 13 = 0 THEN 'TEXT' ELSE f.native_type END AS native_type FROM {training_snapshots} s JOIN {schema_fields} f ON f.k = s.k WHERE (s.k + s.c_custkey + f.ordinal) % 11 <> 0 AND (s.c_custkey + s.k) % 23 <> 0

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection, facts, kept, scalars, scoring, streams, upkeep, whatif
+from . import detection, facts, kept, links, scalars, scoring, streams, upkeep, whatif
 
-MODULES = [scalars, detection, scoring, upkeep, facts, whatif, kept, streams]
+MODULES = [scalars, detection, scoring, upkeep, facts, whatif, kept, links, streams]
 
 
 def flagship(spark, sf_dir):

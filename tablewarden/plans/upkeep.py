@@ -69,24 +69,6 @@ query("a8_mttr_by_type", "SELECT k.finding_type, count(l.incident_urn) AS raised
 query("j25_new_incidents", "SELECT DISTINCT resource_urn, incident_type, title FROM {findings} f WHERE NOT EXISTS (SELECT 1 FROM {incidents} i WHERE i.state = 'ACTIVE' AND i.resource_urn = f.resource_urn AND i.type = f.incident_type AND i.title = f.title) AND (resource_urn IN (SELECT dataset_urn FROM {datasets}) OR resource_urn IN (SELECT column_urn FROM {schema_fields}))")(
     lambda a: upkeep.new_incidents(a.findings, a.t.incidents, a.t.datasets, a.t.schema_fields)
 )
-PARAMS = "list_position(['feature_table', 'dataset', 'dataset_name', 'training_data', 'training_table', 'input_table', 'table'], lower(key))"
-SQL_J27 = f"""SELECT r.model_urn, CASE WHEN i.n = 1 THEN i.d WHEN p.n = 1 THEN p.d WHEN u.n = 1 THEN u.d END AS dataset_urn, CASE WHEN i.n = 1 THEN 'run input' WHEN p.n = 1 THEN 'run parameter' WHEN u.n = 1 THEN 'lineage' WHEN coalesce(i.n, p.n, u.n) IS NOT NULL THEN 'ambiguous' ELSE 'none' END AS route FROM {{refs}} r
-    LEFT JOIN (SELECT model_urn, count(DISTINCT dataset_urn) AS n, min(dataset_urn) AS d FROM {{inputs}} GROUP BY ALL) i ON i.model_urn = r.model_urn
-    LEFT JOIN (SELECT model_urn, count(DISTINCT dataset_urn) AS n, min(dataset_urn) AS d FROM (SELECT m.model_urn, d.dataset_urn, rank() OVER (PARTITION BY m.model_urn ORDER BY m.pos, {PARAMS}) AS rk FROM {{model_runs}} m JOIN {{run_properties}} p ON p.run_urn = m.run_urn JOIN {{datasets}} d ON d.name = list_last(string_split(p.value, '/')) OR list_last(string_split(d.name, '.')) = list_last(string_split(p.value, '/')) WHERE {PARAMS} > 0) x WHERE rk = 1 GROUP BY ALL) p ON p.model_urn = r.model_urn
-    LEFT JOIN (SELECT model_urn, count(DISTINCT dataset_urn) AS n, min(dataset_urn) AS d FROM {{recorded_links_used}} GROUP BY ALL) u ON u.model_urn = r.model_urn"""
-
-
-def used_links(a: Scored):
-    return a.t.recorded_links.where("feature_dataset_urn is not null").select("model_urn", F.col("feature_dataset_urn").alias("dataset_urn"))
-
-
-def tables_inferred(a: Scored):
-    return linking.infer_feature_table(a.refs, a.t.model_runs, a.t.run_inputs, a.t.run_properties, used_links(a), a.t.datasets)
-
-
-query("j27_infer_feature_table", SQL_J27)(tables_inferred)
-SHORT = "SELECT model_urn, dataset_urn, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY model_urn ORDER BY dataset_urn) AS place FROM (SELECT DISTINCT m.model_urn, d.dataset_urn FROM (SELECT model_urn, unnest(string_split_regex(lower(name), '[^a-z0-9]+')) AS w FROM {refs} WHERE model_urn LIKE '%7,PROD)') m JOIN (SELECT dataset_urn, unnest(string_split_regex(lower(name || '.' || CASE k % 5 WHEN 0 THEN 'building' ELSE 'machinery' END), '[^a-z0-9]+')) AS w FROM {datasets}) d ON d.w = m.w WHERE length(m.w) > 2) x) y WHERE place <= 5"
-query("t3_shortlist_top5", SHORT)(lambda a: linking.shortlist(a.refs.where("model_urn like '%7,PROD)'"), a.t.datasets.withColumn("name", F.expr("name || '.' || CASE k % 5 WHEN 0 THEN 'building' ELSE 'machinery' END"))).select("model_urn", "dataset_urn", "place"))
 SQL_J28 = f"SELECT dataset_urn, column_urn, CASE r WHEN 1 THEN 'marked' WHEN 2 THEN 'derived from label' ELSE 'name' END AS reason FROM (SELECT s.*, CASE WHEN column_urn IN (SELECT column_urn FROM {{label_marks}}) THEN 1 WHEN column_urn IN (SELECT root FROM {{label_matches}}) THEN 2 WHEN field_path = 'churned' THEN 3 END AS r FROM {{schema_fields}} s) x WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dataset_urn ORDER BY r, ordinal) = 1"
 
 
@@ -96,9 +78,6 @@ def labels_inferred(a: Scored):
 
 query("j28_infer_label_column", SQL_J28)(labels_inferred)
 query("j40_infer_excluded_columns", f"SELECT dataset_urn, column_urn FROM {{schema_fields}} WHERE is_primary_key OR is_part_of_key OR is_partitioning_key UNION SELECT dataset_urn, column_urn FROM ({SQL_J28}) l")(lambda a: linking.infer_excluded(a.t.schema_fields, labels_inferred(a)))
-query("j41_link_proposals", f"SELECT t.model_urn, t.dataset_urn, t.route, l.column_urn AS label_column_urn, t.dataset_urn IS NOT NULL AND l.column_urn IS NOT NULL AS complete FROM ({SQL_J27}) t LEFT JOIN ({SQL_J28}) l ON l.dataset_urn = t.dataset_urn")(
-    lambda a: tables_inferred(a).join(labels_inferred(a).select("dataset_urn", F.col("column_urn").alias("label_column_urn")), "dataset_urn", "left").withColumn("complete", F.col("dataset_urn").isNotNull() & F.col("label_column_urn").isNotNull()).select("model_urn", "dataset_urn", "route", "label_column_urn", "complete")
-)
 
 
 def complete_links(a: Scored):
@@ -132,8 +111,8 @@ query("j38_capture_training_schema", f"SELECT t.run_urn, t.dataset_urn, t.field_
 query("j39_declarations_agree", "SELECT name AS model, 2::BIGINT AS sources, k % 3 = 0 AS agree FROM {datasets}")(
     lambda a: linking.declarations_agree(a.t.datasets.select(F.col("name").alias("model"), F.explode(F.expr("array(named_struct('s', 'dbt', 'c', 'a'), named_struct('s', 'registry', 'c', if(k % 3 = 0, 'a', 'b')))")).alias("x")).select("model", F.col("x.s").alias("source"), F.col("x.c").alias("column")))
 )
-ISSUES = "SELECT owner_urn, o.entity_urn, issue, rank::INT AS rank FROM (SELECT * FROM {owners} QUALIFY row_number() OVER (PARTITION BY owner_urn ORDER BY entity_urn) <= 60) o JOIN (SELECT resource_urn AS entity_urn, 'incident' AS issue, 0 AS rank FROM {incidents} WHERE state = 'ACTIVE' UNION SELECT assertee_urn, 'failing assertion', 1 FROM (SELECT assertion_urn, assertee_urn, arg_max(result_type, ts_ms) AS r FROM {assertion_runs} GROUP BY ALL) x WHERE r = 'FAILURE' UNION SELECT entity_urn, 'deprecated', 2 FROM {deprecations} WHERE deprecated) i ON i.entity_urn = o.entity_urn"
-query("j32_owned_issues", ISSUES)(lambda a: upkeep.owned_issues(a.t.owners, a.t.incidents, log.latest_assertion_result(a.t.assertion_runs), a.t.deprecations, 60))
+ISSUES = "SELECT owner_urn, o.entity_urn, issue, rank::INT AS rank FROM (SELECT * FROM {owners} QUALIFY row_number() OVER (PARTITION BY owner_urn ORDER BY entity_urn) <= 200) o JOIN (SELECT resource_urn AS entity_urn, 'incident' AS issue, 0 AS rank FROM {incidents} WHERE state = 'ACTIVE' UNION SELECT assertee_urn, 'failing assertion', 1 FROM (SELECT assertion_urn, assertee_urn, arg_max(result_type, ts_ms) AS r FROM {assertion_runs} GROUP BY ALL) x WHERE r = 'FAILURE' UNION SELECT entity_urn, 'deprecated', 2 FROM {deprecations} WHERE deprecated) i ON i.entity_urn = o.entity_urn"
+query("j32_owned_issues", ISSUES)(lambda a: upkeep.owned_issues(a.t.owners, a.t.incidents, log.latest_assertion_result(a.t.assertion_runs), a.t.deprecations, 200))
 
 
 query("s9_upsert_table", "SELECT model_urn, CASE WHEN c_custkey % 3 = 0 THEN 'n' || c_custkey ELSE coalesce(name, '') END AS name, version, c_custkey % 3 = 0 AS changed FROM {models}")(
@@ -149,9 +128,6 @@ query("a10_latency_summary", "SELECT event_type, count(value) AS n, median(value
 query("a11_target_verdict", "SELECT event_id, CASE WHEN v IS NULL THEN 'not measured' WHEN v >= 0.5 THEN 'meets' ELSE 'misses' END AS verdict FROM (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN (event_id % 10) / 10.0::DOUBLE END AS v FROM {events}) x")(
     lambda a: a.t.events.select("event_id", F.expr("if(event_id % 9 <> 0, (event_id % 10) / 10.0D, null)").alias("v")).select("event_id", quality.verdict("v", 0.5).alias("verdict"))
 )
-query("a15_faithfulness", "SELECT doc_id AS id, source AS provider, 2::INT AS checked, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END::INT AS invented, doc_id % 4 <> 0 AS faithful FROM {documents}")(
-    lambda a: quality.faithfulness(a.t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("provider"), F.lit("lag 30.0 of 6 h for model_v3").alias("facts"), F.expr("'It is ' || if(doc_id % 4 = 0, '31', '30') || ' hours against 6h in x_2024.'").alias("prose")))
-)
 query("a21_scan_run_record", "SELECT 'r' || (seq % 300) AS run_id, count(DISTINCT CASE split_part(entity_urn, ':', 3) WHEN 'schemaField' THEN regexp_extract(entity_urn, '" + FIELD_RE + "', 1) ELSE entity_urn END) AS inputs, CASE WHEN bool_or(seq % 50 = 7) THEN 'FAILURE' ELSE 'SUCCESS' END AS status, max(seq) - min(seq) AS duration_ms FROM {aspect_log} GROUP BY 1")(
     lambda a: upkeep.scan_runs(a.t.aspect_log.select(F.expr("'r' || (seq % 300)").alias("run_id"), "entity_urn", F.expr("seq % 50 = 7").alias("failed"), F.col("seq").alias("ts_ms")))
 )
