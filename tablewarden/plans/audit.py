@@ -15,22 +15,22 @@ from .scalars import SLA
 
 
 class Audit:
-    """Checks over a catalog; attributes are DataFrames."""
+    """Checks over a catalog; attributes are DataFrames. What several checks start from is checkpointed once."""
 
     def __init__(self, catalog: Fixture, now_ms: int = NOW_MS, sla_hours: float = SLA, hops: int = 3, column_hops: int = 6) -> None:
         self.t, self.now_ms, self.sla, self.hops, self.column_hops = catalog, now_ms, sla_hours, hops, column_hops
 
     @cached_property
     def refs(self) -> DataFrame:
-        return models.model_refs(self.t.models, self.t.model_deployments, self.t.deployments, self.t.owners)
+        return cut(models.model_refs(self.t.models, self.t.model_deployments, self.t.deployments, self.t.owners))
 
     @cached_property
     def linked(self) -> DataFrame:
-        return models.linked_features(self.t.model_features, self.t.features)
+        return cut(models.linked_features(self.t.model_features, self.t.features))
 
     @cached_property
     def sources(self) -> DataFrame:
-        return self.linked.select(F.col("source").alias("column_urn")).distinct()
+        return cut(self.linked.select(F.col("source").alias("column_urn")).distinct())
 
     def marks(self, *markers: str) -> DataFrame:
         return models.column_markers(self.t.column_marks, *markers)
@@ -77,7 +77,7 @@ class Audit:
 
     @cached_property
     def stale(self) -> DataFrame:
-        return tables.stale_tables(log.latest_operation(self.t.operations), self.now_ms, self.sla)
+        return cut(tables.stale_tables(log.latest_operation(self.t.operations), self.now_ms, self.sla))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -85,7 +85,7 @@ class Audit:
 
     @cached_property
     def reached(self) -> DataFrame:
-        return tables.downstream_reach(self.stale, self.edges, self.hops)
+        return cut(tables.downstream_reach(self.stale, self.edges, self.hops))
 
     @cached_property
     def radius(self) -> DataFrame:
