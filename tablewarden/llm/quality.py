@@ -11,8 +11,8 @@ _GAP, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 #: Rules: metric, side, quantile of the tail, least cutoff that a group may get (upper) or most (lower).
 RULES = [("symbol_rate", "upper", 0.9, 50), ("word_length", "upper", 0.9, 1200), ("word_length", "lower", 0.1, 250), ("line_rate", "upper", 0.9, 400), ("repeat_rate", "upper", 0.9, 300)]
-#: How many times the distance from median to tail quantile lies between that quantile and the cutoff; rows below which a group borrows the sketch of its language, then of all.
-SPREAD, LEAST_ROWS = 3, 200
+#: How many times the distance from median to tail quantile lies between that quantile and the cutoff; rows for which the cutoff of the wider group counts.
+SPREAD, PARENT_ROWS = 3, 1000
 #: Most rows of thresholds that are broadcast.
 BROADCAST_ROWS = 50_000
 
@@ -60,9 +60,12 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang_key, source_key, and a column for each rule): cutoffs from the group's sketch, or a wider one's.
+    """(lang_key, source_key, and a column for each rule): cutoffs from the group's sketch and the wider ones'.
 
-    upper = max(least, q90 + SPREAD * (q90 - q50)); lower = min(most, q10 - SPREAD * (q50 - q10)).
+    upper = max(least, q90 + SPREAD * (q90 - q50)); lower = min(most, q10 - SPREAD * (q50 - q10)), not below 0. A
+    group's cutoff is the mean of its own, weighted by its rows, and its language's, which counts for PARENT_ROWS rows; a
+    language's likewise of its own and that of all. So one formula serves groups of every size: a few rows change little,
+    many decide, and no number of rows switches.
     """
     levels = [sketch, sketch.withColumn("source_key", F.lit("*")), sketch.withColumn("source_key", F.lit("*")).withColumn("lang_key", F.lit("*"))]
     merged = levels[0].unionByName(levels[1]).unionByName(levels[2]).groupBy("lang_key", "source_key", "metric", "bucket").agg(F.sum("n").alias("n"))
@@ -73,7 +76,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     wide = found.groupBy("lang_key", "source_key").agg(
         F.max("rows").alias("rows"),
         *[
-            F.max(F.when(F.col("metric") == m, F.greatest(F.lit(limit), F.col("q90") + SPREAD * (F.col("q90") - F.col("q50"))) if side == "upper" else F.least(F.lit(limit), F.col("q10") - SPREAD * (F.col("q50") - F.col("q10"))))).alias(f"{m}_{side}")
+            F.max(F.when(F.col("metric") == m, F.greatest(F.lit(limit), F.col("q90") + SPREAD * (F.col("q90") - F.col("q50"))) if side == "upper" else F.greatest(F.lit(0), F.least(F.lit(limit), F.col("q10") - SPREAD * (F.col("q50") - F.col("q10")))))).alias(f"{m}_{side}")
             for m, side, _, limit in RULES
         ],
     )
@@ -83,8 +86,9 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     lang = pick(wide.where("source_key = '*' and lang_key <> '*'"), ["lang_key"]).withColumnRenamed("t", "l")
     every = pick(wide.where("source_key = '*' and lang_key = '*'"), []).withColumnRenamed("t", "e")
     chosen = pick(own, ["lang_key", "source_key"]).join(lang, "lang_key", "left").crossJoin(every)  # one row
-    best = F.when(F.col("t.rows") >= LEAST_ROWS, F.col("t")).when(F.col("l.rows") >= LEAST_ROWS, F.col("l")).otherwise(F.col("e"))
-    return chosen.withColumn("b", best).select("lang_key", "source_key", *[F.col(f"b.{n}").alias(n) for n in names])
+    mean = lambda own, rows, wider: f"({rows} * {own} + {PARENT_ROWS} * {wider}) div ({rows} + {PARENT_ROWS})"
+    blended = [F.expr(mean(f"t.{n}", "t.rows", f"({mean(f'l.{n}', 'l.rows', f'e.{n}')})")).alias(n) for n in names]
+    return chosen.select("lang_key", "source_key", *blended)
 
 
 def judge(measured: DataFrame, over: DataFrame | None = None) -> DataFrame:
@@ -146,8 +150,8 @@ every AS (SELECT lk, sk, metric, bucket, n FROM b UNION ALL SELECT lk, '*', metr
 s AS (SELECT lk, sk, metric, bucket, sum(n) AS n FROM every GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER (PARTITION BY lk, sk, metric ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY lk, sk, metric) AS total FROM s),
 q AS (SELECT lk, sk, metric, min(CASE WHEN below * 100 >= total * 10 THEN bucket END) AS q10, min(CASE WHEN below * 100 >= total * 50 THEN bucket END) AS q50, min(CASE WHEN below * 100 >= total * 90 THEN bucket END) AS q90, max(total) AS cnt FROM r GROUP BY ALL),
-t AS (SELECT lk, sk, max(cnt) AS cnt, {", ".join(f"max(CASE WHEN metric = '{m}' THEN " + (f"greatest({limit}, q90 + {SPREAD} * (q90 - q50))" if side == "upper" else f"least({limit}, q10 - {SPREAD} * (q50 - q10))") + f" END) AS {m}_{side}" for m, side, _, limit in RULES)} FROM q GROUP BY ALL),
-c AS (SELECT o.lk, o.sk, {", ".join(f"CASE WHEN o.cnt >= {LEAST_ROWS} THEN o.{m}_{side} WHEN l.cnt >= {LEAST_ROWS} THEN l.{m}_{side} ELSE e.{m}_{side} END AS {m}_{side}" for m, side, *_ in RULES)}
+t AS (SELECT lk, sk, max(cnt) AS cnt, {", ".join(f"max(CASE WHEN metric = '{m}' THEN " + (f"greatest({limit}, q90 + {SPREAD} * (q90 - q50))" if side == "upper" else f"greatest(0, least({limit}, q10 - {SPREAD} * (q50 - q10)))") + f" END) AS {m}_{side}" for m, side, _, limit in RULES)} FROM q GROUP BY ALL),
+c AS (SELECT o.lk, o.sk, {", ".join(f"(o.cnt * o.{m}_{side} + {PARENT_ROWS} * ((l.cnt * l.{m}_{side} + {PARENT_ROWS} * e.{m}_{side}) // (l.cnt + {PARENT_ROWS}))) // (o.cnt + {PARENT_ROWS}) AS {m}_{side}" for m, side, *_ in RULES)}
         FROM t o JOIN t l ON l.lk = o.lk AND l.sk = '*' CROSS JOIN (SELECT * FROM t WHERE lk = '*') e WHERE o.sk <> '*')
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {" OR ".join(f"coalesce({m} {'>' if side == 'upper' else '<'} {m}_{side}, false)" for m, side, *_ in RULES)}) AS kept
 FROM m LEFT JOIN c ON c.lk = m.lk AND c.sk = m.sk
