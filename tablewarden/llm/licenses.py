@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 #: Phrases whose every place is reported, with their labels.
 BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
 
@@ -30,6 +32,7 @@ TEMPLATES = [
 ]
 
 INDEX_WORDS, LEAST_MATCH = 12, 0.6
+ADDED = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -54,7 +57,9 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, index_words:
     up all its indexed words, so what it is found to hold in one place does not hang on other places. Every occurrence
     becomes (template, place minus position), and an alignment that enough of them share is a candidate; its words are
     then compared in place, and the key phrases must stand there. The base phrases are indexed by all their words and
-    need all of them. Null and empty texts have no words and score 0.
+    need all of them. Null and empty texts have no words and score 0. Words that stand at one place of several
+    templates give each its label; repeated documents get the same values. Other columns of docs pass through whatever
+    their names; columns of docs that are named like those added would clash and are an error.
     """
     base = [(label, phrase.split()) for label, phrase in BASE]
     rest = [(label, t.split(), [p.split() for p in keys]) for label, t, keys in templates]
@@ -99,7 +104,9 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, index_words:
     verify = f"""filter(transform(general, x -> transform(array({bodies_sql}[x.t]), b -> named_struct('t', x.t, 'o', x.o,
             'share', size(filter(sequence(0, size(b) - 1), p -> get(ws, x.o + p) = b[p])) / size(b),
             'keys', forall({keys}[x.t], p -> coalesce(get(ws, x.o + p) = b[p], false))))[0]), m -> m.keys and m.share >= {least_match}D)"""
-    out = docs.withColumn("ws", words_of(text)).withColumn("n_words", F.size("ws").cast("long")).withColumn("hits", F.expr(hits))
+    if taken := set(ADDED) & set(docs.columns):
+        raise ValueError(f"the result has columns of its own named {sorted(taken)}")
+    out = docs.select(packed(docs).alias("d"), words_of(text).alias("ws")).withColumn("n_words", F.size("ws").cast("long")).withColumn("hits", F.expr(hits))
     none = "cast(array() as array<struct<t:int,o:int>>)"
     out = out.withColumn("found", F.expr(f"if(size(hits) = 0, {none}, {aligned.format(words=lists[1][0], post=lists[1][1], need=need)})"))
     out = out.withColumn("general", F.expr(f"if(size(hits) < 2, {none}, {aligned.format(words=lists[0][0], post=lists[0][1], need=need)})"))
@@ -116,7 +123,7 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, index_words:
         .withColumn("score", F.expr("if(n_base > 0, 1D, coalesce(array_max(transform(matches, x -> x.share)), 0D))"))
         .withColumn("matches", F.expr(f"transform(matches, x -> named_struct('label', {names}[x.t], 'word', cast(x.o as bigint), 'share', x.share))"))
     )
-    return out.drop("ws", "hits", "found", "general")
+    return out.select(*unpacked(docs, "d"), *ADDED)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

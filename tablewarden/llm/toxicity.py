@@ -344,12 +344,16 @@ def scorer(parameters: dict, calibration: np.ndarray, texts_at_once: int = 256):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_other: int = MOST_OTHER):
-    """(text, toxic) of a bounded sample of labelled rows outside the held-out fold, in an order of its own."""
+    """(doc_id, text, toxic) of a bounded sample of labelled rows outside the held-out fold, in an order of its own.
+
+    One text for each id, the least, so repeated rows do not come back to the driver.
+    """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     open_ = labels.where((fold != 2) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda label, most: open_.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = pick(1, most_toxic).unionByName(pick(0, most_other))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return texts.select("doc_id", "text", "toxic").orderBy("doc_id").collect()
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -357,7 +361,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The fit takes MOST_TOXIC + MOST_OTHER labelled rows at most; held-out rows are never among them, and a score
     depends on the text alone. All overlapping windows of the whole text are scored. Null and empty texts are one
-    empty window. With no labelled rows of either kind all scores are 0.
+    empty window. With no labelled rows of either kind all scores are 0. Ids that are null are in no fold and have no
+    label; an id that labels call both toxic and not is toxic; repeated rows are scored each, equal texts alike but for rounding.
+    Other columns are not read.
     """
     rows = training_rows(docs, labels)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
