@@ -123,14 +123,17 @@ def similar_lines(lines: DataFrame, sketches: DataFrame, docs: DataFrame, doc_id
     named = lambda rows: rows.join(found.withColumnRenamed("node", "lid"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
     open_keys = lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "size")
     labelled = save(named(shared.where("size > 2").select("key", "lid")), "labelled")
+    discard(shared)
     sizes = save(open_keys(labelled), "open")
     part = Window.partitionBy("key", "component")
     rows = labelled.join(sizes.select("key"), "key", "left_semi").join(sketch, "lid").withColumn("head", F.col("lid") == F.max("lid").over(part))
     rows = save(rows, "rows")
+    discard(labelled, found)
     both_once = ~F.col("x.head") | (F.col("x.lid") > F.col("y.lid"))
-    pairs = save(across(rows, rows.where("head"), sizes, both_once & may_match("x.", "y.", similarity)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    first, pairs = pairs, save(across(rows, rows.where("head"), sizes, both_once & may_match("x.", "y.", similarity)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    discard(first)
     edges = edges.unionByName(verified(pairs, lines, docs, doc_id, text, similarity))
-    discard(shared, labelled)
+    discard(pairs)
     rest = rows.where("not head")
     if not rest.isEmpty():
         found = save(components(edges, spark), "components")
