@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import coverage, score
 from ..operators.steps import cut
 from ..sources import log
+from ..sources.state import Files
 from .audit import Audit
 from .detection import CHAINS, COARSE, coarse  # noqa: F401
 from .fixture import Fixture, oracle
@@ -74,8 +75,11 @@ class Scored(Audit):
 
 
 def audit_of(spark, sf_dir: str) -> Scored:
-    """The audit of a catalog, made once in an application: its checkpointed findings serve every query."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The audit of a catalog, made once in an application: its checkpointed findings serve every query.
+
+    When a file of the catalog comes, goes or changes, the next call makes a new audit.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, Files(spark, sf_dir).stamp(sf_dir))
     if key not in _AUDITS:
         _AUDITS.clear()
         _AUDITS[key] = Scored(Fixture(spark, sf_dir))
@@ -83,7 +87,7 @@ def audit_of(spark, sf_dir: str) -> Scored:
     return _AUDITS[key]
 
 
-_AUDITS: dict[tuple[str, str], Scored] = {}
+_AUDITS: dict[tuple, Scored] = {}
 
 
 def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None):

@@ -21,6 +21,16 @@ class Files:
         where = self.path(folder)
         return [s.getPath().getName() for s in self.fs.listStatus(where)] if self.fs.exists(where) else []
 
+    def stamp(self, folder: str) -> tuple:
+        """Names, sizes and times of all files under a folder."""
+        where, found = self.path(folder), []
+        if self.fs.exists(where):
+            every = self.fs.listFiles(where, True)
+            while every.hasNext():
+                s = every.next()
+                found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+        return tuple(sorted(found))
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
         try:

@@ -90,3 +90,14 @@ def test_a_run_replaces_its_history_entry(spark):
     rows = spark.createDataFrame([("m", "r1", 1, 5), ("m", "r2", 2, 6), ("m", "r1", 3, 7)], "model_urn string, run_id string, recorded_at long, score int")
     got = [(r["run_id"], r["score"], r["age"]) for r in history.capped_history(rows, 1).collect()]
     assert got == [("r1", 7, 1)]
+
+
+def test_a_changed_catalog_gets_a_new_audit(spark, tmp_path):
+    from tablewarden.plans.scoring import audit_of
+
+    spark.range(3).write.parquet(str(tmp_path / "part.parquet"))
+    first = audit_of(spark, str(tmp_path))
+    assert audit_of(spark, str(tmp_path)) is first
+    spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "part.parquet"))
+    second = audit_of(spark, str(tmp_path))
+    assert second is not first and second.t.part.count() == 4
