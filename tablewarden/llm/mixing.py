@@ -77,10 +77,17 @@ def bundled(ids: DataFrame, sizes: DataFrame, alone: int, rows: int) -> DataFram
     rate = sizes.select(F.col("source").alias("src"), F.when(F.col("raw") > 0, F.col("raw")).otherwise(F.col("rows") * 1e-9).alias("rate"), "rows")
     light = first.where("heavy is null").join(rate, "src").withColumn("time", (F.col("place") + 0.5) / F.col("rate")).drop("place")
     light = save(light.select("rid", "src", "doc_id", "time"), "light")
-    last = light.agg(F.count(F.lit(1)), F.coalesce(F.max("time"), F.lit(1.0))).first()
-    # buckets of rank follow the time
-    step = F.floor(F.col("time") / F.lit(float(last[1])) * 0.999999 * -(-rows // 10_000)).cast("long")
-    rest = two_level_rank(light, [], [F.col("time"), F.col("src"), F.col("rid")], step, rows, "place")
+    # buckets of rank follow the time, cut at its quantiles, so that one slow source does not crowd the others, and
+    # evenly between two of them
+    wanted = max(1, -(-rows // 10_000))
+    parts = min(1000, wanted)
+    each = -(-wanted // parts)
+    cuts = light.agg(F.percentile_approx("time", [k / parts for k in range(1, parts)] or [0.5], 10_000).alias("cuts"))
+    light = light.crossJoin(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("time"))))  # one row
+    low, high = F.coalesce(F.get("cuts", F.col("part") - 1), F.lit(0.0)), F.get("cuts", F.col("part"))
+    within = F.when(high.isNull(), 1 - low / F.col("time")).when(high > low, (F.col("time") - low) / (high - low)).otherwise(0.0)
+    light = light.withColumn("step", F.col("part") * each + F.least(F.lit(each - 1), F.floor(within * each))).drop("cuts", "part")
+    rest = two_level_rank(light, [], [F.col("time"), F.col("src"), F.col("rid")], None, rows, "place", bucket="step")
     return own.unionByName(rest.select("rid", F.lit("rest").alias("group"), "place"))
 
 
