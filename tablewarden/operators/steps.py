@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions that name none, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
@@ -17,8 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="tablewarden-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="tablewarden-")
+        _own[spark.sparkContext.applicationId] = found
     return found
 
 
