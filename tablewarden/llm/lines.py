@@ -16,6 +16,8 @@ SHORT = SLOTS + 1
 BROADCAST_ROWS = 400_000
 #: Lines of a bucket that one task compares with as many others; larger buckets are cut into blocks.
 BLOCK = 1000
+#: Lines of a bucket from which on its lines are compared by letters too, before a pair of them is a row.
+WIDE = 64
 
 
 def normal_words(line: Column) -> Column:
@@ -97,13 +99,47 @@ def across(left: DataFrame, right: DataFrame, sizes: DataFrame, near: Column) ->
     return x.join(y, met & (F.col("x.component") != F.col("y.component")) & near).select(*ordered("x.lid", "y.lid")).distinct()
 
 
+def candidates(rows: DataFrame, right: Column, sizes: DataFrame, near: Column, letters: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows x and those rows y that are `right`, of one key, which may match; saved.
+
+    Keys of WIDE lines or more have their lines compared by letters within the join, each pair under the least wide key
+    that both have, so lines that share a passage and are not alike make no rows.
+    """
+    near = near & may_match("x.", "y.", similarity)
+    narrow, wide = sizes.where(F.col("size") < WIDE), sizes.where(F.col("size") >= WIDE)
+    some = rows.join(narrow.select("key"), "key", "left_semi")
+    pairs = across(some, some.where(right), narrow, near)
+    if not wide.isEmpty():
+        lettered = rows.join(letters, "lid")
+        most = f"cast(floor(greatest(x.n_words, y.n_words) * {1 - similarity!r}D + 1e-9) as int)"
+        once = F.array_min(F.array_intersect("x.wide", "y.wide")) == F.col("x.key")
+        wide_rows = lettered.join(wide.select("key"), "key", "left_semi")
+        pairs = pairs.unionByName(across(wide_rows, wide_rows.where(right), wide, near & once & F.expr(f"levenshtein(x.letters, y.letters, {most}) >= 0"))).distinct()
+    return save(pairs, "pairs")
+
+
+def lettered(rows: DataFrame, sizes: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(lid, letters, wide) of the lines that have a wide key: a letter, of 127, for each word, and those keys; saved.
+
+    Equal words have equal letters, so lines are as far apart as their letters at least.
+    """
+    keys = save(rows.join(sizes.where(F.col("size") >= WIDE).select("key"), "key", "left_semi").groupBy("lid").agg(F.collect_set("key").alias("wide")), "wide")
+    hashes = hashed_lines(keys.select("lid"), lines, docs, doc_id, text)
+    letter = F.array_join(F.transform("h", lambda h: F.call_function("char", F.pmod(h, F.lit(127)) + 1)), "")
+    out = save(hashes.select("lid", letter.alias("letters")).join(keys, "lid"), "letters")
+    discard(keys)
+    return out
+
+
 def similar_lines(lines: DataFrame, sketches: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame | None:
     """(lid, component) of the distinct lines that are linked with others; saved.
 
-    Lines that share a key are candidates, as far as no gap in their lengths parts them. One line of a key is compared with all others first; then, where they are
-    not all connected, one line of each connected part with the lines outside that part; then only the rest with each
-    other. So copies of one line that differ a little cost comparisons in proportion to their number, while every
-    candidate pair is either compared or known to be connected.
+    Lines that share a key are candidates, as far as no gap in their lengths parts them. Each line of a key is compared
+    with one that all of the key share, with the next shorter one and with the next by marks first, which connects
+    copies and most lines around one passage. Then, where they are not all connected, one line of each connected part is
+    compared with the lines outside that part; then only the rest with each other. So copies of one line that differ a
+    little cost comparisons in proportion to their number, while every candidate pair is either compared or known to be
+    connected.
     """
     spark, keyed = docs.sparkSession, sketches.select("lid", "n_words", F.explode("keys").alias("key"))
     by_length = Window.partitionBy("key").orderBy("n_words", "lid")
@@ -111,13 +147,10 @@ def similar_lines(lines: DataFrame, sketches: DataFrame, docs: DataFrame, doc_id
     keyed = keyed.withColumn("last", F.lag("n_words").over(by_length)).withColumn("next", F.lead("n_words").over(by_length))
     keyed = keyed.withColumn("joins", near("last", "n_words")).where(F.col("joins") | near("n_words", "next"))
     runs = keyed.withColumn("run", F.count_if(~F.col("joins")).over(by_length.rowsBetween(Window.unboundedPreceding, 0)))
-    bucket = Window.partitionBy("key", "run")
-    shared = runs.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.max("lid").over(bucket))
-    shared = save(shared.select(F.xxhash64("key", "run").alias("key"), "lid", "hub", "size"), "buckets")
+    shared = runs.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key", "run")))
+    shared = save(shared.select(F.xxhash64("key", "run").alias("key"), "lid", "size"), "buckets")
     sketch = sketches.select("lid", *SKETCH)
-    sided = lambda side: sketch.select(F.col("lid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in SKETCH])
-    star = shared.where("lid <> hub").select("lid", "hub").distinct().join(sided("lid"), "lid").join(sided("hub"), "hub")
-    pairs = save(star.where(may_match("lid_", "hub_", similarity)).select(*ordered("lid", "hub")), "pairs")
+    pairs = save(neighbours(shared.select("key", "lid").join(sketch, "lid"), similarity), "pairs")
     edges = verified(pairs, lines, docs, doc_id, text, similarity)
     found = save(components(edges, spark), "components")
     named = lambda rows: rows.join(found.withColumnRenamed("node", "lid"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
@@ -130,8 +163,9 @@ def similar_lines(lines: DataFrame, sketches: DataFrame, docs: DataFrame, doc_id
     rows = save(rows, "rows")
     discard(labelled, found)
     both_once = ~F.col("x.head") | (F.col("x.lid") > F.col("y.lid"))
-    first, pairs = pairs, save(across(rows, rows.where("head"), sizes, both_once & may_match("x.", "y.", similarity)).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    discard(first)
+    letters = lettered(rows, sizes, lines, docs, doc_id, text)
+    discard(pairs)
+    pairs = candidates(rows, F.col("head"), sizes, both_once, letters, similarity)
     edges = edges.unionByName(verified(pairs, lines, docs, doc_id, text, similarity))
     discard(pairs)
     rest = rows.where("not head")
@@ -139,30 +173,50 @@ def similar_lines(lines: DataFrame, sketches: DataFrame, docs: DataFrame, doc_id
         found = save(components(edges, spark), "components")
         rest = save(named(rest.drop("component")), "rest")
         sizes = save(open_keys(rest), "open")
-        pairs = save(across(rest, rest, sizes, (F.col("x.lid") > F.col("y.lid")) & may_match("x.", "y.", similarity)), "pairs")
+        pairs = candidates(rest, F.lit(True), sizes, F.col("x.lid") > F.col("y.lid"), letters, similarity)
         edges = edges.unionByName(verified(pairs, lines, docs, doc_id, text, similarity))
         discard(rest)
-    discard(rows)
+    discard(rows, letters)
     return save(components(edges, spark).withColumnRenamed("node", "lid"), "components")
 
 
+def neighbours(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of lines of one key that may match: each with the key's greatest id, and the next by length and by marks."""
+    bucket = Window.partitionBy("key")
+    mine = F.struct("lid", *SKETCH)
+    rows = rows.withColumns({
+        "hub": F.max(mine).over(bucket),
+        "shorter": F.lag(mine).over(bucket.orderBy("n_words", "lid")),
+        "alike": F.lag(mine).over(bucket.orderBy(*MARKS, "lid")),
+    })
+    near = [F.when((F.col(f"{other}.lid") != F.col("lid")) & may_match("", f"{other}.", similarity), F.col(f"{other}.lid")) for other in ("hub", "shorter", "alike")]
+    return rows.select("lid", F.explode(F.array_compact(F.array(*near))).alias("other")).select(*ordered("lid", "other")).distinct()
+
+
 def coded(hashes: Column, number: Column) -> Column:
     """A text of one character for each number, so that edit distance counts words. Surrogates are passed over."""
     code = F.transform(hashes, lambda h: number(h))
     return F.decode(F.unhex(F.array_join(F.transform(code, lambda c: F.lpad(F.hex(F.when(c < 0xD000, c + 0x100).otherwise(c + 0x1000)), 8, "0")), "")), "UTF-32")
 
 
-def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
-    """Pairs (a, b) of line ids with edit similarity 1 - distance / longer length, in words, of `similarity` or more; saved.
+def hashed_lines(wanted: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(lid, h) of the wanted lines: the hashes of their words.
 
-    A line is read from the text where it stands first, so texts without candidates don't move. Words are coded by
-    their hash in a million characters; where two words of a pair of lines get one code, they are numbered instead.
+    A line is read from the text where it stands first, so texts without candidates don't move.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     places = save(lines.join(wanted, "lid", "left_semi").select("lid", "keep.i1", "keep.i2", "keep.pos"), "places")
     rows = docs.where(F.col(text).isNotNull()).select(*identity(doc_id, text), F.col(text).alias("t")).join(few(places), ["i1", "i2"])
     line = F.get(F.split("t", "\n"), F.col("pos") - 1)
-    hashes = rows.select("lid", F.transform(normal_words(line), lambda w: F.xxhash64(w)).alias("h")).dropDuplicates(["lid"])
+    return rows.select("lid", F.transform(normal_words(line), lambda w: F.xxhash64(w)).alias("h")).dropDuplicates(["lid"])
+
+
+def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
+    """Pairs (a, b) of line ids with edit similarity 1 - distance / longer length, in words, of `similarity` or more; saved.
+
+    Words are coded by their hash in a million characters; where two words of a pair of lines get one code, they are numbered instead.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+    hashes = hashed_lines(wanted, lines, docs, doc_id, text)
     codes = save(hashes.withColumn("t", coded(F.col("h"), lambda h: F.pmod(h, F.lit(1_000_000)))), "codes")
     text_of = lambda side: codes.select(F.col("lid").alias(side), F.col("t").alias(f"t{side}"))
     both = pairs.join(text_of("a"), "a").join(text_of("b"), "b")
@@ -179,7 +233,7 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, t
     numbered = lambda h: F.get(F.transform(F.array("clash"), lambda clash: coded(F.col(h), lambda x: own(x, clash))), F.lit(0))
     exact = F.when(F.size("clash") > 0, F.levenshtein(numbered("ha"), numbered("hb"))).otherwise(0)
     good = save(both.where(exact <= F.col("most")).select("a", "b"), "verified")
-    discard(places, codes, close)
+    discard(codes, close)
     return good
 
 

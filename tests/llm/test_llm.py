@@ -217,6 +217,26 @@ def test_line_dedup_finds_every_similar_line(spark):
     assert got == {i for i in range(len(rows)) if low[i] != i} and len(got) > 60
 
 
+def test_lines_around_one_passage(spark, monkeypatch):
+    """Lines with one passage after starts of their own: those with short starts are alike, and few pairs are ever rows."""
+    rng = random.Random(5)
+    passage, made = words(rng, 40).split(), []
+    rows = [[f"own{k}word{i}" for i in range(n)] + passage for n in (5, 6, 7, 8, 9, 12, 14, 16, 18) for k in range(n * 100, n * 100 + 20)]
+    low = similar_groups([tuple(w) for w in rows])
+
+    def counted(df, name, save=lines.save):
+        out = save(df, name)
+        if name in ("pairs", "close"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "save", counted)
+    df = spark.createDataFrame([(1000 + i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"] - 1000 for r in lines.dedup_lines(df).where("n_removed = 1").collect()}
+    assert got == {i for i in range(len(rows)) if low[i] != i} and len(got) >= 99
+    assert max(made) <= 8 * len(rows)
+
+
 def test_line_sketches(spark):
     """An edit turns two marks at most, and copies of a line are one row."""
     rng = random.Random(2)
