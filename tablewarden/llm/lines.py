@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,10 +138,10 @@ def similar_lines(lines: DataFrame, sketches: DataFrame, docs: DataFrame, doc_id
 
     Lines that share a key are candidates, as far as no gap in their lengths parts them. Each line of a key is compared
     with one that all of the key share, with the next shorter one and with the next by marks first, which connects
-    copies and most lines around one passage. Then, where they are not all connected, one line of each connected part is
-    compared with the lines outside that part; then only the rest with each other. So copies of one line that differ a
-    little cost comparisons in proportion to their number, while every candidate pair is either compared or known to be
-    connected.
+    copies and most lines around one passage. Then, where they are not all connected, lines that may match none of
+    another part go; of the others one line of each connected part is compared with the lines outside that part, then
+    only the rest with each other. So copies of one line that differ a little cost comparisons in proportion to their
+    number, while every candidate pair is either compared or known to be connected.
     """
     spark, keyed = docs.sparkSession, sketches.select("lid", "n_words", F.explode("keys").alias("key"))
     by_length = Window.partitionBy("key").orderBy("n_words", "lid")
@@ -149,48 +151,74 @@ def similar_lines(lines: DataFrame, sketches: DataFrame, docs: DataFrame, doc_id
     runs = keyed.withColumn("run", F.count_if(~F.col("joins")).over(by_length.rowsBetween(Window.unboundedPreceding, 0)))
     shared = runs.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key", "run")))
     shared = save(shared.select(F.xxhash64("key", "run").alias("key"), "lid", "size"), "buckets")
-    sketch = sketches.select("lid", *SKETCH)
-    pairs = save(neighbours(shared.select("key", "lid").join(sketch, "lid"), similarity), "pairs")
+    met = save(neighbours(shared.join(sketches.select("lid", *SKETCH), "lid"), similarity), "neighbours")
+    discard(shared)
+    pairs = save(met.select("lid", F.explode("near").alias("other")).select(*ordered("lid", "other")).distinct(), "pairs")
     edges = verified(pairs, lines, docs, doc_id, text, similarity)
+    discard(pairs)
     found = save(components(edges, spark), "components")
-    named = lambda rows: rows.join(found.withColumnRenamed("node", "lid"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+    discard(edges)
+    named = lambda rows: rows.join(few(found.withColumnRenamed("node", "lid")), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+    joined = lambda pairs: components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(pairs), spark)
     open_keys = lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "size")
-    labelled = save(named(shared.where("size > 2").select("key", "lid")), "labelled")
-    discard(shared)
-    sizes = save(open_keys(labelled), "open")
+    wide = not met.where(F.col("size") > BLOCK).isEmpty()
+    rows = save(with_partner(named(met.where("size > 2").drop("near")), wide, similarity).drop("size"), "partnered")
+    discard(met)
+    sizes = save(open_keys(rows), "open")
     part = Window.partitionBy("key", "component")
-    rows = labelled.join(sizes.select("key"), "key", "left_semi").join(sketch, "lid").withColumn("head", F.col("lid") == F.max("lid").over(part))
-    rows = save(rows, "rows")
-    discard(labelled, found)
+    rows, partnered = save(rows.withColumn("head", F.col("lid") == F.max("lid").over(part)), "rows"), rows
+    discard(partnered)
     both_once = ~F.col("x.head") | (F.col("x.lid") > F.col("y.lid"))
     letters = lettered(rows, sizes, lines, docs, doc_id, text)
-    discard(pairs)
     pairs = candidates(rows, F.col("head"), sizes, both_once, letters, similarity)
-    edges = edges.unionByName(verified(pairs, lines, docs, doc_id, text, similarity))
-    discard(pairs)
+    edges = verified(pairs, lines, docs, doc_id, text, similarity)
+    before, found = found, save(joined(edges), "components")
+    discard(before, pairs, sizes, edges)
     rest = rows.where("not head")
     if not rest.isEmpty():
-        found = save(components(edges, spark), "components")
         rest = save(named(rest.drop("component")), "rest")
         sizes = save(open_keys(rest), "open")
         pairs = candidates(rest, F.lit(True), sizes, F.col("x.lid") > F.col("y.lid"), letters, similarity)
-        edges = edges.unionByName(verified(pairs, lines, docs, doc_id, text, similarity))
-        discard(rest)
+        edges = verified(pairs, lines, docs, doc_id, text, similarity)
+        before, found = found, save(joined(edges), "components")
+        discard(before, rest, pairs, sizes, edges)
     discard(rows, letters)
-    return save(components(edges, spark).withColumnRenamed("node", "lid"), "components")
+    return found.withColumnRenamed("node", "lid")
 
 
 def neighbours(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of lines of one key that may match: each with the key's greatest id, and the next by length and by marks."""
+    """rows and `near`: the lines of its key that a line may match, of the key's greatest id and the next by length and by marks."""
     bucket = Window.partitionBy("key")
     mine = F.struct("lid", *SKETCH)
-    rows = rows.withColumns({
+    met = rows.withColumns({
         "hub": F.max(mine).over(bucket),
         "shorter": F.lag(mine).over(bucket.orderBy("n_words", "lid")),
         "alike": F.lag(mine).over(bucket.orderBy(*MARKS, "lid")),
     })
     near = [F.when((F.col(f"{other}.lid") != F.col("lid")) & may_match("", f"{other}.", similarity), F.col(f"{other}.lid")) for other in ("hub", "shorter", "alike")]
-    return rows.select("lid", F.explode(F.array_compact(F.array(*near))).alias("other")).select(*ordered("lid", "other")).distinct()
+    return met.select(*rows.columns, F.array_compact(F.array(*near)).alias("near"))
+
+
+def with_partner(rows: DataFrame, wide: bool, similarity: float) -> DataFrame:
+    """The rows that may match a line of their key in another component.
+
+    No pair of lines is a row here, and lines that share a word pair by chance go before anything else is read or moved
+    for them. With `wide`, keys of more than BLOCK lines, if there are any, are dealt over pairs of blocks.
+    """
+    every = Window.partitionBy("key")
+    rows = rows.withColumns({"lo": F.min("component").over(every), "hi": F.max("component").over(every)}).where("lo < hi").drop("lo", "hi")
+    near = (F.col("x.lid") != F.col("y.lid")) & (F.col("x.component") != F.col("y.component")) & may_match("x.", "y.", similarity)
+    met = lambda x, y, *on: x.alias("x").join(y.alias("y"), reduce(lambda a, b: a & b, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", *on)]) & near, "left_semi")
+    # both sides move the same columns in the same way, so they are moved once
+    one = rows.where(F.col("size") <= BLOCK)
+    found = met(one, one)
+    if wide:
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        own, each = F.pmod(F.xxhash64("lid"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+        large = rows.where(F.col("size") > BLOCK)
+        dealt = met(large.withColumn("i", own).withColumn("j", each), large.withColumn("j", own).withColumn("i", each), "i", "j")
+        found = found.unionByName(dealt.drop("i", "j").dropDuplicates(["key", "lid"]))
+    return found
 
 
 def coded(hashes: Column, number: Column) -> Column:
@@ -228,7 +256,9 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, t
     by_code = F.array_sort(F.transform(F.array_distinct(F.concat("ha", "hb")), lambda h: F.struct(F.pmod(h, F.lit(1_000_000)).alias("code"), h.alias("h"))))
     # within one array of one element, so that neither the sorted words nor those that share a code are made once a word
     clashing = F.transform(F.array(by_code), lambda e: F.transform(F.filter(e, lambda x, i: F.coalesce(F.get(e, i - 1)["code"] == x["code"], F.lit(False)) | F.coalesce(F.get(e, i + 1)["code"] == x["code"], F.lit(False))), lambda x: x["h"]))
-    both = both.select("a", "b", "most", "ha", "hb", F.get(clashing, F.lit(0)).alias("clash"))
+    every = F.array_distinct(F.concat("ha", "hb"))
+    own_code = F.size(every) == F.size(F.array_distinct(F.transform(every, lambda h: F.pmod(h, F.lit(1_000_000)))))
+    both = both.select("a", "b", "most", "ha", "hb", F.when(own_code, F.array().cast("array<bigint>")).otherwise(F.get(clashing, F.lit(0))).alias("clash"))
     own = lambda h, clash: F.coalesce(F.nullif(F.array_position(clash, h), F.lit(0)) + 1_000_000, F.pmod(h, F.lit(1_000_000)))
     numbered = lambda h: F.get(F.transform(F.array("clash"), lambda clash: coded(F.col(h), lambda x: own(x, clash))), F.lit(0))
     exact = F.when(F.size("clash") > 0, F.levenshtein(numbered("ha"), numbered("hb"))).otherwise(0)

@@ -237,6 +237,28 @@ def test_lines_around_one_passage(spark, monkeypatch):
     assert max(made) <= 8 * len(rows)
 
 
+@pytest.mark.parametrize("block", [1000, 50])
+def test_lines_that_share_a_pair_by_chance(spark, monkeypatch, block):
+    """Of many lines with one common word pair only those that may match another are read and moved again."""
+    monkeypatch.setattr(lines, "BLOCK", block)
+    rng, made = random.Random(11), Counter()
+    rows = [words(rng, k).split() + ["wonderfulpassage", "everyregion"] + words(rng, 4).split() for k in (10, 11, 12, 13, 14) * 40]
+    for k in range(20):
+        rows += [rows[k][:5] + ["changed"] + rows[k][6:], rows[k][:2] + ["other", "words"] + rows[k][4:]]
+    low = similar_groups([tuple(w) for w in rows])
+
+    def counted(df, name, save=lines.save):
+        out = save(df, name)
+        made[name] = max(made[name], out.count())
+        return out
+
+    monkeypatch.setattr(lines, "save", counted)
+    df = spark.createDataFrame([(1000 + i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"] - 1000 for r in lines.dedup_lines(df).where("n_removed = 1").collect()}
+    assert got == {i for i in range(len(rows)) if low[i] != i} and len(got) >= 40
+    assert made["letters"] <= 100 and made["buckets"] >= len(rows)
+
+
 def test_line_sketches(spark):
     """An edit turns two marks at most, and copies of a line are one row."""
     rng = random.Random(2)
