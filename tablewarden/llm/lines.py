@@ -34,7 +34,9 @@ def identity(doc_id: str, text: str) -> list[Column]:
 
 def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, i1, i2, pos, lid): each line that has a word, pos from 1; and pos 0 once for each row with a text."""
-    every = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("string").alias("doc"), *identity(doc_id, text), F.posexplode(F.concat(F.array(F.lit("")), F.split(text, "\n"))).alias("pos", "line"))
+    # named before its lines are rows, so that a text is hashed once and not for each of its lines
+    named = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("string").alias("doc"), *identity(doc_id, text), F.col(text).alias("t"))
+    every = named.select("doc", "i1", "i2", F.posexplode(F.concat(F.array(F.lit("")), F.split("t", "\n"))).alias("pos", "line"))
     return every.where((F.col("pos") == 0) | F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc", "i1", "i2", "pos", F.xxhash64("line").alias("lid"))
 
 
@@ -50,7 +52,8 @@ def sketched(docs: DataFrame, text: str) -> DataFrame:
     """
     lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).select(F.xxhash64("line").alias("lid"), normal_words(F.col("line")).alias("words"))
     lines = lines.select("lid", "words", F.size("words").alias("n"), F.xxhash64("words").alias("whole"))
-    words = lines.select("lid", "n", "whole", "words", F.posexplode("words").alias("i", "w")).withColumn("v", F.get("words", F.col("i") + 1))
+    # a plain posexplode drops empty arrays in a filter of its own, below, that would split each line once more
+    words = lines.select("lid", "n", "whole", "words", F.posexplode_outer("words").alias("i", "w")).where("i is not null").withColumn("v", F.get("words", F.col("i") + 1))
     pair = F.when(F.col("v").isNotNull(), F.xxhash64("w", "v"))
     weight = F.greatest(F.lit(0), F.least(F.lit(8), F.octet_length("w") + F.octet_length("v") - 6))
     words = words.select("lid", "i", "n", "whole", F.xxhash64("w").alias("h"), pair.alias("pair"), weight.alias("weight"))
@@ -136,7 +139,8 @@ def lettered(rows: DataFrame, sizes: DataFrame, lines: DataFrame, docs: DataFram
 def similar_lines(lines: DataFrame, sketches: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame | None:
     """(lid, component) of the distinct lines that are linked with others; saved.
 
-    Lines that share a key are candidates, as far as no gap in their lengths parts them. Each line of a key is compared
+    Lines that share a key are candidates, as far as no gap in their lengths parts them. Two lines that are alone with a
+    key are one pair, whatever number of keys they are alone with. Each line of a larger key is compared
     with one that all of the key share, with the next shorter one and with the next by marks first, which connects
     copies and most lines around one passage. Then, where they are not all connected, lines that may match none of
     another part go; of the others one line of each connected part is compared with the lines outside that part, then
@@ -149,20 +153,24 @@ def similar_lines(lines: DataFrame, sketches: DataFrame, docs: DataFrame, doc_id
     keyed = keyed.withColumn("last", F.lag("n_words").over(by_length)).withColumn("next", F.lead("n_words").over(by_length))
     keyed = keyed.withColumn("joins", near("last", "n_words")).where(F.col("joins") | near("n_words", "next"))
     runs = keyed.withColumn("run", F.count_if(~F.col("joins")).over(by_length.rowsBetween(Window.unboundedPreceding, 0)))
-    shared = runs.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key", "run")))
-    shared = save(shared.select(F.xxhash64("key", "run").alias("key"), "lid", "size"), "buckets")
-    met = save(neighbours(shared.join(sketches.select("lid", *SKETCH), "lid"), similarity), "neighbours")
+    run = Window.partitionBy("key", "run")
+    shared = runs.withColumns({"size": F.count(F.lit(1)).over(run), "a": F.max("lid").over(run), "b": F.min("lid").over(run)})
+    shared = save(shared.where("size > 2 or lid = a").select(F.xxhash64("key", "run").alias("key"), "lid", "size", F.when(F.col("size") == 2, F.col("b")).alias("b")), "buckets")
+    met = save(neighbours(shared.where("size > 2").drop("b").join(sketches.select("lid", *SKETCH), "lid"), similarity), "neighbours")
+    twos = save(shared.where("size = 2").select(F.col("lid").alias("a"), "b").distinct(), "twos")
     discard(shared)
-    pairs = save(met.select("lid", F.explode("near").alias("other")).select(*ordered("lid", "other")).distinct(), "pairs")
+    marked = save(matching(twos, sketches, similarity), "matching")
+    discard(twos)
+    pairs = save(met.select("lid", F.explode("near").alias("other")).select(*ordered("lid", "other")).unionByName(marked).distinct(), "pairs")
     edges = verified(pairs, lines, docs, doc_id, text, similarity)
-    discard(pairs)
+    discard(pairs, marked)
     found = save(components(edges, spark), "components")
     discard(edges)
     named = lambda rows: rows.join(few(found.withColumnRenamed("node", "lid")), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
     joined = lambda pairs: components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(pairs), spark)
     open_keys = lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "size")
     wide = not met.where(F.col("size") > BLOCK).isEmpty()
-    rows = save(with_partner(named(met.where("size > 2").drop("near")), wide, similarity).drop("size"), "partnered")
+    rows = save(with_partner(named(met.drop("near")), wide, similarity).drop("size"), "partnered")
     discard(met)
     sizes = save(open_keys(rows), "open")
     part = Window.partitionBy("key", "component")
@@ -186,6 +194,13 @@ def similar_lines(lines: DataFrame, sketches: DataFrame, docs: DataFrame, doc_id
     return found.withColumnRenamed("node", "lid")
 
 
+def matching(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b), from a saved table, that may match by length and marks."""
+    of = lambda side, prefix: sketches.select(F.col("lid").alias(side), *[F.col(c).alias(prefix + c) for c in SKETCH])
+    first = save(of("a", "x").join(few(pairs), "a"), "first")
+    return of("b", "y").join(few(first), "b").where(may_match("x", "y", similarity)).select("a", "b")
+
+
 def neighbours(rows: DataFrame, similarity: float) -> DataFrame:
     """rows and `near`: the lines of its key that a line may match, of the key's greatest id and the next by length and by marks."""
     bucket = Window.partitionBy("key")
@@ -230,12 +245,16 @@ def coded(hashes: Column, number: Column) -> Column:
 def hashed_lines(wanted: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(lid, h) of the wanted lines: the hashes of their words.
 
-    A line is read from the text where it stands first, so texts without candidates don't move.
+    A line is read from the text where it stands first, so texts without candidates don't move; a text is split once, not
+    for each of its lines.
     """
     places = save(lines.join(wanted, "lid", "left_semi").select("lid", "keep.i1", "keep.i2", "keep.pos"), "places")
-    rows = docs.where(F.col(text).isNotNull()).select(*identity(doc_id, text), F.col(text).alias("t")).join(few(places), ["i1", "i2"])
-    line = F.get(F.split("t", "\n"), F.col("pos") - 1)
-    return rows.select("lid", F.transform(normal_words(line), lambda w: F.xxhash64(w)).alias("h")).dropDuplicates(["lid"])
+    of_text = places.groupBy("i1", "i2").agg(F.collect_list(F.struct("pos", "lid")).alias("places"))
+    of_text = F.broadcast(of_text) if places.count() <= BROADCAST_ROWS else of_text
+    texts = docs.where(F.col(text).isNotNull()).select(*identity(doc_id, text), F.col(text).alias("t")).join(of_text, ["i1", "i2"])
+    rows = texts.select(F.split("t", "\n").alias("all"), "places").select("all", F.explode("places").alias("at"))
+    line = F.get("all", F.col("at.pos") - 1)
+    return rows.select("at.lid", F.transform(normal_words(line), lambda w: F.xxhash64(w)).alias("h")).dropDuplicates(["lid"])
 
 
 def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:

@@ -259,6 +259,34 @@ def test_lines_that_share_a_pair_by_chance(spark, monkeypatch, block):
     assert made["letters"] <= 100 and made["buckets"] >= len(rows)
 
 
+def test_line_dedup_splits_and_hashes_once(spark):
+    """Each line is split into words once for its sketch, and a text hashed before its lines are rows."""
+    docs = spark.createDataFrame([(1, "one two\n...\n"), (2, None)], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(lines.sketched(docs, "text")).count(r"[^\p{L}\p{N}]+") == 1 and lines.sketched(docs, "text").count() == 1
+    found = plan(lines.occurrences(docs, "doc_id", "text"))
+    assert found.index("Generate") < found.index("AS i1") and found.index("Generate") < found.index("AS i2")
+
+
+def test_pairs_that_are_alone_with_their_keys(spark, monkeypatch):
+    """Two lines that share many keys with no other line are one pair; only those that may match go on."""
+    rng, made = random.Random(8), Counter()
+    rows = [words(rng, 40).split() for _ in range(30)]
+    rows += [r[:20] + ["changed"] + r[21:] for r in rows[:10]] + [words(rng, 20).split() + r[20:] for r in rows[10:20]]
+    low = similar_groups([tuple(w) for w in rows])
+
+    def counted(df, name, save=lines.save):
+        out = save(df, name)
+        made[name] = max(made[name], out.count())
+        return out
+
+    monkeypatch.setattr(lines, "save", counted)
+    # all lines of one text, which is read and split once
+    df = spark.createDataFrame([(1, "\n".join(" ".join(w) for w in rows))], "doc_id long, text string")
+    assert [r["n_removed"] for r in lines.dedup_lines(df).collect()] == [sum(low[i] != i for i in range(len(rows)))] == [10]
+    assert made["neighbours"] == 0 and 10 <= made["twos"] <= 20 and made["matching"] == 10
+
+
 def test_line_sketches(spark):
     """An edit turns two marks at most, and copies of a line are one row."""
     rng = random.Random(2)
