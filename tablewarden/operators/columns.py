@@ -46,3 +46,21 @@ def proxy_candidates(linked: DataFrame, refs: DataFrame, lineage: DataFrame, pro
     rows = rows.join(refs.select("model_urn", F.col("name").alias("model_name"), "is_live"), "model_urn")
     title = F.concat(F.lit("Proxy candidate: "), urn.field_path("source"), F.lit(" shares "), urn.field_path("ancestor"), F.lit(" with "), urn.marker_name("marker_urn"), F.lit(" column "), urn.field_path("protected"))
     return rows.select(F.lit("proxy_candidate").alias("finding_type"), "model_urn", "model_name", "is_live", "feature_urn", "feature_name", F.col("source").alias("resource_urn"), "protected", "ancestor", "marker_urn", "up_hops", "down_hops", title.alias("title"), F.lit("medium").alias("severity"))
+
+
+def shared_protected(lineage: DataFrame, protected: DataFrame, classified: DataFrame, hops: int, deep: int) -> DataFrame:
+    """(source, protected): for every column with a proxy candidate, with how many protected columns it shares an ancestor.
+
+    classified: (node, hops), columns up to `deep` below a classified one, which are left out as proxy_candidates() does. All
+    that lies `hops` below an ancestor that is near enough to a classified column is left out too, so nothing is walked there.
+    """
+    up = lineage.select(F.col("downstream_column_urn").alias("src"), F.col("upstream_column_urn").alias("dst"))
+    down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    marked = protected.select(F.col("column_urn").alias("root"), F.col("column_urn").alias("node"))
+    above = walk.reach(marked, up, hops).where("hops > 0").select(F.col("root").alias("protected"), F.col("node").alias("ancestor"))
+    near = classified.where(F.col("hops") <= deep - hops).select(F.col("node").alias("ancestor"))
+    above = walk.cut(above.join(near, "ancestor", "left_anti"))
+    under = walk.reach(above.select(F.col("ancestor").alias("root"), F.col("ancestor").alias("node")), down, hops).where("hops > 0").select(F.col("root").alias("ancestor"), F.col("node").alias("source"))
+    clear = under.join(classified.select(F.col("node").alias("source")), "source", "left_anti")
+    pairs = clear.join(above, "ancestor").where("protected <> source").select("source", "protected").distinct()
+    return pairs.groupBy("source").agg(F.count(F.lit(1)).alias("protected"))

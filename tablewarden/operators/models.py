@@ -18,11 +18,14 @@ def model_refs(models: DataFrame, model_deployments: DataFrame, deployments: Dat
     return out.select("model_urn", urn.model_name("name", "model_urn").alias("name"), zero("n_deployments"), zero("n_live"), (F.coalesce("n_live", F.lit(0)) > 0).alias("is_live"), F.coalesce("has_owner", F.lit(False)).alias("has_owner"))
 
 
+def source_columns(features: DataFrame) -> DataFrame:
+    """(feature_urn, feature_name, source): features whose source column can be read."""
+    return features.where(urn.field_parent("source_column_urn").isNotNull()).select("feature_urn", "feature_name", F.col("source_column_urn").alias("source"))
+
+
 def linked_features(model_features: DataFrame, features: DataFrame) -> DataFrame:
     """(model_urn, feature_urn, pos, source): features whose source column can be read."""
-    source = urn.field_parent("source_column_urn").isNotNull()
-    known = features.where(source).select("feature_urn", "feature_name", F.col("source_column_urn").alias("source"))
-    return model_features.join(known, "feature_urn").select("model_urn", "feature_urn", "feature_name", "pos", "source")
+    return model_features.join(source_columns(features), "feature_urn").select("model_urn", "feature_urn", "feature_name", "pos", "source")
 
 
 def model_inputs(model_runs: DataFrame, run_inputs: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .steps import cut
 
+#: Rows that are broadcast, once they are counted.
+FEW = 100_000
+
 
 def reach(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(root, node, hops): every node within `hops` of a start (root, node), by least hops; starts have 0.
@@ -71,6 +74,16 @@ def marked_ancestors(columns: DataFrame, lineage: DataFrame, markers: DataFrame,
     return found.join(markers, found["node"] == markers["column_urn"]).select("root", "path", F.col("node").alias("ancestor"), "marker_urn")
 
 
+def below(marks: dict[str, DataFrame], lineage: DataFrame, hops: int) -> DataFrame:
+    """(root, node, hops): columns that are marked or lie within `hops` below a marked one; root names the marks (column_urn).
+
+    These are the columns for which marked_ancestors() has a match, found without their paths.
+    """
+    down = lineage.select(F.col("upstream_column_urn").alias("src"), F.col("downstream_column_urn").alias("dst"))
+    starts = [rows.select(F.lit(name).alias("root"), F.col("column_urn").alias("node")) for name, rows in marks.items()]
+    return reach(reduce(DataFrame.unionByName, starts), down, hops)
+
+
 def bounded_reach(starts: DataFrame, edges: DataFrame, hops: int, cap: int) -> DataFrame:
     """(root, node, hops): as reach() without the starts, but a root stops at `cap` nodes, nearest first, then by name.
 
@@ -107,6 +120,28 @@ def walk_limits(columns: DataFrame, lineage: DataFrame, hops: int, cap: int) ->
     return cone.select("root", "cone", (F.col("cone") >= cap).alias("truncated"), (F.col("deepest") > hops).alias("hop_capped"))
 
 
+def limited(columns: DataFrame, lineage: DataFrame, hops: int, cap: int) -> DataFrame:
+    """(root, truncated, hop_capped): as walk_limits(), of the columns that a limit stops and no others.
+
+    Ways up are counted from those of the neighbours, a hop at a time and up to `cap`. A column with fewer than `cap` in
+    all and none of hops + 1 edges meets no limit and is not walked; nor are edges above no other column.
+    """
+    up = lineage.select(F.col("downstream_column_urn").alias("src"), F.col("upstream_column_urn").alias("dst"))
+    rounds, ways = [], up.groupBy("src").agg(F.count(F.lit(1)).alias("ways"))
+    for hop in range(1, hops + 2):
+        front = cut(ways.select("src", F.least("ways", F.lit(cap)).alias("ways"), F.lit(hop).alias("hop")))
+        rounds.append(front)
+        if front.isEmpty():
+            break
+        ways = up.join(front.select(F.col("src").alias("dst"), "ways"), "dst").groupBy("src").agg(F.sum("ways").alias("ways"))
+    risky = reduce(DataFrame.unionByName, rounds).groupBy("src").agg(F.sum("ways").alias("ways"), F.max("hop").alias("hop")).where((F.col("ways") >= cap) | (F.col("hop") > hops))
+    risky = cut(risky.select(F.col("src").alias("column_urn")))
+    asked = cut(columns.distinct().join(risky, "column_urn", "left_semi") if risky.count() > FEW else columns.join(F.broadcast(risky), "column_urn", "left_semi").distinct())
+    seen = reach(asked.select(F.lit("").alias("root"), F.col("column_urn").alias("node")), up, hops)
+    near = lineage.join(seen.select(F.col("node").alias("downstream_column_urn")), "downstream_column_urn", "left_semi")
+    return walk_limits(asked, near, hops, cap).where("truncated or hop_capped").select("root", "truncated", "hop_capped")
+
+
 def best_match(matches: DataFrame) -> DataFrame:
     """The quoted match of each root: shortest path, then ancestor, then path; with the number of matches and other paths."""
     order = F.struct(F.size("path"), "ancestor", F.array_join("path", "|"))

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import columns, models, tables, walk
+from ..operators import columns, models, tables, tally, walk
 from ..operators.steps import cut
 from ..sources import log
 from .fixture import AGE, GENDER, LABEL, NOW_MS, PII, SECRET, Fixture
@@ -47,6 +47,35 @@ class Audit:
     def limits(self) -> DataFrame:
         return walk.walk_limits(self.sources, self.t.column_lineage, self.column_hops, 500)
 
+    @cached_property
+    def below(self) -> DataFrame:
+        """Columns with a match among labels ('label') and among classified columns ('class'), without the matches."""
+        return walk.below({"label": self.marks(LABEL), "class": self.marks(PII, SECRET, AGE, GENDER)}, self.t.column_lineage, self.column_hops)
+
+    @cached_property
+    def shared(self) -> DataFrame:
+        classified = self.below.where("root = 'class'")
+        return cut(columns.shared_protected(self.t.column_lineage, self.marks(AGE, GENDER), classified, 3, self.column_hops))
+
+    @cached_property
+    def feature_tally(self) -> DataFrame:
+        sources = models.source_columns(self.t.features).select(F.col("source").alias("column_urn"))
+        limits = walk.limited(sources, self.t.column_lineage, self.column_hops, 500)
+        return cut(tally.of_features(self.t.model_features, self.t.features, tally.of_columns(self.below, self.shared, limits)))
+
+    @cached_property
+    def check_tally(self) -> DataFrame:
+        """(model_urn, finding_type, n): findings of the checks that may leave a gap."""
+        t, rows = self.t, self.feature_tally
+        parts = {
+            "target_leakage": rows.select("model_urn", F.col("leaks").alias("n")),
+            "sensitive_source": rows.select("model_urn", F.col("exposures").alias("n")),
+            "proxy_candidate": tally.proxies(t.model_features, t.features, self.shared),
+            "input_schema_drift": tally.drifts(t.model_runs, t.run_inputs, t.training_snapshots, t.training_schema, t.schema_fields),
+            "deprecated_input": self.inputs.join(t.deprecations.where("deprecated").select(F.col("entity_urn").alias("dataset_urn")), "dataset_urn").groupBy("model_urn").agg(F.count(F.lit(1)).alias("n")),
+        }
+        return cut(tally.found(parts, t.models))
+
     @cached_property
     def leaks(self) -> DataFrame:
         return columns.derived_features(self.linked, self.refs, self.label_matches, "target_leakage")

@@ -70,8 +70,8 @@ class Scored(Audit):
 
     def _find_gaps(self):
         kinds = F.element_at(F.create_map(*[F.lit(x) for kv in coverage.FOUND_AS.items() for x in kv]), F.col("finding_type"))
-        found = self.findings.where(F.col("finding_type").isin(*coverage.FOUND_AS)).select("model_urn", kinds.alias("check")).distinct()
-        return coverage.model_gaps(self.t.models, self.t.model_features, self.linked, self.limits, self.t.recorded_links, self.t.model_runs, self.t.run_inputs, self.t.training_snapshots, found)
+        found = self.check_tally.select("model_urn", kinds.alias("check"))
+        return coverage.model_gaps(self.t.models, self.feature_tally, self.t.recorded_links, self.t.model_runs, self.t.run_inputs, self.t.training_snapshots, found)
 
 
 def audit_of(spark, sf_dir: str) -> Scored:
