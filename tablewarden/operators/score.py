@@ -58,6 +58,15 @@ def trust_scores(inputs: DataFrame, weights: dict[str, float] = WEIGHTS, healthy
     return rows.withColumn("deductions", F.transform(F.array_sort(listed), lambda x: F.struct(x["name"].alias("name"), (-x["neg"]).alias("points"))))
 
 
+def points(counts: DataFrame, refs: DataFrame, sla_hours: float) -> DataFrame:
+    """(model_urn, score): the scores of trust_scores() from counts of findings, (model_urn, finding_type, n, lag_hours)."""
+    flags = [F.max(F.col("finding_type") == kind).alias(name) for kind, name in SCORED.items()]
+    ratio = F.when(F.col("lag_hours").isNotNull(), F.least(F.col("lag_hours") / F.lit(sla_hours), F.lit(1.0)))
+    rows = counts.where(F.col("finding_type").isin(*SCORED)).groupBy("model_urn").agg(*flags, F.lit(None).cast("int").alias("worst"), F.coalesce(F.max(ratio), F.lit(0.0)).alias("lag_ratio"))
+    rows = rows.join(refs.select("model_urn", (~F.col("has_owner")).alias("missing_owner")), "model_urn")
+    return trust_scores(rows).select("model_urn", "score")
+
+
 def waterfall(scores: DataFrame) -> DataFrame:
     """Lines that lead from 100 to the score, amounts right-aligned."""
     lines = F.transform("deductions", lambda d: F.concat(F.lpad(F.format_string("-%.0f", d["points"]), 5, " "), F.lit("  "), d["name"]))

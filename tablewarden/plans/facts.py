@@ -130,12 +130,15 @@ COUNTS = {"features": "model_features", "with_source": "linked", "runs": "model_
 )
 def model_facts(a: Scored) -> DataFrame:
     rows = a.t.models.select("model_urn")
-    parts = {"features": a.t.model_features, "with_source": a.linked, "runs": a.t.model_runs, "inputs": a.inputs, "findings": a.findings, "gaps": a.gaps}
     taken = a.t.model_runs.select("model_urn", "run_urn").join(a.t.training_snapshots.select("run_urn").distinct(), "run_urn")
-    for name, part in (parts | {"snapshots": taken}).items():
-        rows = rows.join(part.groupBy("model_urn").agg(F.count(F.lit(1)).alias(name)), "model_urn", "left")
+    counted = {name: part.groupBy("model_urn").agg(F.count(F.lit(1)).alias(name)) for name, part in {"runs": a.t.model_runs, "inputs": a.inputs, "gaps": a.gaps, "snapshots": taken}.items()}
+    counted["features"] = a.feature_tally.select("model_urn", "features", "with_source")
+    counted["findings"] = a.model_tally.groupBy("model_urn").agg(F.sum("n").alias("findings"))
+    for part in counted.values():
+        rows = rows.join(part, "model_urn", "left")
     rows = rows.na.fill(0).join(facts.properties_of(a.t.model_runs, a.t.run_properties), "model_urn", "left").na.fill("", ["properties"])
-    return rows.join(a.scores.select("model_urn", "score"), "model_urn", "left")
+    rows = rows.join(a.points, "model_urn", "left")
+    return rows.select("model_urn", *COUNTS, "snapshots", "properties", "score")
 
 
 REPORTS = """

@@ -29,6 +29,15 @@ def test_counts_of_checks_are_those_of_the_findings(spark):
     assert counted(a.check_tally) == want and len({kind for _, kind in want}) == 5
 
 
+def test_model_facts_count_findings_without_them(spark):
+    a = Scored(Fixture(spark, SF))
+    got, made = counted(a.model_tally), set(vars(a))
+    points = {r["model_urn"]: r["score"] for r in a.points.collect()}
+    assert not made & {"_findings", "label_matches", "class_matches", "edges", "reached", "linked"}
+    assert got == counted(a.findings.groupBy("model_urn", "finding_type").agg(F.count(F.lit(1)).alias("n")))
+    assert points == {r["model_urn"]: r["score"] for r in a.scores.collect()} and len(set(points.values())) > 3
+
+
 def test_limits_are_those_of_the_walks(spark):
     draw = random.Random(7)
     edges = {(f"n{draw.randrange(60)}", f"n{draw.randrange(60)}") for _ in range(45)} | {(f"c{i + 1}", f"c{i}") for i in range(6)} | {(f"u{i}", "c0") for i in range(5)}
