@@ -84,6 +84,29 @@ def below(marks: dict[str, DataFrame], lineage: DataFrame, hops: int) -> DataFra
     return reach(reduce(DataFrame.unionByName, starts), down, hops)
 
 
+def first_marked(columns: DataFrame, lineage: DataFrame, markers: DataFrame, near: DataFrame, hops: int) -> DataFrame:
+    """(root, node, marker_urn): the marked columns at the ends of marked_ancestors(), once each, without the paths.
+
+    near: (node, hops), columns within `hops` below a marked one. A walk ends at marked columns, and goes on only to columns
+    that can still reach one within the hops that are left.
+    """
+    up = lineage.select(F.col("downstream_column_urn").alias("src"), F.col("upstream_column_urn").alias("dst"))
+    # an edge that leads to no mark, or leaves a marked column, is on no walk
+    useful = cut(near.select("node", F.col("hops").alias("left")))
+    open_ends = useful.where("left > 0").select(F.col("node").alias("src"))
+    edges = cut(up.join(open_ends, "src", "left_semi").join(useful.select(F.col("node").alias("dst"), "left"), "dst").select("src", "dst", "left").distinct())
+    seen = cut(useful.join(columns.select(F.col("column_urn").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("root"), "node"))
+    front, rounds = seen, [seen]
+    for hop in range(1, hops + 1):
+        found = front.join(edges.where(F.col("left") <= hops - hop), front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
+        front = cut(found.join(reduce(DataFrame.unionByName, rounds), ["root", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        rounds.append(front)
+    ends = reduce(DataFrame.unionByName, rounds)
+    return ends.join(markers.select(F.col("column_urn").alias("node"), "marker_urn"), "node").select("root", "node", "marker_urn")
+
+
 def bounded_reach(starts: DataFrame, edges: DataFrame, hops: int, cap: int) -> DataFrame:
     """(root, node, hops): as reach() without the starts, but a root stops at `cap` nodes, nearest first, then by name.
 

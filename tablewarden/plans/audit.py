@@ -17,6 +17,9 @@ from .scalars import SLA
 class Audit:
     """Checks over a catalog; attributes are DataFrames. What several checks start from is checkpointed once."""
 
+    #: Marks of classified columns.
+    CLASSES = (PII, SECRET, AGE, GENDER)
+
     def __init__(self, catalog: Fixture, now_ms: int = NOW_MS, sla_hours: float = SLA, hops: int = 3, column_hops: int = 6) -> None:
         self.t, self.now_ms, self.sla, self.hops, self.column_hops = catalog, now_ms, sla_hours, hops, column_hops
 
@@ -41,7 +44,7 @@ class Audit:
 
     @cached_property
     def class_matches(self) -> DataFrame:
-        return cut(walk.marked_ancestors(self.sources, self.t.column_lineage, self.marks(PII, SECRET, AGE, GENDER), self.column_hops))
+        return cut(walk.marked_ancestors(self.sources, self.t.column_lineage, self.marks(*self.CLASSES), self.column_hops))
 
     @cached_property
     def limits(self) -> DataFrame:
@@ -50,7 +53,7 @@ class Audit:
     @cached_property
     def below(self) -> DataFrame:
         """Columns with a match among labels ('label') and among classified columns ('class'), without the matches."""
-        return walk.below({"label": self.marks(LABEL), "class": self.marks(PII, SECRET, AGE, GENDER)}, self.t.column_lineage, self.column_hops)
+        return walk.below({"label": self.marks(LABEL), "class": self.marks(*self.CLASSES)}, self.t.column_lineage, self.column_hops)
 
     @cached_property
     def shared(self) -> DataFrame:

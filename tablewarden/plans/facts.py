@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import facts, score
+from ..operators import facts, models, score, walk
 from ..operators.findings import radius_warnings
-from ..operators.steps import shared_dir
+from ..operators.steps import cut, shared_dir
 from ..sources import log
 from .detection import CHAINS, RADIUS_WARNINGS
 from .oracle_parts import dsname
@@ -116,7 +116,10 @@ LEFT JOIN (SELECT model_urn, resource_urn, string_agg(DISTINCT finding_type, ';
 
 @query("j33_feature_provenance", PROVENANCE, CHAINS | CROSSED)
 def feature_provenance(a: Scored) -> DataFrame:
-    return facts.provenance(a.t.model_features, a.linked, a.t.column_lineage, a.class_matches, log.latest_operation(a.t.operations), a.stale, a.t.model_runs, a.t.training_schema, a.t.schema_fields, a.findings)
+    t = a.t
+    sources = cut(models.source_columns(t.features).select("source").distinct())
+    classes = walk.first_marked(sources.withColumnRenamed("source", "column_urn"), t.column_lineage, a.marks(*a.CLASSES), a.below.where("root = 'class'"), a.column_hops)
+    return facts.provenance(t.model_features, t.features, sources, t.column_lineage, classes, a.below, a.shared, log.latest_operation(t.operations), a.stale, t.models, t.model_runs, t.training_schema, t.schema_fields)
 
 
 COUNTS = {"features": "model_features", "with_source": "linked", "runs": "model_runs", "inputs": "inputs", "findings": "findings", "gaps": "gaps"}

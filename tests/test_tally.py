@@ -56,3 +56,25 @@ def test_drifts_are_counted_as_they_are_found(spark):
     now = spark.createDataFrame([("d", "a", "INT"), ("d", "y", None), ("e", "b", "TEXT")], "dataset_urn string, field_path string, native_type string")
     want = {(r["model_urn"], r["n"]) for r in tables.schema_changes(runs, inputs, snaps, taken, now).select("model_urn", "run_urn", "dataset_urn").distinct().groupBy("model_urn").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert {tuple(r) for r in tally.drifts(runs, inputs, snaps, taken, now).collect()} == want == {("m", 2)}
+
+
+def test_marked_ends_are_those_of_the_paths(spark):
+    draw = random.Random(11)
+    edges = {(f"n{draw.randrange(30)}", f"n{draw.randrange(30)}") for _ in range(45)}
+    lineage = spark.createDataFrame(sorted(edges), "upstream_column_urn string, downstream_column_urn string")
+    columns = spark.createDataFrame([(f"n{i}",) for i in range(24)] + [("alone",)], "column_urn string")
+    marks = spark.createDataFrame([("n3", "a"), ("n8", "b"), ("n21", "a"), ("n27", "a"), ("lone", "b")], "column_urn string, marker_urn string")
+    for hops in (1, 2, 4):
+        near = walk.below({"class": marks}, lineage, hops)
+        want = {tuple(r) for r in walk.marked_ancestors(columns, lineage, marks, hops).select("root", "ancestor", "marker_urn").collect()}
+        assert {tuple(r) for r in walk.first_marked(columns, lineage, marks, near, hops).select("root", "node", "marker_urn").collect()} == want and want
+        assert {r["root"] for r in near.join(columns, F.col("node") == F.col("column_urn")).select(F.col("node").alias("root")).collect()} == {r for r, _, _ in want}
+
+
+def test_provenance_makes_no_findings(spark):
+    from tablewarden.plans import facts
+
+    a = Scored(Fixture(spark, SF))
+    rows = facts.feature_provenance(a)
+    assert rows.where("findings <> '' and chains > 0").count() > 0
+    assert not set(vars(a)) & {"_findings", "label_matches", "class_matches", "edges", "reached", "linked"}
